@@ -85,11 +85,17 @@ def fuse_attention(
 
 def fuse_gated(a: Column, b: Column, gate: np.ndarray, weight: np.ndarray, gate_bias: float = 0.0) -> Column:
     """A learned share g of ``a`` and 1 - g of ``b``, projected; ``gate`` is one row of weights."""
-    share = linear(F.concat(a, b), np.atleast_2d(gate), np.array([gate_bias]), "sigmoid")[0]
-    mixed = V.let(
-        lambda s: F.zip_with(s["a"], s["b"], lambda x, y: s["g"] * x + (1.0 - s["g"]) * y), a=a, b=b, g=share
-    )
-    return V.layer_norm(linear(mixed, weight))
+    on_a, on_b = np.split(np.asarray(gate, dtype="f8").ravel(), 2)
+
+    @F.arrow_udf("array<double>")
+    def mix(left: pa.Array, right: pa.Array) -> pa.Array:
+        if len(left) == 0:
+            return pa.array([], type=pa.list_(pa.float64()))
+        x, y = to_matrix(left), to_matrix(right)
+        share = (1.0 / (1.0 + np.exp(-(x @ on_a + y @ on_b + gate_bias))))[:, None]
+        return from_matrix(share * x + (1.0 - share) * y)
+
+    return V.layer_norm(linear(mix(a, b), weight))
 
 
 def fuse(method: str, a: Column, b: Column, **weights) -> Column:

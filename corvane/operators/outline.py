@@ -91,7 +91,7 @@ def outline_nodes(records: DataFrame, key: str = "doc_id") -> DataFrame:
     nested = found.select(
         key, F.concat(F.array(root), spans).alias("src"), _nest(F.transform("lines", lambda s: s["col"])).alias("nest")
     )
-    flat = nested.select(key, F.posexplode(F.arrays_zip("src", "nest")).alias("id", "p")).select(key, "id", "p.src", "p.nest")
+    flat = nested.select(key, F.posexplode_outer(F.arrays_zip("src", "nest")).alias("id", "p")).select(key, "id", "p.src", "p.nest")
     kind = F.when(F.col("id") == 0, F.lit(ROOT_TYPE)).otherwise(line_type(F.col("src.line")))
     return flat.withColumn("type", kind).select(
         key,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.hashing import md5_int, md5_key
 from corvane.functions.vectors import let
 from corvane.operators.blocks import TopK, block_join
 from corvane.operators.positions import with_positions
 from corvane.operators.search import rank_hits
+from corvane.runtime import explode_once
 
 NUM_NEGATIVES, HARD_RATIO = 4, 0.5
 
@@ -44,7 +45,8 @@ def random_negatives(pool: DataFrame, anchors: DataFrame, n: int, seed=0) -> Dat
     size = placed.count()
     mine = anchors.select("anchor_id").join(placed.withColumnsRenamed({"id": "anchor_id", "position": "own"}), "anchor_id", "left")
     others = F.when(F.col("own").isNull(), F.lit(size)).otherwise(F.lit(size - 1)).cast("bigint")
-    drawn = mine.select("anchor_id", "own", F.explode(_draws(F.col("anchor_id"), others, n, seed)).alias("p"))
+    drawn = mine.select("anchor_id", "own", explode_once(_draws(F.col("anchor_id"), others, n, seed)).alias("p"))
+    drawn = drawn.where(F.col("p").isNotNull())
     past_own = F.when(F.col("p") >= F.col("own"), F.col("p") + 1).otherwise(F.col("p"))
     return drawn.select("anchor_id", past_own.alias("position")).join(
         placed.withColumnRenamed("id", "negative_id"), "position"
@@ -152,3 +154,12 @@ def mini_batches(df: DataFrame, key: str, size: int = 32, shuffle_seed=None) ->
     else:
         placed = with_positions(df.withColumn("_shuffle", md5_key(shuffle_seed, F.col(key))), "_shuffle", key).drop("_shuffle")
     return placed.withColumn("batch_id", F.floor(F.col("position") / size)).drop("position")
+
+
+def write_embedding_cache(cache: DataFrame, path: str) -> None:
+    """Replace the snapshot of cached vectors (id, vec) that hard negatives are drawn from."""
+    cache.select("id", "vec").write.mode("overwrite").parquet(path)
+
+
+def read_embedding_cache(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id bigint, vec array<double>").parquet(path)

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import vectors as V
-from corvane.functions.matrix import from_matrix, to_matrix
+from corvane.functions.matrix import to_matrix
 from corvane.operators.blocks import TIE_DIGITS, TopK, block_join
+from corvane.runtime import broadcast_checked, explode_once
 
 
 def rank_hits(hits: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -61,7 +62,7 @@ def ivf_search(
     index(vec_id, vec, cell) holds unit vectors.  The probed cells become a literal filter, bounded
     by the number of centroids, so an index partitioned by cell is only read where it is needed.
     """
-    probes = _unit(queries, "query_id", "vec").withColumn("cell", F.explode(best_cells(F.col("vec"), centroids, nprobe)))
+    probes = _unit(queries, "query_id", "vec").withColumn("cell", explode_once(best_cells(F.col("vec"), centroids, nprobe)))
     if nprobe < len(centroids):
         wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]
         index = index.where(F.col("cell").isin(wanted))
@@ -105,7 +106,7 @@ def topk_ann(
 
     def bucketed(df, key):
         unit = _unit(df, key, "vec")
-        return unit.withColumn("bucket", F.explode(signature_buckets(F.col("vec"), tables, bits, dim)))
+        return unit.withColumn("bucket", explode_once(signature_buckets(F.col("vec"), tables, bits, dim)))
 
     hits = block_join(bucketed(queries, "query_id"), bucketed(items, "vec_id"), TopK(k), group="bucket", **blocks)
     # The same neighbour may turn up in several tables.
@@ -114,5 +115,9 @@ def topk_ann(
 
 
 def attach_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Stored record of each hit; a hit without a record keeps empty columns."""
-    return hits.join(metadata, "vec_id", "left")
+    """Stored record of each hit; a hit without a record keeps empty columns.
+
+    Few distinct hit ids (checked) are sent to the metadata, which is then never shuffled.
+    """
+    wanted = broadcast_checked(hits.select("vec_id").distinct(), max_rows=1_000_000)
+    return hits.join(metadata.join(wanted, "vec_id", "left_semi"), "vec_id", "left")

@@ -8,6 +8,7 @@ from corvane.functions.hashing import md5_int
 from corvane.functions.matrix import scatter_signed
 from corvane.functions.text import words
 from corvane.operators.positions import with_positions
+from corvane.runtime import explode_once
 
 # Reserved token ids.
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
@@ -17,7 +18,8 @@ SMALL_VOCAB = 100_000
 
 def token_vocab(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     """(token, token_id, n): the ``size`` most frequent tokens, ties in token order, ids from 2."""
-    counts = docs.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = docs.select(explode_once(words(F.col(text))).alias("token")).where(F.col("token").isNotNull())
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     if size <= SMALL_VOCAB:
         top = counts.orderBy(F.desc("n"), "token").limit(size)
         position = F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1

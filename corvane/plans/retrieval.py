@@ -73,7 +73,7 @@ def search(
     before = F.col("language") == language if language_mode == "pre" and language is not None else None
     hits = index.search(queries, k, before)
     wanted = hits.join(requests.select("query_id", "top_k", F.col("language").alias("want")), "query_id")
-    kept = attach_metadata(wanted.where(F.col("rank") <= F.col("top_k")), index.metadata())
+    kept = attach_metadata(checkpoint(wanted.where(F.col("rank") <= F.col("top_k"))), index.metadata())
     if language_mode == "post":
         # The filter sees the record's language with its default, as the result shows it.
         shown = F.coalesce(F.col("language"), F.lit("unknown"))

@@ -50,5 +50,10 @@ def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def rounded(col: Column, digits: int = 6) -> Column:
-    return F.round(col, digits)
+def explode_once(array: Column) -> Column:
+    """``explode`` that evaluates its argument once; an empty array gives one null row.
+
+    The plain generator makes the optimizer add a "size > 0" filter below it, which would compute an
+    expensive array (a split text, an Arrow function) a second time.
+    """
+    return F.explode_outer(array)
