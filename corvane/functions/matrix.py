@@ -27,6 +27,12 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero row stays zero."""
+    norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return matrix / np.where(norm == 0.0, 1.0, norm)
+
+
 def from_matrix(matrix: np.ndarray) -> pa.ListArray:
     rows, width = matrix.shape
     offsets = pa.array(np.arange(rows + 1, dtype="i4") * width)
@@ -84,7 +90,6 @@ def scatter_signed(codes: Column, dim: int) -> Column:
         flat = batch.flatten().to_numpy(zero_copy_only=False).astype("i8", copy=False)
         cell = np.repeat(np.arange(n), lengths) * dim + np.abs(flat) - 1
         matrix = np.bincount(cell, weights=np.sign(flat), minlength=n * dim).reshape(n, dim)
-        norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        return from_matrix(matrix / np.where(norm == 0.0, 1.0, norm))
+        return from_matrix(unit_rows(matrix))
 
     return scatter(codes)

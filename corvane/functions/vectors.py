@@ -1,7 +1,7 @@
 """Elementwise vector functions on array<double> columns, JVM-side.
 
-``let`` binds a computed value to a name inside an expression.  Without it an aggregate used in a
-``transform`` lambda (a norm, a mean) would be evaluated once per element instead of once per row.
+A per-row value such as a norm or a mean is spread over an array and zipped with the vector.  Used
+inside a ``transform`` lambda it would be evaluated once per element instead of once per row.
 """
 
 from __future__ import annotations
@@ -12,11 +12,19 @@ from pyspark.sql import Column, functions as F
 
 
 def let(body: Callable[[Column], Column], **values: Column) -> Column:
-    """``body(s)`` with ``s.<name>`` bound to each value, evaluated once per row."""
+    """``body(s)`` with ``s.<name>`` bound to each value, evaluated once per row.
+
+    Not for arguments of Python functions: Catalyst does not extract a Python function whose argument
+    holds a lambda that refers to an outer lambda's variable.
+    """
     bound = F.struct(*[v.alias(n) for n, v in values.items()])
     return F.transform(F.array(bound), body)[0]
 
 
+def _spread(value: Column, x: Column) -> Column:
+    return F.array_repeat(value, F.size(x))
+
+
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
@@ -33,22 +41,19 @@ def l2_norm(x: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(x), F.lit(0.0), lambda acc, v: acc + v * v))
 
 
+def _nonzero(n: Column) -> Column:
+    return F.when(n == 0.0, F.lit(1.0)).otherwise(n)
+
+
 def l2_normalize(x: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    return let(
-        lambda s: F.transform(s["x"], lambda v: v / s["norm"]),
-        x=doubles(x),
-        norm=F.when(l2_norm(x) == 0.0, F.lit(1.0)).otherwise(l2_norm(x)),
-    )
+    x = doubles(x)
+    return F.zip_with(x, _spread(_nonzero(l2_norm(x)), x), lambda v, n: v / n)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Inner product of the two unit vectors; 0 when either vector is zero."""
-    return let(
-        lambda s: F.when(s["n"] == 0.0, F.lit(0.0)).otherwise(s["ip"] / s["n"]),
-        ip=inner_product(a, b),
-        n=l2_norm(a) * l2_norm(b),
-    )
+    return inner_product(a, b) / _nonzero(l2_norm(a) * l2_norm(b))
 
 
 def l2_distance(a: Column, b: Column, eps: float = 0.0) -> Column:
@@ -66,7 +71,7 @@ def add(a: Column, b: Column) -> Column:
 
 
 def scale(x: Column, factor: Column) -> Column:
-    return let(lambda s: F.transform(s["x"], lambda v: v * s["f"]), x=x, f=factor)
+    return F.zip_with(x, _spread(factor, x), lambda v, f: v * f)
 
 
 def relu(x: Column) -> Column:
@@ -80,19 +85,9 @@ def sigmoid(v: Column) -> Column:
 def layer_norm(x: Column, gamma: Column | None = None, beta: Column | None = None, eps: float = 1e-5) -> Column:
     """Per-row standardization with population variance, then optional scale and shift."""
     x = doubles(x)
-    centred = let(
-        lambda s: F.transform(s["x"], lambda v: v - s["mean"]),
-        x=x,
-        mean=total(x) / F.size(x),
-    )
-    out = let(
-        lambda s: let(
-            lambda t: F.transform(t["x"], lambda v: v / t["sd"]),
-            x=s["x"],
-            sd=F.sqrt(F.aggregate(s["x"], F.lit(0.0), lambda acc, v: acc + v * v) / F.size(s["x"]) + F.lit(eps)),
-        ),
-        x=centred,
-    )
+    centred = F.zip_with(x, _spread(total(x) / F.size(x), x), lambda v, m: v - m)
+    variance = F.aggregate(centred, F.lit(0.0), lambda acc, v: acc + v * v) / F.size(x)
+    out = F.zip_with(centred, _spread(F.sqrt(variance + F.lit(eps)), x), lambda v, s: v / s)
     if gamma is not None:
         out = F.zip_with(out, gamma, lambda v, g: v * g)
     return out if beta is None else add(out, beta)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.functions.matrix import to_matrix
+from corvane.functions.matrix import to_matrix, unit_rows
 from corvane.runtime import MAX_BROADCAST_CELLS, collect_bounded
 
 QUERY_ROWS = 1024
@@ -45,7 +45,7 @@ class TopK:
 
     def _scores(self, q, x):
         if self.metric == "ip":
-            return np.round(q @ x.T, TIE_DIGITS)
+            return np.round(q @ x.T, TIE_DIGITS) + 0.0  # no minus zero
         # Squared distances by matrix product pick the candidates; their error bound decides how
         # many more than k must be recomputed exactly, so rounding never changes the result.
         qq, xx = (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
@@ -149,17 +149,18 @@ def _canonical(df: DataFrame, key: str, vec: str, group: str | None, own: str |
     cols = [
         (F.lit(0) if group is None else F.col(group)).cast("bigint").alias("grp"),
         F.col(key).cast("bigint").alias("id"),
-        F.col(vec).cast("array<double>").alias("vec"),
+        F.col(vec).alias("vec"),
     ]
     if own is not None:
         cols.append(F.col(own).cast("double").alias("own"))
     return df.select(*cols)
 
 
-def _columns(table: pa.Table):
+def _columns(table: pa.Table, unit: bool):
     grp, ids = (table.column(c).to_numpy() for c in ("grp", "id"))
     own = table.column("own").to_numpy() if "own" in table.column_names else np.zeros(len(ids))
-    return grp, ids, to_matrix(table.column("vec")), own
+    matrix = to_matrix(table.column("vec"))
+    return grp, ids, unit_rows(matrix) if unit else matrix, own
 
 
 def block_join(
@@ -172,11 +173,15 @@ def block_join(
     item_vec: str = "vec",
     group: str | None = None,
     own: str | None = None,
+    unit: bool = True,
     broadcast_cells: int = MAX_BROADCAST_CELLS,
     query_rows: int = QUERY_ROWS,
     item_rows: int = ITEM_ROWS,
 ) -> DataFrame:
-    """Partial results of ``fold``: several rows per query, to be merged by the caller."""
+    """Partial results of ``fold``: several rows per query, to be merged by the caller.
+
+    Vectors travel as stored (32-bit floats stay so) and are normalized block by block if ``unit``.
+    """
     q = _canonical(queries, query_key, query_vec, group, own)
     x = _canonical(items, item_key, item_vec, group)
     if broadcast_cells:
@@ -184,23 +189,23 @@ def block_join(
         width = max(1, len(head[0])) if len(head) else 1
         small = collect_bounded(q, broadcast_cells // width)
         if small is not None:
-            return _beside_items(x, small, fold, item_rows)
-    return _grid(q, x, fold, grouped=group is not None, query_rows=query_rows, item_rows=item_rows)
+            return _beside_items(x, small, fold, unit, item_rows)
+    return _grid(q, x, fold, unit, grouped=group is not None, query_rows=query_rows, item_rows=item_rows)
 
 
-def _beside_items(x: DataFrame, queries: pa.Table, fold, item_rows: int) -> DataFrame:
+def _beside_items(x: DataFrame, queries: pa.Table, fold, unit: bool, item_rows: int) -> DataFrame:
     shipped = x.sparkSession.sparkContext.broadcast(
         queries.sort_by([("grp", "ascending"), ("id", "ascending")]).combine_chunks()
     )
     names = _names(fold.schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_grp, q_ids, q, own = _columns(shipped.value)
+        q_grp, q_ids, q, own = _columns(shipped.value, unit)
         state = fold.start(len(q_ids))
         for batch in batches:
             if batch.num_rows == 0 or len(q_ids) == 0:
                 continue
-            grp, ids, x_mat, _ = _columns(pa.Table.from_batches([batch]))
+            grp, ids, x_mat, _ = _columns(pa.Table.from_batches([batch]), unit)
             by_group = np.argsort(grp, kind="stable")
             starts = np.flatnonzero(np.diff(grp[by_group], prepend=grp[by_group[0]] - 1))
             for lo, hi in zip(starts, [*starts[1:], len(grp)]):
@@ -218,7 +223,7 @@ def _beside_items(x: DataFrame, queries: pa.Table, fold, item_rows: int) -> Data
     return x.mapInArrow(scan, fold.schema)
 
 
-def _grid(q: DataFrame, x: DataFrame, fold, grouped: bool, query_rows: int, item_rows: int) -> DataFrame:
+def _grid(q: DataFrame, x: DataFrame, fold, unit: bool, grouped: bool, query_rows: int, item_rows: int) -> DataFrame:
     names = _names(fold.schema)
 
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
@@ -246,8 +251,8 @@ def _grid(q: DataFrame, x: DataFrame, fold, grouped: bool, query_rows: int, item
         if left.num_rows == 0 or right.num_rows == 0:
             out = [[] for _ in names]
         else:
-            grp, q_ids, q_mat, own = _columns(left)
-            _, ids, x_mat, _ = _columns(right)
+            grp, q_ids, q_mat, own = _columns(left, unit)
+            _, ids, x_mat, _ = _columns(right, unit)
             state = fold.start(len(q_ids))
             for j in range(0, len(q_ids), QUERY_ROWS):
                 at = slice(j, j + QUERY_ROWS)

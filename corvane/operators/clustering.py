@@ -8,17 +8,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import vectors as V
-from corvane.functions.matrix import to_matrix
+from corvane.functions.matrix import to_matrix, unit_rows
 from corvane.operators.gnn import vector_sum
 from corvane.operators.search import ivf_assign
 from corvane.runtime import MAX_BROADCAST_CELLS
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return matrix / np.where(norm == 0.0, 1.0, norm)
-
-
 def ivf_train(
     items: DataFrame, nlist: int = 100, iterations: int = 10, method: str = "lloyd", seed: int = 0
 ) -> np.ndarray:
@@ -33,11 +28,11 @@ def ivf_train(
         model = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, maxIter=iterations).fit(
             unit.select(array_to_vector("vec").alias("features"))
         )
-        return _unit_rows(np.array(model.clusterCenters()))
+        return unit_rows(np.array(model.clusterCenters()))
     if method != "lloyd":
         raise ValueError(f"unknown training method {method!r}")
     seeds = unit.withColumn("key", F.md5(F.col("vec_id").cast("string"))).orderBy("key", "vec_id").limit(nlist)
-    centroids = _unit_rows(to_matrix(seeds.select("vec").toArrow().column("vec")))
+    centroids = unit_rows(to_matrix(seeds.select("vec").toArrow().column("vec")))
     if centroids.size > MAX_BROADCAST_CELLS:
         raise ValueError("nlist times dimension is too large to ship whole to every task")
     for _ in range(iterations):
@@ -45,5 +40,5 @@ def ivf_train(
         moved = centroids.copy()
         for row in sums.collect():  # one row per cell
             moved[row["cell"]] = row["vec"]
-        centroids = _unit_rows(moved)
+        centroids = unit_rows(moved)
     return centroids

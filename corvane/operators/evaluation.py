@@ -18,10 +18,9 @@ def rank_of_match(queries: DataFrame, codes: DataFrame, group: str | None = None
     ties go to the lower id.  With ``group`` only codes of the query's own group compete.
     """
     extra = [] if group is None else [group]
-    q = queries.select("query_id", V.l2_normalize(F.col("vec")).alias("vec"), *extra)
-    x = codes.select("vec_id", V.l2_normalize(F.col("vec")).alias("vec"), *extra)
+    q, x = queries.select("query_id", "vec", *extra), codes.select("vec_id", "vec", *extra)
     own = x.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("match"))
-    marked = q.join(own, "query_id").withColumn("own", V.inner_product(F.col("vec"), F.col("match"))).drop("match")
+    marked = q.join(own, "query_id").withColumn("own", V.cosine(F.col("vec"), F.col("match"))).drop("match")
     parts = block_join(marked, x, BetterCount(), group=group, own="own", **blocks)
     ranks = parts.groupBy("grp", "query_id").agg((F.sum("better") + 1).alias("rank"))
     return ranks.drop("grp") if group is None else ranks.withColumnRenamed("grp", group)

@@ -93,15 +93,15 @@ def gat_propagate(
     around = Window.partitionBy("doc_id", "dst")
     peaks = scored.withColumn("peak", F.array(*[F.max(F.col("e")[h]).over(around) for h in range(heads)]))
     power = peaks.select("doc_id", "dst", "h", F.zip_with("e", "peak", lambda a, b: F.exp(a - b)).alias("p"))
-    weighted = F.transform("h", lambda v, i: v * F.element_at("p", (i / F.lit(channels)).cast("int") + 1))
+
+    def per_channel(p: str) -> Column:
+        return F.flatten(F.transform(p, lambda v: F.array_repeat(v, channels)))
+
+    weighted = F.zip_with("h", per_channel("p"), lambda v, w: v * w)
     sums = power.groupBy("doc_id", F.col("dst").alias("id")).agg(
         vector_sum(weighted).alias("h"), vector_sum(F.col("p")).alias("p")
     )
-    mixed = V.let(
-        lambda t: F.transform(t["h"], lambda v, i: v / F.element_at(t["p"], (i / F.lit(channels)).cast("int") + 1)),
-        h=F.col("h"),
-        p=F.col("p"),
-    )
+    mixed = F.zip_with("h", per_channel("p"), lambda v, w: v / w)
     out = sums.select("doc_id", "id", mixed.alias("h"))
     if concat or heads == 1:
         return out

@@ -72,12 +72,9 @@ def infonce_in_batch(
     pairs(batch_id, id, query, positive).  ``target`` "first" takes the batch's first positive as the
     right answer for every row, "diagonal" the row's own.  The batch products are never rows.
     """
-    unit = pairs.select(
-        "batch_id", "id", V.l2_normalize(F.col("query")).alias("q"), V.l2_normalize(F.col("positive")).alias("p")
-    )
     parts = block_join(
-        unit.select("batch_id", "id", F.col("q").alias("vec")),
-        unit.select("batch_id", "id", F.col("p").alias("vec")),
+        pairs.select("batch_id", "id", F.col("query").alias("vec")),
+        pairs.select("batch_id", "id", F.col("positive").alias("vec")),
         LogSumExp(temperature),
         query_key="id",
         item_key="id",
@@ -90,10 +87,10 @@ def infonce_in_batch(
         (F.log(F.sum(F.col("mass") * F.exp(F.col("peak") - F.col("top")))) + F.max("top")).alias("lse")
     )
     if target == "diagonal":
-        right = unit.select("batch_id", "id", V.inner_product(F.col("q"), F.col("p")).alias("s"))
+        right = pairs.select("batch_id", "id", V.cosine(F.col("query"), F.col("positive")).alias("s"))
     elif target == "first":
-        first = unit.groupBy("batch_id").agg(F.min_by("p", "id").alias("p0"))
-        right = unit.join(first, "batch_id").select("batch_id", "id", V.inner_product(F.col("q"), F.col("p0")).alias("s"))
+        first = pairs.groupBy("batch_id").agg(F.min_by("positive", "id").alias("first"))
+        right = pairs.join(first, "batch_id").select("batch_id", "id", V.cosine(F.col("query"), F.col("first")).alias("s"))
     else:
         raise ValueError(f"unknown target {target!r}")
     joined = total.withColumnsRenamed({"grp": "batch_id", "query_id": "id"}).join(right, ["batch_id", "id"])

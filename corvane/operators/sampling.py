@@ -60,7 +60,7 @@ def hard_negatives(cache: DataFrame, anchors: DataFrame, n: int, pool: DataFrame
     than ``n`` neighbours are topped up by random negatives.
     """
     queries = anchors.join(cache.select(F.col("id").alias("anchor_id"), "vec"), "anchor_id")
-    hits = block_join(queries, cache, TopK(n, "l2", exclude_self=True), query_key="anchor_id", item_key="id", **blocks)
+    hits = block_join(queries, cache, TopK(n, "l2", exclude_self=True), query_key="anchor_id", item_key="id", unit=False, **blocks)
     found = rank_hits(hits, n, ascending=True).select(
         F.col("query_id").alias("anchor_id"), F.col("vec_id").alias("negative_id")
     )

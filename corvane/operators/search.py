@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.functions import vectors as V
-from corvane.functions.matrix import to_matrix
+from corvane.functions.matrix import to_matrix, unit_rows
 from corvane.operators.blocks import TIE_DIGITS, TopK, block_join
 from corvane.runtime import broadcast_checked, explode_once
 
@@ -22,14 +21,9 @@ def rank_hits(hits: DataFrame, k: int, ascending: bool = False) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def _unit(df: DataFrame, key: str, vec: str, *more: str) -> DataFrame:
-    return df.select(F.col(key), V.l2_normalize(F.col(vec)).alias("vec"), *more)
-
-
 def topk_exact(queries: DataFrame, items: DataFrame, k: int = 10, **blocks) -> DataFrame:
     """``k`` items of largest cosine per query.  queries(query_id, vec), items(vec_id, vec)."""
-    hits = block_join(_unit(queries, "query_id", "vec"), _unit(items, "vec_id", "vec"), TopK(k), **blocks)
-    return rank_hits(hits, k)
+    return rank_hits(block_join(queries, items, TopK(k), **blocks), k)
 
 
 def best_cells(x: Column, centroids: np.ndarray, n: int) -> Column:
@@ -41,7 +35,7 @@ def best_cells(x: Column, centroids: np.ndarray, n: int) -> Column:
     def pick(v: pa.Array) -> pa.Array:
         if len(v) == 0:
             return pa.array([], type=pa.list_(pa.int32()))
-        scores = np.round(to_matrix(v) @ table, TIE_DIGITS)
+        scores = np.round(unit_rows(to_matrix(v)) @ table, TIE_DIGITS)
         cells = np.argsort(-scores, axis=1, kind="stable")[:, :n].astype("i4")
         offsets = pa.array(np.arange(len(cells) + 1, dtype="i4") * n)
         return pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))
@@ -59,10 +53,10 @@ def ivf_search(
 ) -> DataFrame:
     """Exact ranking within the ``nprobe`` best cells of each query.
 
-    index(vec_id, vec, cell) holds unit vectors.  The probed cells become a literal filter, bounded
+    index(vec_id, vec, cell).  The probed cells become a literal filter, bounded
     by the number of centroids, so an index partitioned by cell is only read where it is needed.
     """
-    probes = _unit(queries, "query_id", "vec").withColumn("cell", explode_once(best_cells(F.col("vec"), centroids, nprobe)))
+    probes = queries.select("query_id", "vec").withColumn("cell", explode_once(best_cells(F.col("vec"), centroids, nprobe)))
     if nprobe < len(centroids):
         wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]
         index = index.where(F.col("cell").isin(wanted))
@@ -105,8 +99,7 @@ def topk_ann(
     """
 
     def bucketed(df, key):
-        unit = _unit(df, key, "vec")
-        return unit.withColumn("bucket", explode_once(signature_buckets(F.col("vec"), tables, bits, dim)))
+        return df.select(key, "vec").withColumn("bucket", explode_once(signature_buckets(F.col("vec"), tables, bits, dim)))
 
     hits = block_join(bucketed(queries, "query_id"), bucketed(items, "vec_id"), TopK(k), group="bucket", **blocks)
     # The same neighbour may turn up in several tables.

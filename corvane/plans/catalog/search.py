@@ -14,7 +14,6 @@ from corvane.plans.catalog.fixtures import (
     SQL_UNIT,
     code_records,
     long_form,
-    r6,
     sql_embed,
     sql_r6,
     table,
@@ -33,7 +32,7 @@ def _queries(spark, d):
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), r6(F.col("score")).alias("score"))
+    return df.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 def exact(spark, d):
@@ -48,7 +47,7 @@ def exact_grid(spark, d):
 
 def sql_rank(pairs: str, k: int = K) -> str:
     """Top-k of the CTE ``pairs(query_id, vec_id, s)``; scores tie at nine digits."""
-    return f"""SELECT query_id, vec_id, rank, {sql_r6('s')} AS score FROM (
+    return f"""SELECT query_id, vec_id, rank, round(s, 9) + 0.0::DOUBLE AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM {pairs}) WHERE rank <= {k}"""
 
 
@@ -161,7 +160,7 @@ def documents(spark, d):
     hits = S.topk_exact(_text_queries(spark, d), items, K)
     found = S.attach_metadata(hits, docs.select(F.col("doc_id").alias("vec_id"), "lang", "source", "n_chars"))
     return found.select(
-        "query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", r6(F.col("score")).alias("score"), "lang", "source", "n_chars"
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "score", "lang", "source", "n_chars"
     )
 
 
@@ -196,8 +195,7 @@ def searched(mode="post", language=None, scores=True, index_type="Flat"):
     def query(spark, d):
         out = search(code_requests(spark, d), code_index(spark, d, index_type), scores, mode, language)
         cols = ["query_id", F.col("rank").cast("bigint").alias("rank"), "language", "func_name", "docstring", F.md5("code").alias("code_md5")]
-        # Index vectors are stored as 32-bit floats, so scores are compared to five digits.
-        return out.select(*cols, *([F.round("score", 5).alias("score")] if scores else []))
+        return out.select(*cols, *(["score"] if scores else []))
 
     return query
 
@@ -205,17 +203,15 @@ def searched(mode="post", language=None, scores=True, index_type="Flat"):
 def sql_searched(mode: str = "post", language: str | None = None, scores: bool = True) -> str:
     keep = f"WHERE language = '{language}'" if mode == "pre" else ""
     post = "AND (want IS NULL OR want = language)" if mode == "post" else ""
-    score = ", round(s, 5) + 0.0::DOUBLE AS score" if scores else ""
+    score = ", round(s, 9) + 0.0::DOUBLE AS score" if scores else ""
     return f"""WITH {SQL_CODE},
 kept AS (SELECT doc_id, {sql_whitespace(sql_remove_comments())} AS clean FROM code_fixture {keep}),
 req AS (SELECT item_id AS query_id, concat(text, ' return size price total ', item_id::VARCHAR) AS query,
           CASE WHEN item_id % 4 = 0 THEN 10 ELSE item_id % 4 * 5 END AS top_k,
           CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'python' ELSE 'java' END AS want FROM benchmark),
 {sql_embed('x', 'kept', 'doc_id', 'clean', DIM)}, {sql_embed('q', 'req', 'query_id', 'query', DIM)},
-p AS (SELECT query_id, doc_id, sum(q.x * x.x::FLOAT::DOUBLE) AS s,
-             sqrt(sum(x.x::FLOAT::DOUBLE * x.x::FLOAT::DOUBLE)) AS n FROM q JOIN x USING (d) GROUP BY ALL),
-pn AS (SELECT query_id, doc_id, CASE WHEN n = 0 THEN 0 ELSE s / n END AS s FROM p),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM pn)
+p AS (SELECT query_id, doc_id, sum(q.x * x.x::FLOAT::DOUBLE) AS s FROM q JOIN x USING (d) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM p)
 SELECT query_id, rank, language, func_name, docstring, md5(code) AS code_md5{score}
 FROM ranked JOIN req USING (query_id) JOIN code_fixture USING (doc_id) WHERE rank <= top_k {post}"""
 

@@ -72,16 +72,14 @@ def loaded_search(spark, d):
     index = _new_index(spark, "IVF")
     index.add(_rows(spark, d))
     hits = VectorIndex.load(spark, index.path).search(_queries(spark, d), K)
-    return hits.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
+    return hits.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 _U32 = f"""{SQL_UNIT},
-u32 AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS v FROM (
-  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM (SELECT vec_id, v::FLOAT[]::DOUBLE[] AS v FROM u)))"""
+u32 AS (SELECT vec_id, v::FLOAT[]::DOUBLE[] AS v FROM u)"""
 SQL_LOADED = f"""WITH {_U32},
 p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS s FROM u a CROSS JOIN u32 b)
-SELECT query_id, vec_id, rank, round(score, 5) + 0.0::DOUBLE AS score FROM (
-  {sql_rank('p').replace(sql_r6('s'), 's')})"""
+{sql_rank('p')}"""
 
 
 def appended(spark, d):

@@ -11,6 +11,7 @@ from corvane.functions import vectors as V
 from corvane.functions.matrix import load_matrix
 from corvane.operators.clustering import ivf_train
 from corvane.operators.search import ivf_assign, ivf_search, topk_ann, topk_exact
+from corvane.runtime import checkpoint
 
 INDEX_TYPES = ("Flat", "IVF", "HNSW")
 
@@ -94,6 +95,7 @@ class VectorIndex:
             return unit.withColumn("cell", F.lit(0))
         centroids = self.centroids()
         if centroids is None:
+            unit = checkpoint(unit)  # every training round reads the vectors again
             centroids = ivf_train(unit, self.config.nlist)
             table = [(i, [float(v) for v in row]) for i, row in enumerate(centroids)]
             self.spark.createDataFrame(table, "cell int, vec array<double>").coalesce(1).write.mode("overwrite").parquet(
@@ -121,18 +123,19 @@ class VectorIndex:
         """(query_id, vec_id, score, rank) for queries(query_id, vec).
 
         ``where`` restricts the index before ranking; it is pushed to the Parquet scan.  Only ids and
-        vectors are read here, metadata is joined to the hits.
+        vectors are read here, metadata is joined to the hits.  Stored vectors are unit vectors already.
         """
+        queries = queries.select("query_id", V.l2_normalize(F.col("vec")).alias("vec"))
         rows = self.vectors() if where is None else self.vectors().where(where)
         items = rows.select("vec_id", F.col("embedding").alias("vec"), "cell")
         if self.config.index_type == "IVF":
             centroids = self.centroids()
             if centroids is None:
                 raise ValueError("the index is empty")
-            return ivf_search(queries, items, centroids, k, self.config.nprobe)
+            return ivf_search(queries, items, centroids, k, self.config.nprobe, unit=False)
         if self.config.index_type == "HNSW":
-            return topk_ann(queries, items, self.config.embedding_dim, k)
-        return topk_exact(queries, items, k)
+            return topk_ann(queries, items, self.config.embedding_dim, k, unit=False)
+        return topk_exact(queries, items, k, unit=False)
 
     def metadata(self) -> DataFrame:
         return self.vectors().drop("embedding", "cell", "ingest")
