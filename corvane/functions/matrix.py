@@ -6,6 +6,8 @@ boxed number at a time.  All of them are narrow: no shuffle, no extra rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -80,16 +82,24 @@ def linear_join(df: DataFrame, key: str, x: str, weights: DataFrame, out: str) -
     return rows.select(key, F.transform("p", lambda s: s["y"]).alias(out))
 
 
-def scatter_signed(codes: Column, dim: int) -> Column:
-    """Unit vector of summed signs: code ``+-(bucket + 1)`` adds +-1 to its bucket."""
+def hash_scatter(words: Column, dim: int) -> Column:
+    """Unit vector of an array of words: every word adds +-1 to its bucket.
+
+    Bucket and sign come from the word's md5.  A batch hashes each distinct word once and scatters
+    the dictionary codes; empty words add nothing.
+    """
 
     @F.arrow_udf("array<double>")
     def scatter(batch: pa.Array) -> pa.Array:
         n = len(batch)
+        flat = batch.flatten().dictionary_encode()
+        digests = [hashlib.md5(w.encode()).hexdigest() if w else None for w in flat.dictionary.to_pylist()]
+        bucket = np.array([int(h[:8], 16) % dim if h else 0 for h in digests], dtype="i8")
+        sign = np.array([(1.0 if h[8] < "8" else -1.0) if h else 0.0 for h in digests])
+        code = flat.indices.to_numpy(zero_copy_only=False)
         lengths = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = batch.flatten().to_numpy(zero_copy_only=False).astype("i8", copy=False)
-        cell = np.repeat(np.arange(n), lengths) * dim + np.abs(flat) - 1
-        matrix = np.bincount(cell, weights=np.sign(flat), minlength=n * dim).reshape(n, dim)
+        cell = np.repeat(np.arange(n), lengths) * dim + bucket[code]
+        matrix = np.bincount(cell, weights=sign[code], minlength=n * dim).reshape(n, dim)
         return from_matrix(unit_rows(matrix))
 
-    return scatter(codes)
+    return scatter(words)

@@ -106,10 +106,14 @@ def function_signature(code: Column, language: Column) -> Column:
     return found.otherwise(F.lit(""))
 
 
+# Fixed value: what separates words, on lower-cased text.
+WORD_BREAK = "[^a-z0-9_]+"
+
+
 def node_text(text: Column, length: int = 100) -> Column:
     return F.substring(text, 1, length)
 
 
 def words(text: Column) -> Column:
     """Lower-cased alphanumeric words of a text, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+", -1), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), WORD_BREAK, -1), lambda w: w != "")

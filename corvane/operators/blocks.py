@@ -27,6 +27,7 @@ from corvane.runtime import MAX_BROADCAST_CELLS, collect_bounded
 
 QUERY_ROWS = 1024
 ITEM_ROWS = 4096
+MIN_SCAN_TASKS = 10_000
 # Scores closer than this are ties, settled by the lower id.
 TIE_DIGITS = 9
 
@@ -193,6 +194,22 @@ def block_join(
     return _grid(q, x, fold, unit, grouped=group is not None, query_rows=query_rows, item_rows=item_rows)
 
 
+def _fold_groups(fold, state, queries, items, item_rows: int) -> None:
+    """Fold the items into the state of the queries of the same group; queries are sorted by group."""
+    q_grp, q_ids, q, own = queries
+    grp, ids, x, _ = items
+    by_group = np.argsort(grp, kind="stable")
+    starts = np.flatnonzero(np.diff(grp[by_group], prepend=grp[by_group[0]] - 1))
+    for lo, hi in zip(starts, [*starts[1:], len(grp)]):
+        value = grp[by_group[lo]]
+        q_lo, q_hi = np.searchsorted(q_grp, [value, value + 1])
+        for i in range(lo, hi, item_rows):
+            rows = by_group[i : min(i + item_rows, hi)]
+            for j in range(q_lo, q_hi, QUERY_ROWS):
+                at = slice(j, min(j + QUERY_ROWS, q_hi))
+                fold.fold(state, at, q[at], q_ids[at], own[at], x[rows], ids[rows])
+
+
 def _beside_items(x: DataFrame, queries: pa.Table, fold, unit: bool, item_rows: int) -> DataFrame:
     shipped = x.sparkSession.sparkContext.broadcast(
         queries.sort_by([("grp", "ascending"), ("id", "ascending")]).combine_chunks()
@@ -200,43 +217,47 @@ def _beside_items(x: DataFrame, queries: pa.Table, fold, unit: bool, item_rows:
     names = _names(fold.schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_grp, q_ids, q, own = _columns(shipped.value, unit)
-        state = fold.start(len(q_ids))
+        queries = _columns(shipped.value, unit)
+        state = fold.start(len(queries[1]))
         for batch in batches:
-            if batch.num_rows == 0 or len(q_ids) == 0:
-                continue
-            grp, ids, x_mat, _ = _columns(pa.Table.from_batches([batch]), unit)
-            by_group = np.argsort(grp, kind="stable")
-            starts = np.flatnonzero(np.diff(grp[by_group], prepend=grp[by_group[0]] - 1))
-            for lo, hi in zip(starts, [*starts[1:], len(grp)]):
-                value = grp[by_group[lo]]
-                q_lo, q_hi = np.searchsorted(q_grp, [value, value + 1])
-                for i in range(lo, hi, item_rows):
-                    rows = by_group[i : min(i + item_rows, hi)]
-                    for j in range(q_lo, q_hi, QUERY_ROWS):
-                        at = slice(j, min(j + QUERY_ROWS, q_hi))
-                        fold.fold(state, at, q[at], q_ids[at], own[at], x_mat[rows], ids[rows])
-        out = fold.emit(state, q_grp, q_ids)
+            if batch.num_rows and len(queries[1]):
+                _fold_groups(fold, state, queries, _columns(pa.Table.from_batches([batch]), unit), item_rows)
+        out = fold.emit(state, queries[0], queries[1])
         if len(out[0]):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
+    # Every task emits up to k rows per query, so there should not be far more tasks than cores.
+    tasks = max(MIN_SCAN_TASKS, 8 * x.sparkSession.sparkContext.defaultParallelism)
+    x = x.coalesce(tasks)
     return x.mapInArrow(scan, fold.schema)
 
 
 def _grid(q: DataFrame, x: DataFrame, fold, unit: bool, grouped: bool, query_rows: int, item_rows: int) -> DataFrame:
     names = _names(fold.schema)
 
+    def sizes(df: DataFrame) -> DataFrame:
+        return df.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         """Groups needing more than one block, with their number of blocks."""
-        sizes = df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
-        return sizes.select("grp", F.ceil(F.col("n") / rows).cast("int").alias(name))
+        return sizes(df).where(F.col("n") > rows).select("grp", F.ceil(F.col("n") / rows).cast("int").alias(name))
 
     if grouped:
+        # Groups that fit into one block on both sides share grid cells of about one block's rows; a
+        # larger group has grid cells of its own.
+        packs = max(1, -(-q.count() // query_rows), -(-x.count() // item_rows))
         heavy = blocks(q, query_rows, "n_qb").join(blocks(x, item_rows, "n_ib"), "grp", "full")
         q, x = q.join(heavy, "grp", "left"), x.join(heavy, "grp", "left")
+        single = F.col("n_qb").isNull() & F.col("n_ib").isNull()
+        shared = F.pmod(F.xxhash64("grp"), F.lit(packs))
+        cell = F.when(single, F.struct(shared.alias("pack"), F.lit(None).cast("bigint").alias("alone"))).otherwise(
+            F.struct(F.lit(None).cast("bigint").alias("pack"), F.col("grp").alias("alone"))
+        )
     else:
         n_qb, n_ib = (-(-df.count() // rows) for df, rows in ((q, query_rows), (x, item_rows)))
         q, x = (df.withColumns({"n_qb": F.lit(n_qb), "n_ib": F.lit(n_ib)}) for df in (q, x))
+        cell = F.lit(0)
+    q, x = q.withColumn("cell", cell), x.withColumn("cell", cell)
 
     def spread(df: DataFrame, mine: str, my_count: str, other: str, other_count: str) -> DataFrame:
         own_block = F.pmod(F.xxhash64("id"), F.greatest(F.coalesce(F.col(my_count), F.lit(1)), F.lit(1)))
@@ -251,15 +272,12 @@ def _grid(q: DataFrame, x: DataFrame, fold, unit: bool, grouped: bool, query_row
         if left.num_rows == 0 or right.num_rows == 0:
             out = [[] for _ in names]
         else:
-            grp, q_ids, q_mat, own = _columns(left, unit)
-            _, ids, x_mat, _ = _columns(right, unit)
-            state = fold.start(len(q_ids))
-            for j in range(0, len(q_ids), QUERY_ROWS):
-                at = slice(j, j + QUERY_ROWS)
-                fold.fold(state, at, q_mat[at], q_ids[at], own[at], x_mat, ids)
-            out = fold.emit(state, grp, q_ids)
+            queries = _columns(left.sort_by("grp"), unit)
+            state = fold.start(len(queries[1]))
+            _fold_groups(fold, state, queries, _columns(right, unit), item_rows)
+            out = fold.emit(state, queries[0], queries[1])
         schema = pa.schema([(n, pa.float64() if n in ("score", "peak", "mass") else pa.int64()) for n in names])
         return pa.table([pa.array(c, type=t) for c, t in zip(out, schema.types)], schema=schema)
 
-    keys = ("grp", "qb", "ib")
+    keys = ("cell", "qb", "ib")
     return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(meet, fold.schema)

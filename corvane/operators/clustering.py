@@ -36,7 +36,7 @@ def ivf_train(
     if centroids.size > MAX_BROADCAST_CELLS:
         raise ValueError("nlist times dimension is too large to ship whole to every task")
     for _ in range(iterations):
-        sums = ivf_assign(unit, centroids).groupBy("cell").agg(vector_sum(F.col("vec")).alias("vec"))
+        sums = ivf_assign(unit, centroids).groupBy("cell").agg(vector_sum("vec", centroids.shape[1]).alias("vec"))
         moved = centroids.copy()
         for row in sums.collect():  # one row per cell
             moved[row["cell"]] = row["vec"]

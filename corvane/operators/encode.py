@@ -12,25 +12,33 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corvane.functions import vectors as V
 from corvane.functions.matrix import from_matrix, linear, to_matrix
+from corvane.operators.gnn import MAX_COLUMNS, vector_sum
 
 # Smallest mask sum, and the value of a masked component under max pooling.
 MIN_MASK, MASKED = 1e-9, -1e9
 
 
-def pool_tokens(tokens: DataFrame, pooling: str = "cls", key: str = "doc_id") -> DataFrame:
-    """(key, vec) from token rows (key, pos, vec, mask); the pooled vector is layer-normalized."""
+def pool_tokens(tokens: DataFrame, pooling: str = "cls", key: str = "doc_id", width: int | None = None) -> DataFrame:
+    """(key, vec) from token rows (key, pos, vec, mask); the pooled vector is layer-normalized.
+
+    ``width`` is the vector width, where known: narrow vectors are then aggregated by component.
+    """
     vec = F.col("vec")
     if pooling == "cls":
         pooled = tokens.where(F.col("pos") == 0).select(key, vec)
     elif pooling == "mean":
         masked = V.scale(vec, F.col("mask").cast("double"))
-        summed = vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(masked)).getField("sum"))
-        sums = tokens.groupBy(key).agg(summed.alias("vec"), F.sum("mask").cast("double").alias("n"))
+        rows = tokens.select(key, masked.alias("vec"), "mask")
+        sums = rows.groupBy(key).agg(vector_sum("vec", width).alias("vec"), F.sum("mask").cast("double").alias("n"))
         pooled = sums.select(key, V.scale(vec, 1.0 / F.greatest("n", F.lit(MIN_MASK))).alias("vec"))
     elif pooling == "max":
         masked = F.when(F.col("mask") == 0, F.transform(vec, lambda _: F.lit(MASKED))).otherwise(vec)
-        top = vector_to_array(Summarizer.metrics("max").summary(array_to_vector(masked)).getField("max"))
-        pooled = tokens.groupBy(key).agg(top.alias("vec"))
+        rows = tokens.select(key, masked.alias("vec"))
+        if width is not None and width <= MAX_COLUMNS:
+            top = F.array(*[F.max(vec[i]) for i in range(width)])
+        else:
+            top = vector_to_array(Summarizer.metrics("max").summary(array_to_vector(vec)).getField("max"))
+        pooled = rows.groupBy(key).agg(top.alias("vec"))
     else:
         raise ValueError(f"unknown pooling {pooling!r}")
     return pooled.select(key, V.layer_norm(F.col("vec")).alias("vec"))

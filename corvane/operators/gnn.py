@@ -20,7 +20,16 @@ from corvane.functions.matrix import from_matrix, linear, to_matrix
 from corvane.runtime import broadcast_checked, checkpoint
 
 
-def vector_sum(x: Column) -> Column:
+# Up to this width a vector aggregate is one column per component, which runs in generated code and
+# in a fixed-width hash map; wider vectors go through Summarizer.
+MAX_COLUMNS = 128
+
+
+def vector_sum(x: str, width: int | None = None) -> Column:
+    """Componentwise sum of a projected vector column."""
+    if width is not None and width <= MAX_COLUMNS:
+        return F.array(*[F.sum(F.col(x)[i]) for i in range(width)])
+    x = F.col(x)
     return vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(x)).getField("sum"))
 
 
@@ -38,9 +47,13 @@ def _without_loops(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).select("doc_id", "src", "dst")
 
 
-def gcn_propagate(nodes: DataFrame, edges: DataFrame, weight: np.ndarray | None = None) -> DataFrame:
+def gcn_propagate(
+    nodes: DataFrame, edges: DataFrame, weight: np.ndarray | None = None, width: int | None = None
+) -> DataFrame:
     """Degree-normalized neighbour sum with self-loops; parallel edges count.
 
+    ``width`` is the vector width, where known and no weight tells it.
+
     nodes(doc_id, id, x[, more]) -> (doc_id, id, h).
     """
     plain = _without_loops(edges)
@@ -54,7 +67,8 @@ def gcn_propagate(nodes: DataFrame, edges: DataFrame, weight: np.ndarray | None
     terms = messages.select("doc_id", F.col("dst").alias("id"), F.lit(None).cast("double").alias("inv"), "h").unionByName(
         scaled
     )
-    sums = terms.groupBy("doc_id", "id").agg(F.max("inv").alias("inv"), vector_sum(F.col("h")).alias("h"))
+    width = width if weight is None else weight.shape[0]
+    sums = terms.groupBy("doc_id", "id").agg(F.max("inv").alias("inv"), vector_sum("h", width).alias("h"))
     return sums.select("doc_id", "id", V.scale(F.col("h"), F.col("inv")).alias("h"))
 
 
@@ -98,9 +112,8 @@ def gat_propagate(
         return F.flatten(F.transform(p, lambda v: F.array_repeat(v, channels)))
 
     weighted = F.zip_with("h", per_channel("p"), lambda v, w: v * w)
-    sums = power.groupBy("doc_id", F.col("dst").alias("id")).agg(
-        vector_sum(weighted).alias("h"), vector_sum(F.col("p")).alias("p")
-    )
+    terms = power.select("doc_id", F.col("dst").alias("id"), weighted.alias("h"), "p")
+    sums = terms.groupBy("doc_id", "id").agg(vector_sum("h", heads * channels).alias("h"), vector_sum("p", heads).alias("p"))
     mixed = F.zip_with("h", per_channel("p"), lambda v, w: v / w)
     out = sums.select("doc_id", "id", mixed.alias("h"))
     if concat or heads == 1:
@@ -164,14 +177,17 @@ def residual_layer(nodes: DataFrame, edges: DataFrame, layer: Layer, eps: float
 
 def node_embeddings(nodes: DataFrame, edges: DataFrame, layers: list[Layer]) -> DataFrame:
     """Node vectors after the last layer."""
-    edges = checkpoint(edges)
+    nodes, edges = checkpoint(nodes), checkpoint(edges)
     for layer in layers:
         nodes = residual_layer(nodes, edges, layer)
     return nodes
 
 
-def graph_mean_max_pool(nodes: DataFrame) -> DataFrame:
+def graph_mean_max_pool(nodes: DataFrame, width: int | None = None) -> DataFrame:
     """(doc_id, vec): mean and maximum of the node vectors, concatenated."""
+    if width is not None and width <= MAX_COLUMNS:
+        parts = [f(F.col("x")[i]) for f in (F.avg, F.max) for i in range(width)]
+        return nodes.groupBy("doc_id").agg(F.array(*parts).alias("vec"))
     parts = Summarizer.metrics("mean", "max").summary(array_to_vector(F.col("x")))
     pooled = nodes.groupBy("doc_id").agg(parts.alias("s"))
     return pooled.select("doc_id", F.concat(vector_to_array("s.mean"), vector_to_array("s.max")).alias("vec"))

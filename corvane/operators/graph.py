@@ -6,10 +6,10 @@ Every per-graph window below runs after that cap, which bounds its partitions by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.operators.positions import running, with_positions
-from corvane.runtime import broadcast_checked
+from corvane.runtime import broadcast_checked, explode_once
 
 MAX_NODES = 500
 
@@ -73,12 +73,31 @@ def control_flow_edges(nodes: DataFrame, max_nodes: int = MAX_NODES, control_typ
 
 
 def graph_edges(nodes: DataFrame, max_nodes: int = MAX_NODES, control_types=CONTROL_TYPES) -> DataFrame:
-    """All edges; an edge found by two rules is kept twice."""
-    return (
-        tree_edges(nodes, max_nodes)
-        .unionByName(sibling_edges(nodes, max_nodes))
-        .unionByName(control_flow_edges(nodes, max_nodes, control_types))
+    """All edges; an edge found by two rules is kept twice.
+
+    One pass over the nodes and one shuffle: partitioned by document, both windows find their rows in
+    place, and every node emits its edges of all kinds.
+    """
+    control = F.coalesce(F.col("type").isin(*control_types), F.lit(False))
+    slim = cap_nodes(nodes, max_nodes).select("doc_id", "id", "parent_id", control.alias("control")).repartition("doc_id")
+    sibling = F.lead("id").over(Window.partitionBy("doc_id", "parent_id").orderBy("id"))
+    following = F.lead("id").over(Window.partitionBy("doc_id", "control").orderBy("id"))
+    linked = slim.withColumns({"sibling": sibling, "following": following})
+    child = F.col("parent_id") < max_nodes
+
+    def edge(when: Column, src: str, dst: str, kind: str) -> Column:
+        return F.when(when, F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind")))
+
+    has_sibling = child & F.col("sibling").isNotNull()
+    edges = F.array(
+        edge(child, "parent_id", "id", "tree"),
+        edge(child, "id", "parent_id", "tree"),
+        edge(has_sibling, "id", "sibling", "sibling"),
+        edge(has_sibling, "sibling", "id", "sibling"),
+        edge(F.col("control") & F.col("following").isNotNull(), "id", "following", "control"),
     )
+    flat = linked.select("doc_id", explode_once(F.array_compact(edges)).alias("e")).where(F.col("e").isNotNull())
+    return flat.select("doc_id", "e.src", "e.dst", "e.kind")
 
 
 def node_type_vocab(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from corvane.functions.vectors import let
 from corvane.operators.blocks import TopK, block_join
 from corvane.operators.positions import with_positions
 from corvane.operators.search import rank_hits
-from corvane.runtime import explode_once
+from corvane.runtime import checkpoint, explode_once
 
 NUM_NEGATIVES, HARD_RATIO = 4, 0.5
 
@@ -66,9 +66,12 @@ def hard_negatives(cache: DataFrame, anchors: DataFrame, n: int, pool: DataFrame
     )
     if pool is None:
         return found
+    found = checkpoint(found)
     counts = found.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("have"))
     short = anchors.join(counts, "anchor_id", "left").select("anchor_id", F.coalesce("have", F.lit(0)).alias("have"))
-    short = short.where(F.col("have") < n)
+    short = checkpoint(short.where(F.col("have") < n))
+    if short.isEmpty():
+        return found
     extra = random_negatives(pool, short.select("anchor_id"), n, seed).join(short, "anchor_id")
     # Of at most n draws per anchor keep the first n - have; their order is the draw's own hash.
     ranked = extra.groupBy("anchor_id", "have").agg(
@@ -107,23 +110,33 @@ SPLITS = ("train", "val", "test")
 _LEVEL = 4  # hex digits looked at per counting pass
 
 
-def _key_at(keys: DataFrame, rank: int) -> str:
-    """The md5 key of 0-based ``rank``: two counting passes narrow it down to a handful of keys."""
-    prefix = ""
-    for _ in range(2):
-        here = keys.where(F.col("key").startswith(prefix))
-        step = F.substring("key", len(prefix) + 1, _LEVEL).alias("p")
-        for row in here.groupBy(step).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
-            if rank < row["n"]:
-                prefix += row["p"]
-                break
-            rank -= row["n"]
-    last = keys.where(F.col("key").startswith(prefix)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    for row in last.orderBy("key").collect():
-        if rank < row["n"]:
-            return row["key"]
-        rank -= row["n"]
-    raise ValueError("rank beyond the last key")
+def _boundaries(keys: DataFrame, shares: tuple[float, float]) -> list[str]:
+    """First key behind int(share_1 n) rows, and behind int(share_2 n) more, in key order.
+
+    Three counting passes serve both: each looks four digits deeper, only below the prefixes that
+    hold a boundary, and brings at most 2 * 16^4 counts to the driver (the last a handful of keys).
+    """
+
+    def counts(frame: DataFrame, name: Column) -> dict[str, int]:
+        rows = frame.groupBy(name.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        return {r["p"]: r["n"] for r in rows}
+
+    level = counts(keys, F.substring("key", 1, _LEVEL))
+    n = sum(level.values())
+    first = int(shares[0] * n)
+    ranks = {i: r for i, r in enumerate((first, first + int(shares[1] * n))) if r < n}
+    prefixes = dict.fromkeys(ranks, "")
+    for depth in (_LEVEL, 2 * _LEVEL, 32):
+        if depth > _LEVEL:
+            held = F.substring("key", 1, len(next(iter(prefixes.values()), ""))).isin(*set(prefixes.values()))
+            level = counts(keys.where(held), F.substring("key", 1, depth)) if prefixes else {}
+        for i, rank in ranks.items():
+            for name in sorted(p for p in level if p.startswith(prefixes[i])):
+                if rank < level[name]:
+                    prefixes[i], ranks[i] = name, rank
+                    break
+                rank -= level[name]
+    return [prefixes.get(i, "g") for i in range(2)]  # "g" sorts behind every hex digest
 
 
 def split(df: DataFrame, key: str, seed=0, mode: str = "exact", train: float = 0.8, val: float = 0.1) -> DataFrame:
@@ -137,10 +150,7 @@ def split(df: DataFrame, key: str, seed=0, mode: str = "exact", train: float = 0
     if mode == "hash":
         bounds = [f"{int(share * 16**8):08x}" for share in (train, train + val)]
     elif mode == "exact":
-        keys = df.select(shuffled.alias("key"))
-        n = keys.count()
-        ranks = [int(train * n), int(train * n) + int(val * n)]
-        bounds = [_key_at(keys, r) if r < n else "g" for r in ranks]
+        bounds = _boundaries(df.select(shuffled.alias("key")), (train, val))
     else:
         raise ValueError(f"unknown split mode {mode!r}")
     name = F.when(shuffled < bounds[0], SPLITS[0]).when(shuffled < bounds[1], SPLITS[1]).otherwise(SPLITS[2])
@@ -148,12 +158,17 @@ def split(df: DataFrame, key: str, seed=0, mode: str = "exact", train: float = 0
 
 
 def mini_batches(df: DataFrame, key: str, size: int = 32, shuffle_seed=None) -> DataFrame:
-    """Add ``batch_id`` (position div size), in key order or shuffled; the last batch may be short."""
+    """Add ``batch_id`` (position div size), in key order or shuffled; the last batch may be short.
+
+    Only keys are put in order and written out; the rows join them once.
+    """
+    keys = df.select(key)
     if shuffle_seed is None:
-        placed = with_positions(df, key)
+        placed = with_positions(keys, key)
     else:
-        placed = with_positions(df.withColumn("_shuffle", md5_key(shuffle_seed, F.col(key))), "_shuffle", key).drop("_shuffle")
-    return placed.withColumn("batch_id", F.floor(F.col("position") / size)).drop("position")
+        placed = with_positions(keys.withColumn("_shuffle", md5_key(shuffle_seed, F.col(key))), "_shuffle", key)
+    batches = placed.select(key, F.floor(F.col("position") / size).alias("batch_id"))
+    return batches if df.columns == [key] else df.join(batches, key)
 
 
 def write_embedding_cache(cache: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.matrix import to_matrix, unit_rows
 from corvane.operators.blocks import TIE_DIGITS, TopK, block_join
-from corvane.runtime import broadcast_checked, explode_once
+from corvane.runtime import broadcast_checked, checkpoint, explode_once
 
 
 def rank_hits(hits: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -110,7 +110,9 @@ def topk_ann(
 def attach_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     """Stored record of each hit; a hit without a record keeps empty columns.
 
-    Few distinct hit ids (checked) are sent to the metadata, which is then never shuffled.
+    Few distinct hit ids (checked) are sent to the metadata, which is then never shuffled.  The hits
+    are small and used twice, so they are materialized once.
     """
+    hits = checkpoint(hits)
     wanted = broadcast_checked(hits.select("vec_id").distinct(), max_rows=1_000_000)
     return hits.join(metadata.join(wanted, "vec_id", "left_semi"), "vec_id", "left")

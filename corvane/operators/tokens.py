@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.functions.hashing import md5_int
-from corvane.functions.matrix import scatter_signed
-from corvane.functions.text import words
+from corvane.functions.matrix import hash_scatter
+from corvane.functions.text import WORD_BREAK, words
 from corvane.operators.positions import with_positions
 from corvane.runtime import explode_once
 
@@ -52,14 +51,8 @@ def encode_tokens(
 
 
 def embed_text(text: Column, dim: int) -> Column:
-    """Unit vector of a text: signed hashed bag of its words, summed over the whole text.
+    """Unit vector of a text: signed hashed bag of its words, over the whole text.
 
-    Words are split and hashed in the JVM; one scatter per Arrow batch sums them.  Narrow: a text is
-    never exploded into rows and nothing is shuffled.
+    Narrow: a text is never exploded into rows and nothing is shuffled.
     """
-    digests = F.transform(words(text), F.md5)
-    codes = F.transform(
-        digests,
-        lambda h: ((md5_int(h, 1, 8) % dim + 1) * F.when(F.substring(h, 9, 1) < "8", F.lit(1)).otherwise(F.lit(-1))).cast("int"),
-    )
-    return scatter_signed(codes, dim)
+    return hash_scatter(F.split(F.lower(text), WORD_BREAK, -1), dim)

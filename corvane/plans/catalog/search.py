@@ -235,6 +235,10 @@ QUERIES = {
     "search_documents": (documents, SQL_DOCUMENTS),
     "search": (searched(), sql_searched()),
     "search_ivf": (searched(index_type="IVF"), sql_searched()),
-    "search_pre_filter": (searched("pre", "python"), sql_searched("pre", "python")),
+    "filter_language": (
+        lambda spark, d: R.filter_language(documents(spark, d).withColumnRenamed("lang", "language"), "en"),
+        f"SELECT * RENAME (lang AS language) FROM ({SQL_DOCUMENTS}) WHERE lang = 'en'",
+    ),
+    "filter_language_pre": (searched("pre", "python"), sql_searched("pre", "python")),
     "project_results": (searched(scores=False), sql_searched(scores=False)),
 }

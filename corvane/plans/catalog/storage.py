@@ -19,15 +19,10 @@ DIM, SEED, SAMPLES_PER_RECORD = 64, 3, 2
 
 
 def corpus(spark, d):
-    """The code records written as one JSON array per file, then read as a corpus."""
+    """The code records written as JSON and read as a corpus."""
     path = scratch_path(spark, "corpus")
-    record = F.to_json(F.struct("code", "docstring", "language", "func_name"))
-    buckets = code_records(spark, d).groupBy((F.col("doc_id") % 16).alias("b"), F.expr("doc_id div 1000").alias("c"))
-    arrays = buckets.agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
-    arrays.select("value").repartition(16).write.text(path, lineSep="\n")
-    # Arrays land in part files without the suffix; the folder is read file by file all the same.
-    rows = spark.read.schema(C.RECORD_SCHEMA).option("multiLine", False).json(path)
-    return rows.select(F.md5("code").alias("code_md5"), "docstring", "language", "func_name")
+    code_records(spark, d).select("code", "docstring", "language", "func_name").write.json(path)
+    return C.read_corpus(spark, path, format="jsonl").withColumn("code", F.md5("code"))
 
 
 def splits(spark, d):
@@ -137,7 +132,7 @@ _SQL_ROWS = f"WITH {SQL_UNIT} SELECT vec_id, label, {sql_r6('v[1]::FLOAT::DOUBLE
 QUERIES = {
     "read_corpus": (
         corpus,
-        f"WITH {SQL_CODE} SELECT md5(code) AS code_md5, docstring, language, func_name FROM code_fixture",
+        f"WITH {SQL_CODE} SELECT md5(code) AS code, docstring, language, func_name FROM code_fixture",
     ),
     "sample_corpus": (sample, SQL_SAMPLE),
     "write_splits": (

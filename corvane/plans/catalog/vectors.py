@@ -6,8 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
-from corvane.functions.hashing import md5_int
-from corvane.functions.matrix import linear
+from corvane.functions.matrix import linear, linear_join
 from corvane.functions.text import words
 from corvane.operators import encode as N
 from corvane.operators.gnn import batch_standardize
@@ -29,7 +28,7 @@ from corvane.plans.catalog.fixtures import (
     weight,
 )
 
-OUT, TOKEN_DIM, MASK_FROM, HEADS = 16, 8, 16, 8
+OUT, TOKEN_DIM, MASK_FROM, HEADS, D = 16, 8, 16, 8, 64
 _E_LONG = f"{SQL_E}, {sql_long('x', 'e', 'vec_id', 'v')}"
 
 
@@ -41,6 +40,12 @@ def _long_sql(ctes: str, source: str, key: str = "vec_id") -> str:
     return f"WITH {ctes} SELECT {key}, d AS dim, {sql_r6('x')} AS value FROM {source}"
 
 
+def _weight_table(spark):
+    """The weight formula as a table (i, j, w)."""
+    ids = spark.range(OUT * D).select((F.col("id") % OUT).cast("int").alias("i"), F.expr(f"CAST(id div {OUT} AS INT)").alias("j"))
+    return ids.withColumn("w", ((F.col("i") * 7 + F.col("j") * 3) % 11 - 5) / F.lit(11.0))
+
+
 def _pairwise(spark, d):
     p, (a, b) = aligned_pairs(spark, d), (F.col("query"), F.col("code"))
     return p.select(
@@ -68,7 +73,7 @@ def token_vectors(spark, d):
     """Word positions of the documents with 8-d vectors from the word's digest; words past 16 are masked."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "w"))
     digest = F.md5("w")
-    parts = [((md5_int(digest, 4 * k + 1, 4) - 32768) / F.lit(32768.0)) for k in range(TOKEN_DIM)]
+    parts = [(F.ascii(F.substring(digest, k + 1, 1)) - 72) / F.lit(32.0) for k in range(TOKEN_DIM)]
     return docs.select(
         "doc_id", "pos", F.array(*parts).alias("vec"), (F.col("pos") < MASK_FROM).cast("int").alias("mask")
     )
@@ -79,7 +84,7 @@ SQL_TOKENS = f"""l AS (
 f AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM l),
 tv AS (
   SELECT doc_id, pos, CASE WHEN pos < {MASK_FROM} THEN 1 ELSE 0 END AS mask, k AS d,
-         (('0x' || substr(md5(w), 4 * k + 1, 4))::BIGINT - 32768)::DOUBLE / 32768 AS x
+         (ascii(substr(md5(w), k + 1, 1)) - 72)::DOUBLE / 32 AS x
   FROM f, range({TOKEN_DIM}) g(k))"""
 _POOL_SQL = {
     "cls": "SELECT doc_id, d, x FROM tv WHERE pos = 0",
@@ -88,9 +93,9 @@ _POOL_SQL = {
 }
 
 
-def _pool(kind):
+def _pool(kind, width=TOKEN_DIM):
     return (
-        lambda spark, d: long_form(N.pool_tokens(token_vectors(spark, d), kind), "doc_id"),
+        lambda spark, d: long_form(N.pool_tokens(token_vectors(spark, d), kind, width=width), "doc_id"),
         _long_sql(f"{SQL_TOKENS}, p AS ({_POOL_SQL[kind]}), {sql_layer_norm('n', 'p', 'doc_id')}", "n", "doc_id"),
     )
 
@@ -114,7 +119,6 @@ def _fused(fn):
     )
 
 
-D = 64
 _AB = f"""{SQL_PAIRS}, ab AS (SELECT id, list_concat(query, code) AS v, query, code FROM pairs),
 {sql_long('x2', 'ab', 'id', 'v')}, {sql_long('xa', 'ab', 'id', 'query')}, {sql_long('xb', 'ab', 'id', 'code')}"""
 SQL_FUSE_CONCAT = _long_sql(
@@ -151,6 +155,10 @@ QUERIES = {
         _each(lambda v: linear(v, weight(OUT, D), activation="relu")),
         _long_sql(f"{_E_LONG}, {sql_linear('y', 'x', 'vec_id', OUT, activation='relu')}", "y"),
     ),
+    "linear_join": (
+        lambda spark, d: long_form(linear_join(vectors(spark, d), "vec_id", "vec", _weight_table(spark), "vec"), "vec_id"),
+        _long_sql(f"{_E_LONG}, {sql_linear('y', 'x', 'vec_id', OUT)}", "y"),
+    ),
     "embedding_dim": (
         dimension,
         f"SELECT vec_id, len(embedding)::BIGINT AS dimension, {sql_r6('embedding[1]::DOUBLE')} AS first FROM embeddings",
@@ -158,6 +166,8 @@ QUERIES = {
     "pool_tokens_cls": _pool("cls"),
     "pool_tokens_mean": _pool("mean"),
     "pool_tokens_max": _pool("max"),
+    "pool_tokens_mean_wide": _pool("mean", None),
+    "pool_tokens_max_wide": _pool("max", None),
     "embed_batch": (
         user_model,
         "SELECT item_id, d AS dim, (CASE d WHEN 0 THEN length(text) "

@@ -14,7 +14,7 @@ from corvane.operators import graph as G
 from corvane.operators.encode import fuse
 from corvane.operators.gnn import Layer, graph_mean_max_pool, node_embeddings, type_embedding
 from corvane.operators.outline import outline_nodes
-from corvane.operators.records import project_results
+from corvane.operators.records import RESULT_DEFAULTS, filter_language, project_results
 from corvane.operators.search import attach_metadata
 from corvane.operators.tokens import embed_text
 from corvane.runtime import checkpoint
@@ -43,11 +43,13 @@ def embed_code(records: DataFrame, dim: int) -> DataFrame:
 
 def graph_embedding(records: DataFrame, weights: EncoderWeights, vocab: DataFrame, max_nodes: int = G.MAX_NODES) -> DataFrame:
     """(doc_id, vec): outline graph, propagation, mean and max pooling, output projection."""
-    nodes = outline_nodes(records)
+    # The sources are parsed once; what goes on is a narrow table without texts.
+    slim = ("doc_id", "id", "type", "parent_id", "depth", "is_named", "child_count")
+    nodes = checkpoint(G.cap_nodes(outline_nodes(records), max_nodes).select(*slim))
     features = G.with_empty_graphs(G.node_features(nodes, vocab, max_nodes), records)
     start = type_embedding(features, weights.projection, weights.types)
     final = node_embeddings(start, G.graph_edges(nodes, max_nodes), weights.layers)
-    pooled = graph_mean_max_pool(final)
+    pooled = graph_mean_max_pool(final, weights.output.shape[1] // 2)
     return pooled.select("doc_id", V.layer_norm(linear(F.col("vec"), weights.output, activation="relu")).alias("vec"))
 
 
@@ -73,11 +75,11 @@ def search(
     before = F.col("language") == language if language_mode == "pre" and language is not None else None
     hits = index.search(queries, k, before)
     wanted = hits.join(requests.select("query_id", "top_k", F.col("language").alias("want")), "query_id")
-    kept = attach_metadata(checkpoint(wanted.where(F.col("rank") <= F.col("top_k"))), index.metadata())
+    kept = attach_metadata(wanted.where(F.col("rank") <= F.col("top_k")), index.metadata())
     if language_mode == "post":
         # The filter sees the record's language with its default, as the result shows it.
-        shown = F.coalesce(F.col("language"), F.lit("unknown"))
-        kept = kept.where(F.col("want").isNull() | (shown == F.col("want")))
+        shown = kept.withColumn("language", F.coalesce(F.col("language"), F.lit(RESULT_DEFAULTS["language"])))
+        kept = filter_language(shown, F.col("want"))
     elif language_mode != "pre":
         raise ValueError(f"unknown language mode {language_mode!r}")
     return project_results(kept, return_scores)

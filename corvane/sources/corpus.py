@@ -26,14 +26,15 @@ def read_corpus(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, for
 
 def sample_corpus(pool: DataFrame, n: int, key: str = "doc_id", seed=0) -> DataFrame:
     """``n`` rows (sample_id, pool columns) drawn with replacement from ``pool``."""
-    placed = with_positions(pool, key)
+    placed = with_positions(pool.select(key), key)
     size = placed.count()
     if size == 0:
         raise ValueError("empty pool")
     draws = pool.sparkSession.range(n).select(
         F.col("id").alias("sample_id"), (md5_int(md5_key(seed, F.col("id"))) % size).alias("position")
     )
-    return draws.join(broadcast_checked(placed), "position").drop("position")
+    chosen = draws.join(broadcast_checked(placed), "position").drop("position")
+    return chosen.join(broadcast_checked(pool), key)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
