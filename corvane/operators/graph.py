@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.operators.positions import running, with_positions
-from corvane.runtime import broadcast_checked, explode_once
+from corvane.runtime import broadcast_checked, checkpoint, explode_once
 
 MAX_NODES = 500
 
@@ -102,7 +102,8 @@ def graph_edges(nodes: DataFrame, max_nodes: int = MAX_NODES, control_types=CONT
 
 def node_type_vocab(nodes: DataFrame) -> DataFrame:
     """(type, type_id): dense ids in order of first occurrence (doc_id, id)."""
-    first = nodes.groupBy("type").agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    # Written once: ordering samples its input before it reads it.
+    first = checkpoint(nodes.groupBy("type").agg(F.min(F.struct("doc_id", "id")).alias("first")))
     ranked = with_positions(first.select("type", "first.doc_id", "first.id"), "doc_id", "id", "type", name="type_id")
     return ranked.select("type", "type_id")
 
@@ -137,7 +138,7 @@ def graph_batch(features: DataFrame, edges: DataFrame, batches: DataFrame) -> tu
     batches(doc_id, batch_id).  Returns nodes (batch_id, node, doc_id, id, x) and edges
     (batch_id, src, dst).  Offsets are a running sum over one row per graph.
     """
-    sizes = features.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes")).join(batches, "doc_id")
+    sizes = checkpoint(features.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes")).join(batches, "doc_id"))
     offsets = running(sizes, "batch_id", "doc_id", "nodes", "sum", "offset").select(
         "batch_id", "doc_id", F.col("offset").cast("bigint").alias("offset")
     )

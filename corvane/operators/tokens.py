@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corvane.functions.matrix import hash_scatter
 from corvane.functions.text import WORD_BREAK, words
 from corvane.operators.positions import with_positions
-from corvane.runtime import explode_once
+from corvane.runtime import checkpoint, explode_once
 
 # Reserved token ids.
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
@@ -24,7 +24,7 @@ def token_vocab(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
         position = F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1
         ranked = top.withColumn("position", position)
     else:
-        ranked = with_positions(counts.withColumn("_neg", -F.col("n")), "_neg", "token").where(F.col("position") < size)
+        ranked = with_positions(checkpoint(counts.withColumn("_neg", -F.col("n"))), "_neg", "token").where(F.col("position") < size)
     return ranked.select("token", (F.col("position") + FIRST_ID).cast("bigint").alias("token_id"), "n")
 
 

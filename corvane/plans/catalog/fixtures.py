@@ -6,10 +6,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.vectors import doubles
+from corvane.runtime import spread_small
+
+
+# Tables whose rows are parsed, split or hashed.
+TEXT_TABLES = ("documents", "pages", "part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 def r6(x: Column) -> Column:

@@ -50,6 +50,17 @@ def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+# A scan below this many bytes per core is spread over the cores before heavy per-row work.
+SMALL_SCAN_BYTES_PER_CORE = 16_000_000
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small scan (one file, one row group) over all cores; larger inputs stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * SMALL_SCAN_BYTES_PER_CORE else df
+
+
 def explode_once(array: Column) -> Column:
     """``explode`` that evaluates its argument once; an empty array gives one null row.
 
