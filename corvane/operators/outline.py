@@ -33,18 +33,16 @@ def line_type(line: Column) -> Column:
     return kind.otherwise(F.lit(OTHER_TYPE))
 
 
-@F.arrow_udf("array<struct<parent_id:int,depth:int,child_count:int>>")
-def _nest(indents: pa.Array) -> pa.Array:
+def _nest_batch(indents: pa.Array) -> pa.Array:
     """Parent (nearest earlier line of smaller indent), depth and child count; entry 0 is the root."""
     parents, depths, children = [], [], []
     for row in indents:
-        values = [] if row.values is None else row.values.to_numpy(zero_copy_only=False)
         base = len(parents)
         parents.append(None)
         depths.append(0)
         children.append(0)
         stack = [(-1, 0)]
-        for node, indent in enumerate(values, start=1):
+        for node, indent in enumerate(row.as_py() or [], start=1):
             while stack[-1][0] >= indent:
                 stack.pop()
             parent = stack[-1][1]
@@ -59,6 +57,10 @@ def _nest(indents: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["parent_id", "depth", "child_count"]))
 
 
+def _nest(indents: Column) -> Column:
+    return F.arrow_udf(_nest_batch, "array<struct<parent_id:int,depth:int,child_count:int>>")(indents)
+
+
 def outline_nodes(records: DataFrame, key: str = "doc_id") -> DataFrame:
     """Node table (key, id, type, text, start_point, end_point, parent_id, depth, is_named, child_count).
 
