@@ -62,11 +62,10 @@ def gcn_propagate(
     inv = 1.0 / F.sqrt(F.coalesce(F.col("deg"), F.lit(0)) + F.lit(1.0))
     scaled = nodes.select("doc_id", "id", value.alias("x")).join(degree, ["doc_id", "id"], "left")
     scaled = scaled.select("doc_id", "id", inv.alias("inv"), V.scale(F.col("x"), inv).alias("h"))
-    messages = plain.join(scaled.select("doc_id", F.col("id").alias("src"), "h"), ["doc_id", "src"])
-    # The node's own row joins the same aggregation: it is the self-loop and carries the scale.
-    terms = messages.select("doc_id", F.col("dst").alias("id"), F.lit(None).cast("double").alias("inv"), "h").unionByName(
-        scaled
-    )
+    # The self-loop runs along with the edges and brings the receiver's own scale.
+    loops = nodes.select("doc_id", F.col("id").alias("src"), F.col("id").alias("dst"))
+    joined = plain.unionByName(loops).join(scaled.withColumnRenamed("id", "src"), ["doc_id", "src"])
+    terms = joined.select("doc_id", F.col("dst").alias("id"), F.when(F.col("src") == F.col("dst"), F.col("inv")).alias("inv"), "h")
     width = width if weight is None else weight.shape[0]
     sums = terms.groupBy("doc_id", "id").agg(F.max("inv").alias("inv"), vector_sum("h", width).alias("h"))
     return sums.select("doc_id", "id", V.scale(F.col("h"), F.col("inv")).alias("h"))

@@ -67,7 +67,9 @@ def outline_nodes(records: DataFrame, key: str = "doc_id") -> DataFrame:
     Ids are dense and in pre-order; node 0 is the file.  The nesting is one pass over the indents of
     a file inside its own row, so there is no self-join of lines and no shuffle.
     """
-    raw = F.split("code", "\n", -1)
+    known = language_guard(F.col("language")) & F.col("code").isNotNull()
+    split = records.where(known).select(key, node_text(F.col("code")).alias("head"), F.split("code", "\n", -1).alias("raw"))
+    raw = F.col("raw")
     lines = F.filter(
         F.transform(raw, lambda line, row: F.struct(row.alias("row"), line.alias("raw"), strip(line).alias("line"))),
         lambda s: s["line"] != "",
@@ -83,12 +85,11 @@ def outline_nodes(records: DataFrame, key: str = "doc_id") -> DataFrame:
     root = F.struct(
         F.lit(0).alias("row"),
         F.lit(0).alias("col"),
-        node_text(F.col("code")).alias("line"),
+        F.col("head").alias("line"),
         (F.size(raw) - 1).alias("end_row"),
         F.length(F.element_at(raw, -1)).alias("end_col"),
     )
-    known = language_guard(F.col("language")) & F.col("code").isNotNull()
-    found = records.where(known).select(key, "code", lines.alias("lines"))
+    found = split.select(key, "head", "raw", lines.alias("lines"))
     # The file's text ends here: only its lines go on, one per row.
     nested = found.select(
         key, F.concat(F.array(root), spans).alias("src"), _nest(F.transform("lines", lambda s: s["col"])).alias("nest")

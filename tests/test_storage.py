@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,16 @@ def test_add_search_clear(spark, tmp_path, kind):
     assert size(index) == 5
 
 
+def test_probed_cells_prune_partitions(spark, tmp_path):
+    index = new_index(spark, tmp_path, "IVF", nlist=4, nprobe=1)
+    index.add(rows(spark, 40))
+    query = spark.createDataFrame([(0, [5.0, 1.0])], "query_id long, vec array<double>")
+    hits = index.search(query, 1, where=F.col("func_name") == "f4")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan) and "PushedFilters: [IsNotNull(func_name)" in plan
+    assert hits.count() <= 1
+
+
 def test_wrong_width_fails(spark, tmp_path):
     bad = rows(spark, 1).withColumn("embedding", F.array(F.lit(1.0)))
     with pytest.raises(Exception, match="not 2 wide"):
