@@ -101,17 +101,23 @@ SQL_CODE_GRAPH = f"{SQL_OUTLINE}, {SQL_CAPPED}, {sql_edges()}, {SQL_VOCAB}, {SQL
 SQL_TURN_GRAPH = f"{SQL_TURNS}, {SQL_CAPPED}, {sql_edges(CONVERSATION_CONTROL)}, {SQL_VOCAB}, {SQL_FEATURES}"
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """32-bit columns as bigint, which is what SQL's row numbers and lengths are."""
+    return df.select([F.col(n).cast("bigint").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
+
+
 def _flat_outline(spark, d):
-    return outline(spark, d).select(
+    flat = outline(spark, d).select(
         "doc_id", "id", "type", "text",
         F.col("start_point.row").alias("start_row"), F.col("start_point.col").alias("start_col"),
         F.col("end_point.row").alias("end_row"), F.col("end_point.col").alias("end_col"),
         "parent_id", "depth", "is_named", "child_count",
     )
+    return _wide(flat)
 
 
 def _edges(fn):
-    return lambda spark, d: fn(outline(spark, d)).select("doc_id", "src", "dst", "kind")
+    return lambda spark, d: _wide(fn(outline(spark, d)).select("doc_id", "src", "dst", "kind"))
 
 
 def _edge_sql(body: str) -> str:
@@ -301,7 +307,7 @@ SELECT doc_id, d AS dim, {sql_r6('x')} AS value FROM z"""
 QUERIES = {
     "outline_nodes": (
         _flat_outline,
-        f"WITH {SQL_OUTLINE} SELECT doc_id, id, type, text, start_row, start_col, end_row, end_col, parent_id, depth, "
+        f"WITH {SQL_OUTLINE} SELECT doc_id, id, type, text, start_row, start_col, end_row, end_col, parent_id, depth::BIGINT AS depth, "
         "is_named, child_count FROM nodes",
     ),
     "node_types": (
@@ -309,11 +315,11 @@ QUERIES = {
         f"WITH {SQL_OUTLINE} SELECT DISTINCT doc_id, type FROM nodes",
     ),
     "parent_child_edges": (
-        lambda spark, d: G.parent_child_edges(outline(spark, d)),
+        lambda spark, d: _wide(G.parent_child_edges(outline(spark, d))),
         f"WITH {SQL_OUTLINE} SELECT doc_id, parent_id AS src, id AS dst FROM nodes WHERE parent_id IS NOT NULL",
     ),
     "cap_nodes": (
-        lambda spark, d: G.cap_nodes(outline(spark, d)).select("doc_id", "id", "type"),
+        lambda spark, d: _wide(G.cap_nodes(outline(spark, d)).select("doc_id", "id", "type")),
         f"WITH {SQL_OUTLINE} SELECT doc_id, id, type FROM nodes WHERE id < 500",
     ),
     "tree_edges": (_edges(G.tree_edges), _edge_sql(SQL_TREE)),

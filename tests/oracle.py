@@ -11,6 +11,9 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
+TYPES = {"int32": "INTEGER", "int64": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "bool": "BOOLEAN"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for file in Path(sf_dir).glob("*.parquet"):
@@ -37,6 +40,10 @@ def compare(spark, con, sf_dir: str, query, sql: str | None) -> str:
     names, want = [c[0] for c in cursor.description], cursor.fetchall()
     if sorted(table.column_names) != sorted(names):
         return f"columns {sorted(table.column_names)} / {sorted(names)}"
+    spark_types = {n: TYPES.get(str(t), str(t)) for n, t in zip(table.column_names, table.schema.types)}
+    sql_types = {c[0]: str(c[1]) for c in cursor.description}
+    if spark_types != sql_types:
+        return f"types {spark_types} / {sql_types}"
     a, b = normalized(table.column_names, got), normalized(names, want)
     if a == b:
         return "" if a else "no rows"
