@@ -191,27 +191,27 @@ def code_index(spark, d, index_type="Flat") -> VectorIndex:
     return index
 
 
-def searched(mode="post", language=None, scores=True, index_type="Flat"):
+def searched(mode="post", scores=True, index_type="Flat"):
     def query(spark, d):
-        out = search(code_requests(spark, d), code_index(spark, d, index_type), scores, mode, language)
+        out = search(code_requests(spark, d), code_index(spark, d, index_type), scores, mode)
         cols = ["query_id", F.col("rank").cast("bigint").alias("rank"), "language", "func_name", "docstring", F.md5("code").alias("code_md5")]
         return out.select(*cols, *(["score"] if scores else []))
 
     return query
 
 
-def sql_searched(mode: str = "post", language: str | None = None, scores: bool = True) -> str:
-    keep = f"WHERE language = '{language}'" if mode == "pre" else ""
+def sql_searched(mode: str = "post", scores: bool = True) -> str:
+    pre = "JOIN req USING (query_id) JOIN code_fixture USING (doc_id) WHERE want IS NULL OR want = language" if mode == "pre" else ""
     post = "AND (want IS NULL OR want = language)" if mode == "post" else ""
     score = ", round(s, 9) + 0.0::DOUBLE AS score" if scores else ""
     return f"""WITH {SQL_CODE},
-kept AS (SELECT doc_id, {sql_whitespace(sql_remove_comments())} AS clean FROM code_fixture {keep}),
+kept AS (SELECT doc_id, {sql_whitespace(sql_remove_comments())} AS clean FROM code_fixture),
 req AS (SELECT item_id AS query_id, concat(text, ' return size price total ', item_id::VARCHAR) AS query,
           CASE WHEN item_id % 4 = 0 THEN 10 ELSE item_id % 4 * 5 END AS top_k,
           CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'python' ELSE 'java' END AS want FROM benchmark),
 {sql_embed('x', 'kept', 'doc_id', 'clean', DIM)}, {sql_embed('q', 'req', 'query_id', 'query', DIM)},
 p AS (SELECT query_id, doc_id, sum(q.x * x.x::FLOAT::DOUBLE) AS s FROM q JOIN x USING (d) GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM p)
+ranked AS (SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM p {pre})
 SELECT query_id, rank, language, func_name, docstring, md5(code) AS code_md5{score}
 FROM ranked JOIN req USING (query_id) JOIN code_fixture USING (doc_id) WHERE rank <= top_k {post}"""
 
@@ -239,6 +239,6 @@ QUERIES = {
         lambda spark, d: R.filter_language(documents(spark, d).withColumnRenamed("lang", "language"), "en"),
         f"SELECT * RENAME (lang AS language) FROM ({SQL_DOCUMENTS}) WHERE lang = 'en'",
     ),
-    "filter_language_pre": (searched("pre", "python"), sql_searched("pre", "python")),
+    "filter_language_pre": (searched("pre"), sql_searched("pre")),
     "project_results": (searched(scores=False), sql_searched(scores=False)),
 }

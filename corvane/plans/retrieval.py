@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -61,25 +62,32 @@ def encode_code(records: DataFrame, weights: EncoderWeights, vocab: DataFrame, d
     return both.select("doc_id", fuse(weights.fusion, F.col("a"), F.col("b"), **weights.fusion_weights).alias("vec"))
 
 
-def search(
-    requests: DataFrame, index: VectorIndex, return_scores: bool = True, language_mode: str = "post", language: str | None = None
-) -> DataFrame:
+def search(requests: DataFrame, index: VectorIndex, return_scores: bool = True, language_mode: str = "post") -> DataFrame:
     """Ranked records for requests(query_id, query, top_k, language), all valid.
 
-    "post" filters each request's language after ranking; "pre" takes one ``language`` for the whole
-    frame and ranks only its records.
+    A request's language is matched after ranking ("post": ranks stay, fewer than top_k rows may be
+    left) or before it ("pre": only records of that language are ranked; one index scan per language
+    asked for, the filter pushed into the scan).
     """
+    if language_mode not in ("post", "pre"):
+        raise ValueError(f"unknown language mode {language_mode!r}")
     requests = checkpoint(requests)
     k = requests.agg(F.max("top_k")).first()[0] or 0
-    queries = requests.select("query_id", embed_text(F.col("query"), index.config.embedding_dim).alias("vec"))
-    before = F.col("language") == language if language_mode == "pre" and language is not None else None
-    hits = index.search(queries, k, before)
+    vec = embed_text(F.col("query"), index.config.embedding_dim)
+    queries = requests.select("query_id", F.col("language").alias("want"), vec.alias("vec"))
+    if language_mode == "post":
+        hits = index.search(queries, k)
+    else:
+        asked = [r["language"] for r in requests.select("language").distinct().collect()] or [None]
+        parts = [
+            index.search(queries.where(F.col("want").eqNullSafe(w)), k, None if w is None else F.col("language") == w)
+            for w in asked
+        ]
+        hits = reduce(DataFrame.unionByName, parts)
     wanted = hits.join(requests.select("query_id", "top_k", F.col("language").alias("want")), "query_id")
     kept = attach_metadata(wanted.where(F.col("rank") <= F.col("top_k")), index.metadata())
     if language_mode == "post":
         # The filter sees the record's language with its default, as the result shows it.
         shown = kept.withColumn("language", F.coalesce(F.col("language"), F.lit(RESULT_DEFAULTS["language"])))
         kept = filter_language(shown, F.col("want"))
-    elif language_mode != "pre":
-        raise ValueError(f"unknown language mode {language_mode!r}")
     return project_results(kept, return_scores)

@@ -130,9 +130,8 @@ class VectorIndex:
         items = rows.select("vec_id", F.col("embedding").alias("vec"), "cell")
         if self.config.index_type == "IVF":
             centroids = self.centroids()
-            if centroids is None:
-                raise ValueError("the index is empty")
-            return ivf_search(queries, items, centroids, k, self.config.nprobe, unit=False)
+            if centroids is not None:  # otherwise nothing was added yet and there is nothing to find
+                return ivf_search(queries, items, centroids, k, self.config.nprobe, unit=False)
         if self.config.index_type == "HNSW":
             return topk_ann(queries, items, self.config.embedding_dim, k, unit=False)
         return topk_exact(queries, items, k, unit=False)

@@ -48,10 +48,11 @@ def test_stored_configuration_wins(spark, tmp_path):
 @pytest.mark.parametrize("kind", ["Flat", "IVF", "HNSW"])
 def test_add_search_clear(spark, tmp_path, kind):
     index = new_index(spark, tmp_path, kind, nlist=4, nprobe=4)
+    query = spark.createDataFrame([(0, [5.0, 1.0])], "query_id long, vec array<double>")
+    assert index.search(query, 3).count() == 0
     index.add(rows(spark, 20))
     index.add(rows(spark, 10, 100))
     assert size(index) == 30
-    query = spark.createDataFrame([(0, [5.0, 1.0])], "query_id long, vec array<double>")
     best = index.search(query, 1).first()
     assert best.vec_id == 4 and best.score == pytest.approx(1.0, abs=1e-6)
     only = index.search(query, 3, where=F.col("func_name") == "f7")
