@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.matrix import hash_scatter
 from corvane.functions.text import WORD_BREAK, words
 from corvane.operators.positions import with_positions
-from corvane.runtime import checkpoint, explode_once
+from corvane.runtime import checkpoint, collect_bounded, explode_once
 
 # Reserved token ids.
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
-# Up to this size a vocabulary is ranked in one task and joined by broadcast.
+# Up to this size a vocabulary is ranked in one task and shipped whole for lookups.
 SMALL_VOCAB = 100_000
 
 
@@ -29,23 +32,49 @@ def token_vocab(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def encode_tokens(
-    docs: DataFrame, vocab: DataFrame, vocab_size: int, max_length: int = 512, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    vocab: DataFrame,
+    max_length: int = 512,
+    key: str = "doc_id",
+    text: str = "text",
+    shipped: int = SMALL_VOCAB,
 ) -> DataFrame:
-    """(key, input_ids, attention_mask), truncated at ``max_length`` and padded to it."""
+    """(key, input_ids, attention_mask), truncated at ``max_length`` and padded to it.
+
+    A vocabulary of at most ``shipped`` tokens is looked up inside the document's row, batch by batch;
+    a larger one is joined, token by token.
+    """
     kept = docs.select(key, F.slice(words(F.col(text)), 1, max_length).alias("tokens"))
     ids = vocab.select("token", "token_id")
-    if vocab_size <= SMALL_VOCAB:
-        ids = F.broadcast(ids)
+    small = collect_bounded(ids, shipped)
+    if small is not None:
+        return _padded(kept.select(key, _look_up(F.col("tokens"), small).alias("ids")), key, max_length)
     flat = kept.select(key, F.posexplode_outer("tokens").alias("pos", "token")).join(ids, "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")))
     # At most max_length entries per document; collect_list skips the null of an empty text.
     rows = flat.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    used, pad = F.size("e"), F.lit(max_length) - F.size("e")
+    return _padded(rows.select(key, F.transform("e", lambda s: s["id"].cast("bigint")).alias("ids")), key, max_length)
+
+
+def _look_up(tokens: Column, vocab: pa.Table) -> Column:
+    known, known_ids = vocab.column("token").combine_chunks(), vocab.column("token_id").to_numpy()
+
+    @F.arrow_udf("array<bigint>")
+    def look_up(batch: pa.Array) -> pa.Array:
+        found = pc.fill_null(pc.index_in(batch.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+        ids = np.append(known_ids, UNKNOWN_ID)[found]  # -1 picks the unknown id
+        lengths = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("i4"))
+        return pa.ListArray.from_arrays(offsets, pa.array(ids, type=pa.int64()))
+
+    return look_up(tokens)
+
+
+def _padded(rows: DataFrame, key: str, max_length: int) -> DataFrame:
+    used, pad = F.size("ids"), F.lit(max_length) - F.size("ids")
     return rows.select(
         key,
-        F.concat(F.transform("e", lambda s: s["id"].cast("bigint")), F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad)).alias(
-            "input_ids"
-        ),
+        F.concat("ids", F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), pad)).alias("attention_mask"),
     )
 

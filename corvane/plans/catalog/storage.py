@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.functions.vectors import scale
 from corvane.operators import sampling as M
 from corvane.operators.evaluation import rank_metrics
 from corvane.plans.catalog.evaluation import SQL_RANKS, ranks, sql_tall
@@ -103,9 +104,9 @@ def stats(spark, d):
 def cache(spark, d):
     """The snapshot of cached vectors is replaced as a whole."""
     path = scratch_path(spark, "cache")
-    M.write_embedding_cache(vectors(spark, d).select(F.col("vec_id").alias("id"), "vec"), path)
-    fresh = vectors(spark, d).where(F.col("label") < 5).select(F.col("vec_id").alias("id"), "vec")
-    M.write_embedding_cache(fresh, path)
+    old = vectors(spark, d).select(F.col("vec_id").alias("id"), "vec")
+    M.write_embedding_cache(old, path)
+    M.write_embedding_cache(old.withColumn("vec", scale(F.col("vec"), F.lit(2.0))), path)
     return M.read_embedding_cache(spark, path).select("id", r6(F.col("vec")[0]).alias("first"))
 
 
@@ -152,7 +153,7 @@ QUERIES = {
     "index_stats": (stats, f"SELECT count(*) AS indexed, {NLIST}::BIGINT AS cells FROM embeddings"),
     "embedding_cache": (
         cache,
-        f"SELECT vec_id AS id, {sql_r6('embedding[1]::DOUBLE')} AS first FROM embeddings WHERE label < 5",
+        f"SELECT vec_id AS id, {sql_r6('2 * embedding[1]::DOUBLE')} AS first FROM embeddings",
     ),
     "write_metrics": (
         metrics,

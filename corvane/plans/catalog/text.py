@@ -110,9 +110,9 @@ vocab AS (
   FROM (SELECT w, count(*) AS n FROM t GROUP BY w ORDER BY n DESC, w LIMIT {VOCAB}))"""
 
 
-def token_ids(spark, d):
+def token_ids(spark, d, **how):
     docs = table(spark, d, "documents")
-    rows = encode_tokens(docs, token_vocab(docs, VOCAB), VOCAB, LENGTH)
+    rows = encode_tokens(docs, token_vocab(docs, VOCAB), LENGTH, **how)
 
     def joined(c):
         return F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
@@ -194,6 +194,7 @@ QUERIES = {
     "node_text": (node_texts, "SELECT doc_id, substr(text, 1, 100) AS text FROM documents"),
     "token_vocab": (vocabulary, f"WITH {SQL_VOCAB} SELECT token, token_id, n FROM vocab"),
     "encode_tokens": (token_ids, SQL_TOKEN_IDS),
+    "encode_tokens_join": (lambda spark, d: token_ids(spark, d, shipped=100), SQL_TOKEN_IDS),
     "embed_text": (
         text_embedding,
         f"WITH {sql_embed('x', 'documents', 'doc_id', 'text', DIM)} SELECT doc_id, d AS dim, {sql_r6('x')} AS value FROM x",

@@ -92,7 +92,8 @@ def test_token_ids_pad_truncate_and_unknown(spark):
     docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "c a a a a a")], "doc_id long, text string")
     vocab = token_vocab(docs, 2)
     assert [(r.token, r.token_id) for r in vocab.orderBy("token_id").collect()] == [("a", 2), ("b", 3)]
-    got = {r.doc_id: r for r in encode_tokens(docs, vocab, 2, 4).collect()}
-    assert got[1].input_ids == [3, 2, 3, 0] and got[1].attention_mask == [1, 1, 1, 0]
-    assert got[2].input_ids == [0] * 4 and got[2].attention_mask == [0] * 4
-    assert got[3].input_ids == [1, 2, 2, 2]
+    for shipped in (10, 1):
+        got = {r.doc_id: r for r in encode_tokens(docs, vocab, 4, shipped=shipped).collect()}
+        assert got[1].input_ids == [3, 2, 3, 0] and got[1].attention_mask == [1, 1, 1, 0]
+        assert got[2].input_ids == [0] * 4 and got[2].attention_mask == [0] * 4
+        assert got[3].input_ids == [1, 2, 2, 2]
