@@ -2,9 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import crc_mod, table
+
+
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.html_blocks import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+SQL_OP2 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (
+  SELECT t.*, speaker,
+         CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = speaker THEN '<|assistant|>' || chr(10)
+              ELSE '<|user name=' || role || '|>' || chr(10) END AS head
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (
+  SELECT *, head || text || '<|end|>' || chr(10) AS rendered,
+         coalesce(sum(length(head || text || '<|end|>' || chr(10))) OVER (
+           PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM r)
+SELECT conv_id, speaker, turn, role, rendered, start, start + length(rendered) AS stop,
+       CASE WHEN role = speaker THEN start + length(head) END AS mask_start,
+       CASE WHEN role = speaker THEN start + length(head) + length(text) END AS mask_stop
+FROM o
+"""
+
+
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +78,33 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    return (crc_mod(F.col("doc_id"), modulus) == remainder).alias("held_out")
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import quality as q
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = q.train(*q.training_sample(docs, labels, crc_mod(F.col("id"), 5) != 0, "quality"))
+    out = q.score_documents(docs, net)
+    return out.select("doc_id", held_out(5, 0), "score", (F.col("score") >= q.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs, *fit(docs, crc_mod(F.col("id"), 4) != 2))
+    return out.select("doc_id", held_out(4, 2), "lang_pred", "score", "cross_entropy", "accepted")
+
+
 QUERIES = {
+    "op1_html_blocks": (op1_html_blocks, None),
+    "op2_chat_rotation": (op2_chat_rotation, SQL_OP2),
+    "op3_pii_crf": (op3_pii_crf, None),
     "op4_exact_dedup": (op4_exact_dedup, SQL_OP4),
+    "op5_quality_cnn": (op5_quality_cnn, None),
+    "op8_language_kn": (op8_language_kn, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
 }
