@@ -71,3 +71,16 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def sha256_hex(parts: list[bytes]) -> list[str]:
     return [hashlib.sha256(p).hexdigest() for p in parts]
+
+# A table up to this many bytes, measured, may go to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, measured, take at most BROADCAST_BYTES; else as it is."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    row = F.lit(16 + 8 * len(df.columns)).cast("bigint")
+    for size in texts:
+        row = row + size
+    total = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

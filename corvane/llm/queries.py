@@ -64,6 +64,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
 
+def op6_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.phrases import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL_OP6 = rf"""
+WITH b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+win AS (
+  SELECT item_id, unnest([array_to_string(w[i:i + least(len(w), 10) - 1], ' ') FOR i IN range(1, greatest(len(w) - 8, 2))]) AS k, least(len(w), 10) AS n
+  FROM b WHERE len(w) > 0),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+grams AS (
+  SELECT doc_id, n, unnest([{{'s': i, 'k': array_to_string(w[i:i + n - 1], ' ')}} FOR i IN range(1, len(w) - n + 2)]) AS g
+  FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+occ AS (SELECT DISTINCT doc_id, item_id, g.s AS s, grams.n AS n FROM grams JOIN win ON g.k = win.k AND grams.n = win.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 def ranks_path() -> str:
     """The vocabulary of op9 and of the pipeline's last stage."""
     import public_tokenizers
@@ -105,6 +133,7 @@ QUERIES = {
     "op3_pii_crf": (op3_pii_crf, None),
     "op4_exact_dedup": (op4_exact_dedup, SQL_OP4),
     "op5_quality_cnn": (op5_quality_cnn, None),
+    "op6_phrase_index": (op6_phrase_index, SQL_OP6),
     "op8_language_kn": (op8_language_kn, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
 }
