@@ -119,6 +119,12 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(5, 0), "score", (F.col("score") >= q.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.language import fit, predict
 
@@ -134,6 +140,7 @@ QUERIES = {
     "op4_exact_dedup": (op4_exact_dedup, SQL_OP4),
     "op5_quality_cnn": (op5_quality_cnn, None),
     "op6_phrase_index": (op6_phrase_index, SQL_OP6),
+    "op7_minhash_hamming": (op7_minhash_hamming, None),
     "op8_language_kn": (op8_language_kn, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
 }
