@@ -133,6 +133,12 @@ def op8_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(4, 2), "lang_pred", "score", "cross_entropy", "accepted")
 
 
+def op10_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.suffix import remove_shared_passages
+
+    return remove_shared_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_blocks": (op1_html_blocks, None),
     "op2_chat_rotation": (op2_chat_rotation, SQL_OP2),
@@ -143,4 +149,5 @@ QUERIES = {
     "op7_minhash_hamming": (op7_minhash_hamming, None),
     "op8_language_kn": (op8_language_kn, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
+    "op10_bwt_merge": (op10_bwt_merge, None),
 }
