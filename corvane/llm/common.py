@@ -84,3 +84,19 @@ def broadcast_small(df: DataFrame) -> DataFrame:
         row = row + size
     total = df.agg(F.sum(row)).first()[0] or 0
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id ``decided`` (``doc_id, kept``, one row per row of ``docs``) keeps.
+
+    Of rows that repeat an id and are not all kept, one stays.  The ids to drop are usually few, so that the
+    documents themselves need not be shuffled.
+    """
+    by_id = decided.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where(F.col("kept") < F.col("n"))
+    odd = stored(by_id.select(F.col("doc_id").alias("_id"), (F.col("kept") > 0).alias("_once")), "decided")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    out = docs.join(broadcast_small(odd), same, "left_anti")
+    once = odd.where("_once")
+    if once.isEmpty():
+        return out
+    return out.unionByName(docs.join(broadcast_small(once), same, "left_semi").dropDuplicates([id_col]))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm.common import byte_slices, id_text, large_binary
+from corvane.runtime import spread_small
 
 STEP = 4  # bytes from one filter position to the next; a filter spans two steps
 CHUNK, CHUNK_STEP = 64, 48  # filter positions of a chunk (260 bytes), and from chunk to chunk
@@ -183,3 +184,20 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(logits(own, data, offsets)))], names=["doc_id", "score"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
+
+
+def filter_documents(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores ``threshold`` or more; nothing is shuffled."""
+    arrays = net.arrays()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network(*arrays)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).fill_null("")
+            one = pa.RecordBatch.from_arrays([texts], names=["text"])
+            scores = [sigmoid(logits(own, data, offsets)) for _, data, offsets in byte_slices(one)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+
+    return spread_small(docs).mapInArrow(run, docs.schema)
