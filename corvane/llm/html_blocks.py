@@ -44,6 +44,13 @@ TRAINING_PAGES = [
     """<body><div class="banner">Sale ends on Sunday, everything must go, visit our shop.</div><article><p data-main><b>Note.</b> Short.</p><p data-main>One.<p data-main>Two
     words.<p data-main><a href=/all>Every word of this one is a link in the text itself</a></p></article><nav><a href=/p>Older</a> <a href=/n>Newer</a></nav>
     <footer><p>Made with care by a small team of people in a small town by the sea, since many years and for many more.</p></footer></body>""",
+    """<nav><a href=/>Home</a></nav><article><h1 data-main>Cut</h1><p data-main>This page was cut off in the middle of its text, after""",
+    """<body><article><p data-main>A page may end</p><p data-main>with a word.</p></article></body>""",
+    """<main><p data-main>Short.</p></main>""",
+    """<body><p><a href=/>Home</a> <a href=/a>About us</a></p><p data-main>The text of this page is not marked, it is the last one of the page, and no line stands below it.</p></body>""",
+    """<body><article><p data-main><a href=/1>A line of more than four words, all link</a></p><p data-main>Then text.</p><p data-main><a href=/1>Another line
+    of more than four words, all link</a></p><p data-main>And again some text of the article, of some length, goes on below.</p></article></body>""",
+    """<body><article><p data-main>Links: <a href=/1>one that is long enough to count for most of it</a></p><p data-main><a href=/2>two</a></p></article></body>""",
 ]
 
 # Tags that part blocks, tags whose content is no text, and what says that a block is beside the text.
@@ -78,7 +85,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
     stack: list[tuple[str, int]] = []
     texts: list[str] = []
     linked: list[str] = []
-    in_link, marked = False, False
+    in_link, marked, beside = False, False, False
 
     def close() -> None:
         nonlocal marked
@@ -88,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             if text:
                 words = text.count(" ") + 1
                 links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, words, min(1.0, links / words), stack[-1][1] if stack else 0, marked))
+                out.append((text, words, min(1.0, links / words), -1 if beside else stack[-1][1] if stack else 0, marked))
             texts.clear()
             linked.clear()
 
@@ -110,8 +117,11 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             continue
         close()
         attributes = token[4]
+        hint = " ".join(m[1] for m in _HINT.finditer(attributes)) if "=" in attributes else ""
+        told = bool(hint and BESIDE_WORDS.search(hint.replace("_", " ")))
         if not token[2]:
             marked = "data-main" in attributes
+        beside = told and tag not in CONTAINERS and tag != "body"
         if tag not in CONTAINERS:
             continue
         if token[2]:
@@ -122,8 +132,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             in_link = False
             continue
         place = stack[-1][1] if stack else 0
-        hint = " ".join(m[1] for m in _HINT.finditer(attributes)) if "=" in attributes else ""
-        if tag in BESIDE_TAGS or (tag == "header" and place < 1) or (hint and BESIDE_WORDS.search(hint.replace("_", " "))):
+        if tag in BESIDE_TAGS or (tag == "header" and place < 1) or told:
             place = -1
         elif tag in MAIN_TAGS and place == 0:
             place = 1
