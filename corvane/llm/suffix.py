@@ -119,7 +119,10 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def repeated_anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """``digest, fps``: the anchors of each text that another text has too (one row per text and bucket)."""
+    """``digest, fps``: the anchors of each text that another text has too.
+
+    Texts travel packed by slice, to the buckets and back, so there is a row per slice and bucket, not per text.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +130,8 @@ def repeated_anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
                 _, _, anchor, text = anchor_runs(data, offsets)
                 if not len(anchor):
                     continue
-                digests = np.frombuffer(b"".join(_digests(data, offsets)), "V32")
+                raw = b"".join(_digests(data, offsets))
+                digests, name = np.frombuffer(raw, "V32"), hashlib.sha256(raw).digest()
                 bucket = (anchor & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)
                 fp = _fingerprints(anchor)
                 order = np.lexsort((fp, text, bucket))
@@ -138,10 +142,10 @@ def repeated_anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
                 rows = []
                 for a, b in zip(cut, [*cut[1:], len(bucket)]):
                     own = np.flatnonzero(np.append(True, np.diff(text[a:b]) != 0))
-                    rows.append((int(bucket[a]), digests[text[a:b][own]].tobytes(), np.diff(np.append(own, b - a)).astype("u4").tobytes(), _pack(fp[a:b])))
+                    rows.append((int(bucket[a]), name, digests[text[a:b][own]].tobytes(), np.diff(np.append(own, b - a)).astype("u4").tobytes(), _pack(fp[a:b])))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "digests", "counts", "fps"]
+                    [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "slice", "digests", "counts", "fps"]
                 )
 
     def shared(frame: pd.DataFrame) -> pd.DataFrame:
@@ -155,12 +159,26 @@ def repeated_anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
         keep = np.empty(len(fp), bool)
         keep[order] = ~np.repeat(lone, np.diff(np.append(begin, len(fp))))
         kept = np.add.reduceat(keep, np.cumsum(counts) - counts, dtype="i8")
-        raw, ends = _pack(fp[keep]), (np.cumsum(kept) * _FP).tolist()
-        some = np.flatnonzero(kept).tolist()
-        return pd.DataFrame({"digest": [digests[k].tobytes() for k in some], "fps": [raw[ends[k] - int(kept[k]) * _FP : ends[k]] for k in some]})
-
-    rows = texts.select("text").mapInArrow(deal, "bucket int, digests binary, counts binary, fps binary")
-    return rows.groupBy("bucket").applyInPandas(shared, "digest binary, fps binary")
+        raw = _pack(fp[keep])
+        text_at = np.append(0, np.cumsum([len(c) // 4 for c in frame["counts"]]))
+        byte_at = (np.append(0, np.cumsum(kept))[text_at] * _FP).tolist()
+        rows = list(zip(frame["slice"], text_at.tolist(), text_at[1:].tolist(), byte_at, byte_at[1:]))
+        out = [(name, digests[a:b].tobytes(), kept[a:b].astype("u4").tobytes(), raw[i:j]) for name, a, b, i, j in rows if j > i]
+        return pd.DataFrame(out, columns=["slice", "digests", "counts", "fps"])
+
+    def by_text(frame: pd.DataFrame) -> pd.DataFrame:
+        held: dict[bytes, list[bytes]] = {}
+        for digests, counts, fps in zip(frame["digests"], frame["counts"], frame["fps"]):
+            at = 0
+            for k, n in enumerate(np.frombuffer(counts, "u4").tolist()):
+                if n:
+                    held.setdefault(digests[32 * k : 32 * k + 32], []).append(fps[at : at + _FP * n])
+                    at += _FP * n
+        return pd.DataFrame({"digest": list(held), "fps": [b"".join(v) for v in held.values()]})
+
+    rows = texts.select("text").mapInArrow(deal, "bucket int, slice binary, digests binary, counts binary, fps binary")
+    rows = rows.groupBy("bucket").applyInPandas(shared, "slice binary, digests binary, counts binary, fps binary")
+    return rows.groupBy("slice").applyInPandas(by_text, "digest binary, fps binary")
 
 
 _SLICES = "slice string, digests binary, ids binary, n_bytes bigint, segments binary, lengths binary, anchors binary, least_ids binary, occ_text binary, occ_at binary, occ_segment binary"
@@ -173,7 +191,7 @@ def segments(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part, data, offsets in byte_slices(batch, "text", SLICE):
                 first, count, anchor, text = anchor_runs(data, offsets)
-                lists = [b"".join(x) for x in part.column(3).to_pylist()]
+                lists = part.column(3).to_pylist()
                 wanted = _unpack(b"".join(lists)) | (np.repeat(np.arange(len(lists)), [len(x) // _FP for x in lists]).astype("u8") << np.uint64(8 * _FP))
                 hit = np.isin(_fingerprints(anchor) | (text.astype("u8") << np.uint64(8 * _FP)), wanted)
                 first, count, anchor, text = first[hit], count[hit], anchor[hit], text[hit]
@@ -439,7 +457,7 @@ def remove_shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     owners = rows.where(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("id").alias("owner"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(1, -(-total // (WINDOW // 2 * ANCHORS_PER_BUCKET)))
-    some = repeated_anchors(texts, n_buckets).groupBy("digest").agg(F.collect_list("fps").alias("fps"))  # one per bucket
+    some = repeated_anchors(texts, n_buckets).groupBy("digest").agg(F.first("fps").alias("fps"))  # the same for all copies
     some = stored(some.join(owners, "digest").select(F.col("owner").alias("id"), "digest", "fps"), "anchors")
     slices = stored(segments(texts.join(some, "id").where(_digest(F.col("text")) == F.col("digest"))), "segments")
     found = stored(covered(slices, merge(deal(slices))), "covered").dropDuplicates(["digest"])
