@@ -42,9 +42,9 @@ def from_matrix(matrix: np.ndarray) -> pa.ListArray:
 
 
 def load_matrix(weights: DataFrame) -> np.ndarray | None:
-    """A weight table ``(i, j, w)`` as an array, or None when it is too large to ship whole."""
+    """A weight table ``(i, j, w)`` as an array, or None when it is empty or too large to ship whole."""
     table = collect_bounded(weights.select("i", "j", "w"), MAX_BROADCAST_CELLS)
-    if table is None:
+    if table is None or not table.num_rows:
         return None
     i, j = (table.column(c).to_numpy().astype("i8") for c in ("i", "j"))
     out = np.zeros((i.max() + 1, j.max() + 1))

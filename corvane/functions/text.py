@@ -58,6 +58,7 @@ def strip(text: Column) -> Column:
     return _replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
+# The patterns of white space, strings and numbers below.
 def normalize_whitespace(code: Column) -> Column:
     """Collapse blanks and blank lines, strip both ends."""
     return strip(_replace(_replace(code, r"[ \t]+", " "), rf"\n{SPACE}*\n", "\n\n"))

@@ -25,9 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 from corvane.functions.matrix import to_matrix, unit_rows
 from corvane.runtime import MAX_BROADCAST_CELLS, collect_bounded
 
-QUERY_ROWS = 1024
-ITEM_ROWS = 4096
-MIN_SCAN_TASKS = 10_000
+# Vectors of one side in a grid cell, in bytes: the fewer blocks, the fewer copies of every row.
+BLOCK_BYTES = 64 << 20
+# A product inside a cell is tiled, so that its scores stay small.
+QUERY_TILE, ITEM_TILE = 1024, 4096
+# Each task of a scan beside shipped queries emits partial results for all of them, so a large index is not scanned by
+# more tasks than this, or eight a core where there are more cores.
+SCAN_TASKS = 10_000
 # Scores closer than this are ties, settled by the lower id.
 TIE_DIGITS = 9
 
@@ -176,18 +180,21 @@ def block_join(
     own: str | None = None,
     unit: bool = True,
     broadcast_cells: int = MAX_BROADCAST_CELLS,
-    query_rows: int = QUERY_ROWS,
-    item_rows: int = ITEM_ROWS,
+    query_rows: int | None = None,
+    item_rows: int | None = None,
 ) -> DataFrame:
     """Partial results of ``fold``: several rows per query, to be merged by the caller.
 
-    Vectors travel as stored (32-bit floats stay so) and are normalized block by block if ``unit``.
+    Vectors travel as stored (32-bit floats stay so) and are normalized block by block if ``unit``.  Blocks hold
+    BLOCK_BYTES of vectors unless ``query_rows`` and ``item_rows`` say otherwise.
     """
     q = _canonical(queries, query_key, query_vec, group, own)
     x = _canonical(items, item_key, item_vec, group)
+    head = q.limit(1).toArrow().column("vec")
+    width = max(1, len(head[0])) if len(head) else 1
+    block = max(QUERY_TILE, BLOCK_BYTES // (8 * width))
+    query_rows, item_rows = query_rows or block, item_rows or block
     if broadcast_cells:
-        head = q.limit(1).toArrow().column("vec")
-        width = max(1, len(head[0])) if len(head) else 1
         small = collect_bounded(q, broadcast_cells // width)
         if small is not None:
             return _beside_items(x, small, fold, unit, item_rows)
@@ -198,6 +205,7 @@ def _fold_groups(fold, state, queries, items, item_rows: int) -> None:
     """Fold the items into the state of the queries of the same group; queries are sorted by group."""
     q_grp, q_ids, q, own = queries
     grp, ids, x, _ = items
+    item_rows = min(item_rows, ITEM_TILE)
     by_group = np.argsort(grp, kind="stable")
     starts = np.flatnonzero(np.diff(grp[by_group], prepend=grp[by_group[0]] - 1))
     for lo, hi in zip(starts, [*starts[1:], len(grp)]):
@@ -205,8 +213,8 @@ def _fold_groups(fold, state, queries, items, item_rows: int) -> None:
         q_lo, q_hi = np.searchsorted(q_grp, [value, value + 1])
         for i in range(lo, hi, item_rows):
             rows = by_group[i : min(i + item_rows, hi)]
-            for j in range(q_lo, q_hi, QUERY_ROWS):
-                at = slice(j, min(j + QUERY_ROWS, q_hi))
+            for j in range(q_lo, q_hi, QUERY_TILE):
+                at = slice(j, min(j + QUERY_TILE, q_hi))
                 fold.fold(state, at, q[at], q_ids[at], own[at], x[rows], ids[rows])
 
 
@@ -227,7 +235,7 @@ def _beside_items(x: DataFrame, queries: pa.Table, fold, unit: bool, item_rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
     # Every task emits up to k rows per query, so there should not be far more tasks than cores.
-    tasks = max(MIN_SCAN_TASKS, 8 * x.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(SCAN_TASKS, 8 * x.sparkSession.sparkContext.defaultParallelism)
     x = x.coalesce(tasks)
     return x.mapInArrow(scan, fold.schema)
 

@@ -15,7 +15,8 @@ def rank_of_match(queries: DataFrame, codes: DataFrame, group: str | None = None
     """(query_id, rank[, group]): rank of the code with the query's own id, by cosine.
 
     queries(query_id, vec), codes(vec_id, vec).  The rank is one plus the number of better codes;
-    ties go to the lower id.  With ``group`` only codes of the query's own group compete.
+    ties go to the lower id.  With ``group`` only codes of the query's own group compete.  A query without a
+    code of its own has a null rank, which every metric counts as zero.
     """
     extra = [] if group is None else [group]
     q, x = queries.select("query_id", "vec", *extra), codes.select("vec_id", "vec", *extra)
@@ -23,7 +24,9 @@ def rank_of_match(queries: DataFrame, codes: DataFrame, group: str | None = None
     marked = q.join(own, "query_id").withColumn("own", V.cosine(F.col("vec"), F.col("match"))).drop("match")
     parts = block_join(marked, x, BetterCount(), group=group, own="own", **blocks)
     ranks = parts.groupBy("grp", "query_id").agg((F.sum("better") + 1).alias("rank"))
-    return ranks.drop("grp") if group is None else ranks.withColumnRenamed("grp", group)
+    ranks = ranks.drop("grp") if group is None else ranks.withColumnRenamed("grp", group)
+    missing = q.join(own.select("query_id"), "query_id", "left_anti").select(*[c for c in ranks.columns if c != "rank"])
+    return ranks.unionByName(missing.withColumn("rank", F.lit(None).cast("bigint")))
 
 
 def _gain(rank: Column) -> Column:
@@ -31,15 +34,15 @@ def _gain(rank: Column) -> Column:
 
 
 def recall_at_k(ranks: DataFrame, ks=RECALL_K) -> DataFrame:
-    return ranks.agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall@{k}") for k in ks])
+    return ranks.agg(*_metric_columns(F.col("rank"), ks)[: len(ks)])
 
 
 def mrr(ranks: DataFrame) -> DataFrame:
-    return ranks.agg(F.avg(1.0 / F.col("rank")).alias("mrr"))
+    return ranks.agg(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
 def ndcg_at_10(ranks: DataFrame) -> DataFrame:
-    return ranks.agg(F.avg(_gain(F.col("rank"))).alias("ndcg"))
+    return ranks.agg(F.avg(F.coalesce(_gain(F.col("rank")), F.lit(0.0))).alias("ndcg"))
 
 
 def _metric_columns(rank: Column, ks) -> list[Column]:

@@ -130,7 +130,15 @@ def column_statistics(df: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _standardized(x: Column, mean: np.ndarray, var: np.ndarray, eps: float) -> Column:
     inv = 1.0 / np.sqrt(var + eps)
-    return linear(x, np.diag(inv), -mean * inv)
+    shift = -mean * inv
+
+    @F.arrow_udf("array<double>")
+    def standardize(v: pa.Array) -> pa.Array:
+        if len(v) == 0:
+            return pa.array([], type=pa.list_(pa.float64()))
+        return from_matrix(to_matrix(v) * inv + shift)
+
+    return standardize(x)
 
 
 def batch_standardize(

@@ -33,8 +33,9 @@ def parent_child_edges(nodes: DataFrame) -> DataFrame:
     )
 
 
-def cap_nodes(nodes: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    return nodes.where(F.col("id") < max_nodes)
+def cap_nodes(nodes: DataFrame, max_nodes: int | None = MAX_NODES) -> DataFrame:
+    """The first ``max_nodes`` nodes of each graph; all of them for None."""
+    return nodes if max_nodes is None else nodes.where(F.col("id") < max_nodes)
 
 
 def _both_ways(pairs: DataFrame, kind: str) -> DataFrame:
@@ -48,23 +49,27 @@ def _both_ways(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.select("doc_id", ends).withColumn("kind", F.lit(kind))
 
 
-def _children(nodes: DataFrame, max_nodes: int) -> DataFrame:
-    return cap_nodes(nodes, max_nodes).where(F.col("parent_id") < max_nodes)
+def _inside(parent: Column, max_nodes: int | None) -> Column:
+    return parent.isNotNull() if max_nodes is None else parent < max_nodes
 
 
-def tree_edges(nodes: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+def _children(nodes: DataFrame, max_nodes: int | None) -> DataFrame:
+    return cap_nodes(nodes, max_nodes).where(_inside(F.col("parent_id"), max_nodes))
+
+
+def tree_edges(nodes: DataFrame, max_nodes: int | None = MAX_NODES) -> DataFrame:
     pairs = _children(nodes, max_nodes).select("doc_id", F.col("parent_id").alias("a"), F.col("id").alias("b"))
     return _both_ways(pairs, "tree")
 
 
-def sibling_edges(nodes: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+def sibling_edges(nodes: DataFrame, max_nodes: int | None = MAX_NODES) -> DataFrame:
     """Consecutive children of one parent, both ways."""
     order = Window.partitionBy("doc_id", "parent_id").orderBy("id")
     pairs = _children(nodes, max_nodes).select("doc_id", F.col("id").alias("a"), F.lead("id").over(order).alias("b"))
     return _both_ways(pairs.where(F.col("b").isNotNull()), "sibling")
 
 
-def control_flow_edges(nodes: DataFrame, max_nodes: int = MAX_NODES, control_types=CONTROL_TYPES) -> DataFrame:
+def control_flow_edges(nodes: DataFrame, max_nodes: int | None = MAX_NODES, control_types=CONTROL_TYPES) -> DataFrame:
     """Consecutive control nodes in pre-order, one way."""
     order = Window.partitionBy("doc_id").orderBy("id")
     control = cap_nodes(nodes, max_nodes).where(F.col("type").isin(*control_types))
@@ -72,7 +77,7 @@ def control_flow_edges(nodes: DataFrame, max_nodes: int = MAX_NODES, control_typ
     return pairs.where(F.col("dst").isNotNull()).withColumn("kind", F.lit("control"))
 
 
-def graph_edges(nodes: DataFrame, max_nodes: int = MAX_NODES, control_types=CONTROL_TYPES) -> DataFrame:
+def graph_edges(nodes: DataFrame, max_nodes: int | None = MAX_NODES, control_types=CONTROL_TYPES) -> DataFrame:
     """All edges; an edge found by two rules is kept twice.
 
     One pass over the nodes and one shuffle: partitioned by document, both windows find their rows in
@@ -83,7 +88,7 @@ def graph_edges(nodes: DataFrame, max_nodes: int = MAX_NODES, control_types=CONT
     sibling = F.lead("id").over(Window.partitionBy("doc_id", "parent_id").orderBy("id"))
     following = F.lead("id").over(Window.partitionBy("doc_id", "control").orderBy("id"))
     linked = slim.withColumns({"sibling": sibling, "following": following})
-    child = F.col("parent_id") < max_nodes
+    child = _inside(F.col("parent_id"), max_nodes)
 
     def edge(when: Column, src: str, dst: str, kind: str) -> Column:
         return F.when(when, F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind")))
@@ -112,7 +117,7 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
-def node_features(nodes: DataFrame, vocab: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+def node_features(nodes: DataFrame, vocab: DataFrame, max_nodes: int | None = MAX_NODES) -> DataFrame:
     """(doc_id, id, type_id, x) with x = [type_id, depth, child_count, is_named]."""
     capped = cap_nodes(nodes, max_nodes).join(broadcast_checked(vocab), "type")
     parts = [F.col(c).cast("double") for c in ("type_id", "depth", "child_count")]

@@ -35,25 +35,29 @@ def line_type(line: Column) -> Column:
 
 def _nest_batch(indents: pa.Array) -> pa.Array:
     """Parent (nearest earlier line of smaller indent), depth and child count; entry 0 is the root."""
-    parents, depths, children = [], [], []
-    for row in indents:
-        base = len(parents)
-        parents.append(None)
-        depths.append(0)
-        children.append(0)
-        stack = [(-1, 0)]
-        for node, indent in enumerate(row.as_py() or [], start=1):
-            while stack[-1][0] >= indent:
-                stack.pop()
-            parent = stack[-1][1]
-            parents.append(parent)
-            depths.append(len(stack))
-            children.append(0)
-            children[base + parent] += 1
-            stack.append((indent, node))
     lengths = indents.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) + 1
+    starts = np.cumsum(lengths) - lengths
+    root = np.repeat(starts, lengths)
+    place = np.arange(lengths.sum())
+    is_root = place == root
+    indent = np.full(len(place), -1, "i8")
+    indent[~is_root] = indents.flatten().to_numpy(zero_copy_only=False)
+    # The nearest earlier entry of smaller indent: a candidate that is not smaller gives way to its own candidate,
+    # for all entries at once, so a run of equal indents takes as many steps as its length has binary digits.
+    nearest = np.where(is_root, place, place - 1)
+    open_ = np.flatnonzero(~is_root & (indent[nearest] >= indent))
+    while len(open_):
+        nearest[open_] = nearest[nearest[open_]]
+        open_ = open_[indent[nearest[open_]] >= indent[open_]]
+    depth, up = np.zeros(len(place), "i4"), nearest.copy()
+    live = np.flatnonzero(~is_root)
+    while len(live):
+        depth[live] += 1
+        live = live[up[live] != root[live]]
+        up[live] = nearest[up[live]]
+    children = np.bincount(nearest[~is_root], minlength=len(place)).astype("i4")
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("i4"))
-    fields = [pa.array(c, type=pa.int32()) for c in (parents, depths, children)]
+    fields = [pa.array((nearest - root).astype("i4"), mask=is_root), pa.array(depth), pa.array(children)]
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["parent_id", "depth", "child_count"]))
 
 

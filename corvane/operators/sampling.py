@@ -143,12 +143,16 @@ def split(df: DataFrame, key: str, seed=0, mode: str = "exact", train: float = 0
     """Add ``split`` after a reproducible shuffle.
 
     "exact": the first int(train*n) rows in md5 order, the next int(val*n), the rest.  Only the two
-    boundary keys are looked up; assigning rows is then a comparison, without a shuffle.
+    boundary keys are looked up; assigning rows is then a comparison, without a shuffle.  Rows with equal
+    keys share a side, so counts are exact for unique keys only.
     "hash": fixed shares of the key space, no counting at all.
     """
+    if min(train, val) < 0 or train + val > 1 + 1e-9:
+        raise ValueError("shares must not be negative, nor add up to more than 1")
     shuffled = md5_key(seed, F.col(key))
     if mode == "hash":
-        bounds = [f"{int(share * 16**8):08x}" for share in (train, train + val)]
+        places = [int(share * 16**8 + 1e-3) for share in (train, train + val)]
+        bounds = [f"{place:08x}" if place < 16**8 else "g" for place in places]
     elif mode == "exact":
         bounds = _boundaries(df.select(shuffled.alias("key")), (train, val))
     else:

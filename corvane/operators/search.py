@@ -107,12 +107,12 @@ def topk_ann(
     return rank_hits(once, k)
 
 
-def attach_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Stored record of each hit; a hit without a record keeps empty columns.
+def attach_metadata(hits: DataFrame, metadata: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Stored record of each hit; a hit without a record keeps empty columns.  ``key`` is unique in ``metadata``.
 
     Few distinct hit ids (checked) are sent to the metadata, which is then never shuffled.  The hits
     are small and used twice, so they are materialized once.
     """
     hits = checkpoint(hits)
-    wanted = broadcast_checked(hits.select("vec_id").distinct(), max_rows=1_000_000)
-    return hits.join(metadata.join(wanted, "vec_id", "left_semi"), "vec_id", "left")
+    wanted = broadcast_checked(hits.select(key).distinct(), max_rows=1_000_000)
+    return hits.join(metadata.join(wanted, key, "left_semi"), key, "left")

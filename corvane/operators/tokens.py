@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions.matrix import hash_scatter
 from corvane.functions.text import WORD_BREAK, words
@@ -14,20 +14,17 @@ from corvane.runtime import checkpoint, collect_bounded, explode_once
 
 # Reserved token ids.
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
-# Up to this size a vocabulary is ranked in one task and shipped whole for lookups.
+# Up to this size a vocabulary is shipped whole for lookups.
 SMALL_VOCAB = 100_000
 
 
-def token_vocab(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """(token, token_id, n): the ``size`` most frequent tokens, ties in token order, ids from 2."""
+def token_vocab(docs: DataFrame, size: int | None = None, text: str = "text") -> DataFrame:
+    """(token, token_id, n): all tokens, or the ``size`` most frequent; ties in token order, ids from 2."""
     tokens = docs.select(explode_once(words(F.col(text))).alias("token")).where(F.col("token").isNotNull())
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    if size <= SMALL_VOCAB:
-        top = counts.orderBy(F.desc("n"), "token").limit(size)
-        position = F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1
-        ranked = top.withColumn("position", position)
-    else:
-        ranked = with_positions(checkpoint(counts.withColumn("_neg", -F.col("n"))), "_neg", "token").where(F.col("position") < size)
+    ranked = with_positions(checkpoint(counts.withColumn("_neg", -F.col("n"))), "_neg", "token")
+    if size is not None:
+        ranked = ranked.where(F.col("position") < size)
     return ranked.select("token", (F.col("position") + FIRST_ID).cast("bigint").alias("token_id"), "n")
 
 

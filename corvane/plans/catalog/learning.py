@@ -172,8 +172,8 @@ def triplets(cached: bool):
     return query
 
 
-def split_rows(mode):
-    return lambda spark, d: M.split(table(spark, d, "documents"), "doc_id", SEED, mode).select("doc_id", "split")
+def split_rows(mode, *shares):
+    return lambda spark, d: M.split(table(spark, d, "documents"), "doc_id", SEED, mode, *shares).select("doc_id", "split")
 
 
 _KEY = f"md5('{SEED}:' || doc_id)"
@@ -236,6 +236,7 @@ QUERIES = {
     ),
     "split_exact": (split_rows("exact"), SQL_SPLIT_EXACT),
     "split_hash": (split_rows("hash"), SQL_SPLIT_HASH),
+    "split_hash_two_way": (split_rows("hash", 0.9, 0.1), f"SELECT doc_id, CASE WHEN {_KEY} < 'e6666666' THEN 'train' ELSE 'val' END AS split FROM documents"),
     "mini_batches": (
         batches(64, None),
         "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM documents",

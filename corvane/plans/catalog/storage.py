@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from corvane.functions.vectors import scale
 from corvane.operators import sampling as M
 from corvane.operators.evaluation import rank_metrics
+from corvane.operators.search import attach_metadata
 from corvane.plans.catalog.evaluation import SQL_RANKS, ranks, sql_tall
-from corvane.plans.catalog.fixtures import SQL_CODE, SQL_UNIT, code_records, r6, sql_r6, table, vectors
+from corvane.plans.catalog.fixtures import SQL_CODE, SQL_UNIT, code_records, long_form, r6, sql_long, sql_r6, table, vectors
 from corvane.plans.catalog.learning import SQL_SPLIT_EXACT
 from corvane.plans.catalog.search import K, NLIST, _queries, sql_rank
 from corvane.runtime import scratch_path
@@ -61,7 +62,7 @@ def saved(spark, d):
     index.add(_rows(spark, d))
     again = VectorIndex.load(spark, index.path, IndexConfig(1, "Flat", 1, 1))
     stored = [F.lit(v).alias(n) for n, v in vars(again.config).items()]
-    return again.vectors().select("vec_id", "label", r6(F.col("embedding")[0].cast("double")).alias("first"), *stored)
+    return long_form(again.vectors().select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), *stored), ["vec_id", "label", *vars(again.config)], "embedding")
 
 
 def loaded_search(spark, d):
@@ -78,12 +79,28 @@ p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS s F
 {sql_rank('p')}"""
 
 
-def appended(spark, d):
-    """The table is added twice; nothing is de-duplicated."""
-    index = _new_index(spark)
-    index.add(_rows(spark, d))
-    index.add(_rows(spark, d))
-    return index.vectors().select("vec_id", "label")
+def appended(index_type="Flat"):
+    """The table is added twice; nothing is de-duplicated, and both copies are found, each with its record."""
+
+    def query(spark, d):
+        index = _new_index(spark, index_type)
+        index.add(_rows(spark, d))
+        index.add(_rows(spark, d))
+        hits = index.search(_queries(spark, d), K)
+        found = attach_metadata(hits.drop("vec_id"), index.metadata(), "row_id")
+        return found.select("query_id", "row_id", "vec_id", "label", F.col("rank").cast("bigint").alias("rank"), "score")
+
+    return query
+
+
+SQL_APPENDED = f"""WITH {_U32},
+n AS (SELECT count(*) AS n FROM embeddings),
+pos AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM u32),
+twice AS (SELECT vec_id, v, row_id FROM pos UNION ALL SELECT vec_id, v, row_id + n FROM pos, n),
+p AS (SELECT a.vec_id AS query_id, b.row_id AS vec_id, list_inner_product(a.v, b.v) AS s FROM u a CROSS JOIN twice b),
+hits AS ({sql_rank('p')})
+SELECT query_id, row_id, twice.vec_id, label, rank, score
+FROM hits JOIN twice ON row_id = hits.vec_id JOIN embeddings ON embeddings.vec_id = twice.vec_id"""
 
 
 def cleared(spark, d):
@@ -107,7 +124,7 @@ def cache(spark, d):
     old = vectors(spark, d).select(F.col("vec_id").alias("id"), "vec")
     M.write_embedding_cache(old, path)
     M.write_embedding_cache(old.withColumn("vec", scale(F.col("vec"), F.lit(2.0))), path)
-    return M.read_embedding_cache(spark, path).select("id", r6(F.col("vec")[0]).alias("first"))
+    return long_form(M.read_embedding_cache(spark, path), "id")
 
 
 def metrics(spark, d):
@@ -125,10 +142,11 @@ def streamed(spark, d):
     schema = "vec_id bigint, embedding array<float>, label int"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
     stream_index(stream, index, lambda batch: batch, scratch_path(spark, "progress")).awaitTermination()
-    return index.vectors().select("vec_id", "label", r6(F.col("embedding")[0].cast("double")).alias("first"))
+    return long_form(index.vectors().select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")), ["vec_id", "label"], "embedding")
 
 
-_SQL_ROWS = f"WITH {SQL_UNIT} SELECT vec_id, label, {sql_r6('v[1]::FLOAT::DOUBLE')} AS first"
+_SQL_ROWS = f"""WITH {SQL_UNIT}, {sql_long('x', 'u', 'vec_id, label', 'v::FLOAT[]::DOUBLE[]')}
+SELECT vec_id, label, d AS dim, {sql_r6('x')} AS value"""
 
 QUERIES = {
     "read_corpus": (
@@ -142,22 +160,20 @@ QUERIES = {
     ),
     "save_index": (
         saved,
-        f"{_SQL_ROWS}, 64::INT AS embedding_dim, 'IVF' AS index_type, {NLIST}::INT AS nlist, {NLIST}::INT AS nprobe FROM u",
+        f"{_SQL_ROWS}, 64::INT AS embedding_dim, 'IVF' AS index_type, {NLIST}::INT AS nlist, {NLIST}::INT AS nprobe FROM x",
     ),
     "load_index": (loaded_search, SQL_LOADED),
-    "append_index": (
-        appended,
-        "SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id, label FROM embeddings",
-    ),
+    "append_index": (appended(), SQL_APPENDED),
+    "append_index_ivf": (appended("IVF"), SQL_APPENDED),
     "clear_index": (cleared, 'SELECT count(*) AS "before", 0::BIGINT AS "after" FROM embeddings'),
     "index_stats": (stats, f"SELECT count(*) AS indexed, {NLIST}::BIGINT AS cells FROM embeddings"),
     "embedding_cache": (
         cache,
-        f"SELECT vec_id AS id, {sql_r6('2 * embedding[1]::DOUBLE')} AS first FROM embeddings",
+        f"WITH {sql_long('x', 'embeddings', 'vec_id', 'embedding::DOUBLE[]')} SELECT vec_id AS id, d AS dim, {sql_r6('2 * x')} AS value FROM x",
     ),
     "write_metrics": (
         metrics,
         f"WITH {SQL_RANKS}, m AS ({sql_tall('rk')}) SELECT e::INT AS epoch, metric, value FROM m, range(2) r(e)",
     ),
-    "stream_index": (streamed, f"{_SQL_ROWS} FROM u"),
+    "stream_index": (streamed, f"{_SQL_ROWS} FROM x"),
 }

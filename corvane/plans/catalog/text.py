@@ -19,7 +19,7 @@ from corvane.plans.catalog.fixtures import (
     table,
 )
 
-VOCAB, LENGTH, DIM = 5000, 512, 64
+LENGTH, DIM = 512, 64
 
 
 def _lit(pattern: str) -> str:
@@ -101,18 +101,18 @@ def node_texts(spark, d):
 
 
 def vocabulary(spark, d):
-    return token_vocab(table(spark, d, "documents"), VOCAB)
+    return token_vocab(table(spark, d, "documents"))
 
 
 SQL_VOCAB = f"""{sql_words('t', 'documents', 'doc_id', 'text')},
 vocab AS (
   SELECT w AS token, row_number() OVER (ORDER BY n DESC, w) + 1 AS token_id, n
-  FROM (SELECT w, count(*) AS n FROM t GROUP BY w ORDER BY n DESC, w LIMIT {VOCAB}))"""
+  FROM (SELECT w, count(*) AS n FROM t GROUP BY w ))"""
 
 
 def token_ids(spark, d, **how):
     docs = table(spark, d, "documents")
-    rows = encode_tokens(docs, token_vocab(docs, VOCAB), LENGTH, **how)
+    rows = encode_tokens(docs, token_vocab(docs), LENGTH, **how)
 
     def joined(c):
         return F.array_join(F.transform(c, lambda v: v.cast("string")), ",")

@@ -28,7 +28,7 @@ from corvane.plans.catalog.fixtures import (
     weight,
 )
 
-OUT, TOKEN_DIM, MASK_FROM, HEADS, D = 16, 8, 16, 8, 64
+OUT, TOKEN_DIM, HEADS, D = 16, 8, 8, 64
 _E_LONG = f"{SQL_E}, {sql_long('x', 'e', 'vec_id', 'v')}"
 
 
@@ -66,16 +66,16 @@ FROM pairs"""
 
 
 def dimension(spark, d):
-    return embedding_dim(table(spark, d, "embeddings")).select("vec_id", "dimension", r6(F.col("embedding")[0].cast("double")).alias("first"))
+    return long_form(embedding_dim(table(spark, d, "embeddings")).select("vec_id", "dimension", F.col("embedding").cast("array<double>").alias("embedding")), ["vec_id", "dimension"], "embedding")
 
 
 def token_vectors(spark, d):
-    """Word positions of the documents with 8-d vectors from the word's digest; words past 16 are masked."""
+    """Word positions of the documents with 8-d vectors from the word's digest; the digest also says which words are masked."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "w"))
     digest = F.md5("w")
     parts = [(F.ascii(F.substring(digest, k + 1, 1)) - 72) / F.lit(32.0) for k in range(TOKEN_DIM)]
     return docs.select(
-        "doc_id", "pos", F.array(*parts).alias("vec"), (F.col("pos") < MASK_FROM).cast("int").alias("mask")
+        "doc_id", "pos", F.array(*parts).alias("vec"), (F.substring(digest, 32, 1) < "c").cast("int").alias("mask")
     )
 
 
@@ -83,7 +83,7 @@ SQL_TOKENS = f"""l AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: w <> '') AS ws FROM documents),
 f AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM l),
 tv AS (
-  SELECT doc_id, pos, CASE WHEN pos < {MASK_FROM} THEN 1 ELSE 0 END AS mask, k AS d,
+  SELECT doc_id, pos, CASE WHEN substr(md5(w), 32, 1) < 'c' THEN 1 ELSE 0 END AS mask, k AS d,
          (ascii(substr(md5(w), k + 1, 1)) - 72)::DOUBLE / 32 AS x
   FROM f, range({TOKEN_DIM}) g(k))"""
 _POOL_SQL = {
@@ -161,7 +161,7 @@ QUERIES = {
     ),
     "embedding_dim": (
         dimension,
-        f"SELECT vec_id, len(embedding)::BIGINT AS dimension, {sql_r6('embedding[1]::DOUBLE')} AS first FROM embeddings",
+        f"WITH {sql_long('x', 'embeddings', 'vec_id, len(embedding)::BIGINT AS dimension', 'embedding::DOUBLE[]')} SELECT vec_id, dimension, d AS dim, {sql_r6('x')} AS value FROM x",
     ),
     "pool_tokens_cls": _pool("cls"),
     "pool_tokens_mean": _pool("mean"),

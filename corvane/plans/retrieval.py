@@ -42,7 +42,7 @@ def embed_code(records: DataFrame, dim: int) -> DataFrame:
     return records.select("doc_id", embed_text(preprocess(F.col("code"), F.col("language")), dim).alias("vec"))
 
 
-def graph_embedding(records: DataFrame, weights: EncoderWeights, vocab: DataFrame, max_nodes: int = G.MAX_NODES) -> DataFrame:
+def graph_embedding(records: DataFrame, weights: EncoderWeights, vocab: DataFrame, max_nodes: int | None = G.MAX_NODES) -> DataFrame:
     """(doc_id, vec): outline graph, propagation, mean and max pooling, output projection."""
     # The sources are parsed once; what goes on is a narrow table without texts.
     slim = ("doc_id", "id", "type", "parent_id", "depth", "is_named", "child_count")
@@ -54,10 +54,12 @@ def graph_embedding(records: DataFrame, weights: EncoderWeights, vocab: DataFram
     return pooled.select("doc_id", V.layer_norm(linear(F.col("vec"), weights.output, activation="relu")).alias("vec"))
 
 
-def encode_code(records: DataFrame, weights: EncoderWeights, vocab: DataFrame, dim: int) -> DataFrame:
-    """(doc_id, vec): text and graph embeddings of each record, fused."""
+def encode_code(
+    records: DataFrame, weights: EncoderWeights, vocab: DataFrame, dim: int, max_nodes: int | None = G.MAX_NODES
+) -> DataFrame:
+    """(doc_id, vec): text and graph embeddings of each record, fused; None lifts the cap on a graph's nodes."""
     text = embed_code(records, dim).withColumnRenamed("vec", "a")
-    graph = graph_embedding(records, weights, vocab).withColumnRenamed("vec", "b")
+    graph = graph_embedding(records, weights, vocab, max_nodes).withColumnRenamed("vec", "b")
     both = text.join(graph, "doc_id")
     return both.select("doc_id", fuse(weights.fusion, F.col("a"), F.col("b"), **weights.fusion_weights).alias("vec"))
 
@@ -85,7 +87,7 @@ def search(requests: DataFrame, index: VectorIndex, return_scores: bool = True,
         ]
         hits = reduce(DataFrame.unionByName, parts)
     wanted = hits.join(requests.select("query_id", "top_k", F.col("language").alias("want")), "query_id")
-    kept = attach_metadata(wanted.where(F.col("rank") <= F.col("top_k")), index.metadata())
+    kept = attach_metadata(wanted.where(F.col("rank") <= F.col("top_k")), index.metadata().drop("vec_id"), "row_id")
     if language_mode == "post":
         # The filter sees the record's language with its default, as the result shows it.
         shown = kept.withColumn("language", F.coalesce(F.col("language"), F.lit(RESULT_DEFAULTS["language"])))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Largest payload (in numbers) that is ever shipped whole to every executor: 8M doubles = 64 MB.
 MAX_BROADCAST_CELLS = 8_000_000
@@ -15,9 +15,11 @@ MAX_BROADCAST_CELLS = 8_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a fresh one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if configured:
+        if sc.getCheckpointDir() is None:  # set after the context's start
+            sc.setCheckpointDir(configured)
         return configured
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
@@ -39,15 +41,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     """Rows of ``df`` as an Arrow table, or None when there are more than ``max_rows``.
 
-    Never moves more than ``max_rows + 1`` rows to the driver, whatever the size of ``df``.
+    Rows are counted first, which evaluates no column, and moved only when they fit.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    return None if table.num_rows > max_rows else table
+    return None if df.count() > max_rows else df.toArrow()
+
+
+# A table that goes to every executor has at most so many bytes.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    size = F.lit(16 + 8 * len(df.columns)).cast("bigint")
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            size = size + 8 * F.greatest(F.size(field.name), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+    return size
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``max_rows`` rows, unchanged otherwise."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """``df`` with a broadcast hint when its rows and their bytes, measured, are within bounds; else unchanged."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= MAX_BROADCAST_BYTES else df
 
 
 # A scan below this many bytes per core is spread over the cores before heavy per-row work.

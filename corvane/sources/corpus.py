@@ -11,12 +11,13 @@ from corvane.runtime import broadcast_checked
 RECORD_SCHEMA = "code string, docstring string, language string, func_name string"
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, format: str = "json") -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, format: str = "json", mode: str = "FAILFAST") -> DataFrame:
     """Records of one JSON-array file, or of every ``*.json`` directly in a folder.
 
-    A JSON array is read whole by one task, file by file; "jsonl" and "parquet" inputs are split.
+    A JSON array is read whole by one task, file by file; "jsonl" and "parquet" inputs are split.  A damaged
+    file fails the read, unless ``mode`` says otherwise ("PERMISSIVE" gives null rows, "DROPMALFORMED" none).
     """
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(schema).option("mode", mode)
     if format == "parquet":
         return reader.parquet(path)
     if format not in ("json", "jsonl"):

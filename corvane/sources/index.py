@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from corvane.functions import vectors as V
 from corvane.functions.matrix import load_matrix
 from corvane.operators.clustering import ivf_train
-from corvane.operators.search import ivf_assign, ivf_search, topk_ann, topk_exact
+from corvane.operators.positions import with_positions
+from corvane.operators.search import attach_metadata, ivf_assign, ivf_search, topk_ann, topk_exact
 from corvane.runtime import checkpoint
 
 INDEX_TYPES = ("Flat", "IVF", "HNSW")
@@ -34,9 +35,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 class VectorIndex:
-    """Vectors (vec_id, embedding, metadata..., cell, ingest) under ``path``.
+    """Vectors (row_id, vec_id, embedding, metadata..., cell, ingest) under ``path``.
 
-    "Flat" ranks everything, "IVF" the best ``nprobe`` cells, "HNSW" is served by hashed buckets.
+    Every stored row has a ``row_id`` of its own: the same ``vec_id`` may be added again, and then is found
+    again, with its own record.  "Flat" ranks everything, "IVF" the best ``nprobe`` cells, "HNSW" is served by hashed buckets.
     Nothing is de-duplicated, updated or deleted.  ``load`` takes the stored configuration.
     """
 
@@ -45,7 +47,7 @@ class VectorIndex:
         self.config = config or IndexConfig()
         fields = T._parse_datatype_string(metadata) if metadata else T.StructType()
         self.schema = T.StructType(
-            [T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]
+            [T.StructField("row_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]
             + fields.fields
             + [T.StructField("cell", T.IntegerType()), T.StructField("ingest", T.StringType())]
         )
@@ -74,7 +76,11 @@ class VectorIndex:
         if not _exists(self.spark, f"{self.path}/centroids"):
             return None
         rows = self.spark.read.schema("cell int, vec array<double>").parquet(f"{self.path}/centroids")
-        return load_matrix(rows.select(F.col("cell").alias("i"), F.posexplode("vec").alias("j", "w")))
+        weights = rows.select(F.col("cell").alias("i"), F.posexplode("vec").alias("j", "w"))
+        matrix = load_matrix(weights)
+        if matrix is None and not weights.isEmpty():
+            raise ValueError("the centroids are too large to ship whole to every task")
+        return matrix
 
     def clear(self) -> None:
         """Drop all vectors and metadata, and the training."""
@@ -97,6 +103,8 @@ class VectorIndex:
         if centroids is None:
             unit = checkpoint(unit)  # every training round reads the vectors again
             centroids = ivf_train(unit, self.config.nlist)
+            if not len(centroids):  # nothing to train on: the next add will
+                return unit.withColumn("cell", F.lit(0))
             table = [(i, [float(v) for v in row]) for i, row in enumerate(centroids)]
             self.spark.createDataFrame(table, "cell int, vec array<double>").coalesce(1).write.mode("overwrite").parquet(
                 f"{self.path}/centroids"
@@ -111,6 +119,10 @@ class VectorIndex:
         """
         out = self._assigned(rows).withColumn("embedding", F.col("vec").cast("array<float>"))
         out = out.withColumn("ingest", F.lit(ingest or "append"))
+        # Rows are numbered on from what is stored, in order of their ids; a replayed load takes its numbers again.
+        stored = self.vectors() if ingest is None else self.vectors().where(F.col("ingest") != ingest)
+        last = stored.agg(F.max("row_id")).first()[0]
+        out = with_positions(out, "vec_id", name="row_id").withColumn("row_id", F.col("row_id") + (0 if last is None else last + 1))
         # Rebalanced by cell: small cells share tasks, a large cell is split over several files.
         out = out.select([F.col(f.name).cast(f.dataType) for f in self.schema]).hint("rebalance", "cell")
         writer = out.write.partitionBy("cell", "ingest")
@@ -120,14 +132,18 @@ class VectorIndex:
             writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/vectors")
 
     def search(self, queries: DataFrame, k: int = 10, where=None) -> DataFrame:
-        """(query_id, vec_id, score, rank) for queries(query_id, vec).
+        """(query_id, row_id, vec_id, score, rank) for queries(query_id, vec); ties go to the row stored first.
 
         ``where`` restricts the index before ranking; it is pushed to the Parquet scan.  Only ids and
         vectors are read here, metadata is joined to the hits.  Stored vectors are unit vectors already.
         """
         queries = queries.select("query_id", V.l2_normalize(F.col("vec")).alias("vec"))
         rows = self.vectors() if where is None else self.vectors().where(where)
-        items = rows.select("vec_id", F.col("embedding").alias("vec"), "cell")
+        items = rows.select(F.col("row_id").alias("vec_id"), F.col("embedding").alias("vec"), "cell")
+        hits = self._ranked(queries, items, k).withColumnRenamed("vec_id", "row_id")
+        return attach_metadata(hits, rows.select("row_id", "vec_id"), "row_id").select("query_id", "row_id", "vec_id", "score", "rank")
+
+    def _ranked(self, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
         if self.config.index_type == "IVF":
             centroids = self.centroids()
             if centroids is not None:  # otherwise nothing was added yet and there is nothing to find
