@@ -29,8 +29,8 @@ from corvane.llm.common import byte_slices, code_points, id_text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
-# Pieces and pairs remembered by a worker; beyond that the memory starts anew (results stay the same).
-REMEMBERED = 1_000_000
+# Pieces (by a task) and pairs (by a worker) that are remembered; beyond that the memory starts anew, with the same results.
+REMEMBERED = 500_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -229,17 +229,18 @@ class Tokenizer:
 
     def __init__(self, tokens: list[bytes]):
         self.vocabulary = Vocabulary(tokens)
-        self._forget()
+        self.forget()
         self.bytes_of = pa.array(tokens, pa.large_binary())
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give back what the pieces take: workers outlive their tasks, and the next may be another operator's."""
         self.known: dict[bytes, int] = {}  # piece -> its row below
         self.flat, self.starts = np.empty(0, "u4"), np.zeros(1, "i8")
 
     def _rows(self, pieces: list[bytes]) -> np.ndarray:
         """Rows of the pieces' ids; those not met before are encoded."""
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self.forget()
         rows = list(map(self.known.get, pieces))
         new: list[list[int]] = []
         for k, row in enumerate(rows):
@@ -310,6 +311,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                     ],
                     names=names,
                 )
+        tokenizer.forget()
+        pa.default_memory_pool().release_unused()
 
     return id_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, token_ids array<int>, decoded binary, ids_sha256 string, decoded_sha256 string"
