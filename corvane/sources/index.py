@@ -131,19 +131,20 @@ class VectorIndex:
         else:
             writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/vectors")
 
-    def search(self, queries: DataFrame, k: int = 10, where=None) -> DataFrame:
-        """(query_id, row_id, vec_id, score, rank) for queries(query_id, vec); ties go to the row stored first.
+    def ranked(self, queries: DataFrame, k: int = 10, where=None) -> DataFrame:
+        """(query_id, row_id, score, rank) for queries(query_id, vec); ties go to the row stored first.
 
         ``where`` restricts the index before ranking; it is pushed to the Parquet scan.  Only ids and
         vectors are read here, metadata is joined to the hits.  Stored vectors are unit vectors already.
         """
         queries = queries.select("query_id", V.l2_normalize(F.col("vec")).alias("vec"))
-        rows = self.vectors() if where is None else self.vectors().where(where)
-        items = rows.select(F.col("row_id").alias("vec_id"), F.col("embedding").alias("vec"), "cell")
-        hits = self._ranked(queries, items, k).withColumnRenamed("vec_id", "row_id")
-        return attach_metadata(hits, rows.select("row_id", "vec_id"), "row_id").select("query_id", "row_id", "vec_id", "score", "rank")
+        items = self._rows(where).select(F.col("row_id").alias("vec_id"), F.col("embedding").alias("vec"), "cell")
+        return self._nearest(queries, items, k).withColumnRenamed("vec_id", "row_id")
+
+    def _rows(self, where) -> DataFrame:
+        return self.vectors() if where is None else self.vectors().where(where)
 
-    def _ranked(self, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    def _nearest(self, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
         if self.config.index_type == "IVF":
             centroids = self.centroids()
             if centroids is not None:  # otherwise nothing was added yet and there is nothing to find
@@ -152,6 +153,11 @@ class VectorIndex:
             return topk_ann(queries, items, self.config.embedding_dim, k, unit=False)
         return topk_exact(queries, items, k, unit=False)
 
+    def search(self, queries: DataFrame, k: int = 10, where=None) -> DataFrame:
+        """(query_id, row_id, vec_id, score, rank): ``ranked`` with the ids the rows were added under."""
+        hits = attach_metadata(self.ranked(queries, k, where), self._rows(where).select("row_id", "vec_id"), "row_id")
+        return hits.select("query_id", "row_id", "vec_id", "score", "rank")
+
     def metadata(self) -> DataFrame:
         return self.vectors().drop("embedding", "cell", "ingest")
 

@@ -67,7 +67,7 @@ def test_probed_cells_prune_partitions(spark, tmp_path):
     index = new_index(spark, tmp_path, "IVF", nlist=4, nprobe=1)
     index.add(rows(spark, 40))
     query = spark.createDataFrame([(0, [5.0, 1.0])], "query_id long, vec array<double>")
-    hits = index.search(query, 1, where=F.col("func_name") == "f4")
+    hits = index.ranked(query, 1, where=F.col("func_name") == "f4")
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*cell", plan) and "PushedFilters: [IsNotNull(func_name)" in plan
     assert hits.count() <= 1
