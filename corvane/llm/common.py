@@ -59,6 +59,8 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    # Workers outlive their tasks: what Arrow holds on to is given back.
+    pa.default_memory_pool().release_unused()
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

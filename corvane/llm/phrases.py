@@ -1,7 +1,7 @@
 """Benchmark decontamination over a stored positional inverted index; DataFrame functions only.
 
-``build_index`` writes one row per training word: term, document, position, sorted by term within each part, so
-that every part is a segment of the index, next to the documents it covers, and nothing is shuffled.  A phrase
+``build_index`` writes one row per training word: term, document, position.  Every part is a segment of the index that
+covers its own documents, written as they stream by: nothing is shuffled, sorted or held in memory.  A phrase
 is looked up from its rarest terms on: the list of the rarest, shifted by the term's offset, gives possible starts;
 the shifted list of the second rarest is intersected with them; what is left is small, and asks for the other terms at
 fixed places of few documents.  With ``slop`` a term may stand that many places beside its own.
@@ -33,7 +33,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID) + F.monotonically_increasing_id())
     rows = spread_small(docs.select(doc.alias("doc"), F.col(text_col).alias("text")))
     rows = rows.select("doc", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))
-    return stored(rows.select("doc", F.posexplode_outer("words").alias("pos", "term")).sortWithinPartitions("term"), "postings")
+    return stored(rows.select("doc", F.posexplode_outer("words").alias("pos", "term")), "postings")
 
 
 def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
