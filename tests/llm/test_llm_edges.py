@@ -171,6 +171,23 @@ def test_language_without_letters(spark, table):
     assert {r.lang_pred for r in got[3] + got[4]} == {"und"} and got[1][0].lang_pred in ("de", "en")
 
 
+def test_language_tables_like_the_array_model(spark, monkeypatch):
+    common = [(k, f"the cat number {'abcdefghij'[k % 10]} and the dog are here in the house", "en") for k in range(30)]
+    rare = [(100, "der Hund läuft", "de"), (101, "猫が好き", "ja"), (102, "le chat", "fr")]
+    docs = spark.createDataFrame([*common, *rare, (103, None, "en"), (104, "12", "fr"), (105, "x", None), (None, "zzz qqq", None)], "doc_id bigint, text string, lang string")
+    fitted = language.fit(docs, F.lit(True))
+    want = by_id(language.predict(docs, *fitted))
+    monkeypatch.setattr(language, "MAX_NGRAMS", 20)
+    model, sharpness, highest = language.fit(docs, F.lit(True))
+    assert model.langs == fitted[0].langs == ["de", "en", "fr", "ja"] and sharpness == pytest.approx(fitted[1])
+    assert highest == pytest.approx(fitted[2])
+    got = by_id(language.predict(docs, model, sharpness, np.nextafter(highest, np.inf) + 1e-9))
+    assert {k: [(r.lang_pred, r.accepted) for r in v] for k, v in got.items()} == {k: [(r.lang_pred, r.accepted) for r in v] for k, v in want.items()}
+    assert [got[k][0].lang_pred for k in (100, 101, 102)] == ["de", "ja", "fr"]
+    for k in want:
+        assert (got[k][0].score, got[k][0].cross_entropy) == pytest.approx((want[k][0].score, want[k][0].cross_entropy), abs=1e-6)
+
+
 def test_quality_keeps_all_columns(spark, table):
     kept = quality.filter_documents(table, quality.Network.start(1), 0.0)
     assert kept.columns == table.columns and kept.count() == len(ROWS)
