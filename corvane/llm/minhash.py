@@ -279,8 +279,9 @@ def components(edges: DataFrame) -> DataFrame:
 def links(names: np.ndarray, sets: list[np.ndarray], first: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``; with two blocks (``first`` says which) only of links across.
 
-    Whole sets are compared.  One document's intersections with all others come from inverted lists; the largest
-    component needs no rows of its own, since all pairs but those inside it are seen from the other side.
+    Whole sets are compared.  One document's intersections with all others come from inverted lists.  Members of the
+    largest component wait: all pairs but those inside it are seen from the other side.  Those that turn out to
+    belong to another one, when a larger has come up, are looked at after all.
     """
     n, sizes = len(sets), np.array([len(s) for s in sets])
     forest, out = Forest(n), []
@@ -300,22 +301,25 @@ def links(names: np.ndarray, sets: list[np.ndarray], first: np.ndarray) -> list[
     doc_lists, doc_at = lists[by_doc], np.searchsorted(members[by_doc], np.arange(n + 1))
     weight = np.bincount(lists, minlength=len(length)) if len(length) else np.empty(0)
     typical = np.bincount(members, weight[lists] if len(lists) else None, n) if len(members) else np.zeros(n)
-    for k in np.argsort(-typical, kind="stable").tolist():
-        if typical[k] == 0:
-            break
-        if not across and forest.root(k) == forest.largest:
-            continue
-        own = doc_lists[doc_at[k] : doc_at[k + 1]]
-        size = length[own]
-        near = members[np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        both = np.bincount(near, minlength=n)
-        hit = 100 * both >= SIMILARITY * (sizes[k] + sizes - both)
-        hit[k] = False
-        if across:
-            hit &= first != first[k]
-        for j in np.flatnonzero(hit).tolist():
-            if forest.join(k, j):
-                out.append((int(names[k]), int(names[j])))
+    open_ = [k for k in np.argsort(-typical, kind="stable").tolist() if typical[k]]
+    while open_:
+        waiting = []
+        for k in open_:
+            if not across and forest.root(k) == forest.largest:
+                waiting.append(k)
+                continue
+            own = doc_lists[doc_at[k] : doc_at[k + 1]]
+            size = length[own]
+            near = members[np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            both = np.bincount(near, minlength=n)
+            hit = 100 * both >= SIMILARITY * (sizes[k] + sizes - both)
+            hit[k] = False
+            if across:
+                hit &= first != first[k]
+            for j in np.flatnonzero(hit).tolist():
+                if forest.join(k, j):
+                    out.append((int(names[k]), int(names[j])))
+        open_ = waiting if any(forest.root(k) != forest.largest for k in waiting) else []
     return out
 
 

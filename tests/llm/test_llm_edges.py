@@ -152,6 +152,27 @@ def test_near_duplicates_over_blocks(spark, monkeypatch):
     assert sorted(map(str, minhash.near_duplicates(df).collect())) == whole
 
 
+def test_links_between_members_that_were_skipped():
+    # Two clusters, a1 - a2 and b1 - b2, b3, b4, and one link a2 - b2 between them.
+    ids = iter(range(1 << 20))
+    take = lambda k: [next(ids) for _ in range(k)]
+    moved = lambda base, at: base[:at] + base[at + 14 :] + take(14)
+    core = take(192)
+    a2, b2 = core + take(14), core + take(14)
+    a1, b1 = moved(a2, 0), moved(b2, 20)
+    sets = [a1, a2, b1, b2, moved(b1, 50), moved(b1, 70)]
+    # Small sets that share one string with a member: a1, a2, b1 and b2 are looked at in this order.
+    for k, n in enumerate((1000, 700, 400, 200)):
+        own = take(1)
+        sets[k] = sets[k] + own
+        sets += [own + take(3) for _ in range(n)]
+    sets = [np.array(sorted(s), "u8") for s in sets]
+    forest = minhash.Forest(len(sets))
+    for a, b in minhash.links(np.arange(len(sets)), sets, np.ones(len(sets), bool)):
+        forest.join(a, b)
+    assert [forest.root(k) for k in range(7)] == [0, 0, 0, 0, 0, 0, 6]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r.node: r.component for r in minhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
