@@ -25,15 +25,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings ``term, doc, pos``; the empty term holds each document's length.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """Postings ``doc, id, pos, term``; the empty term holds each document's length, and its id.
 
-    Documents without an id get negative numbers, so that they stay apart.
+    ``doc`` is ``row`` (a bigint); by default it is the id, and documents without one get negative numbers.  Ids that
+    repeat need a ``row``, so that their documents stay apart.
     """
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID) + F.monotonically_increasing_id())
-    rows = spread_small(docs.select(doc.alias("doc"), F.col(text_col).alias("text")))
-    rows = rows.select("doc", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))
-    return stored(rows.select("doc", F.posexplode_outer("words").alias("pos", "term")), "postings")
+    key = F.col(id_col).cast("bigint")
+    doc = F.coalesce(key, F.lit(_NO_ID) + F.monotonically_increasing_id()) if row is None else row
+    rows = spread_small(docs.select(doc.alias("doc"), key.alias("id"), F.col(text_col).alias("text")))
+    rows = rows.select("doc", "id", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))
+    rows = rows.select("doc", "id", F.posexplode_outer("words").alias("pos", "term"))
+    return stored(rows.withColumn("id", F.when(F.col("term") == "", F.col("id"))), "postings")
 
 
 def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -97,13 +100,14 @@ def matches(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
     return single.select(columns).unionByName(left.where(F.col("n") == 2).select(columns)).unionByName(full.select(columns))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
-    Null and empty texts have no words and no hits; an empty benchmark hits nothing; rows that repeat an id and its
-    text repeat the result.  A word in several occurrences is one hit.
+    Null and empty texts have no words and no hits; an empty benchmark hits nothing; rows that repeat an id are told
+    apart.  A word in several occurrences is one hit.  ``row_col`` names a bigint that tells the rows apart; it is
+    returned as ``row``.
     """
-    index = build_index(docs, id_col, text_col)
+    index = build_index(docs, id_col, text_col, F.col(row_col) if row_col else F.monotonically_increasing_id())
     wanted, owners = phrases(items)
     found = stored(matches(index, wanted), "matches")
     # Words covered, from occurrences in order of their start: each adds what lies beyond all ends before it.
@@ -113,13 +117,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = spans.groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "reached"))).cast("bigint").alias("n_hit"))
     listed = found.select("phrase", "doc").distinct().join(broadcast_small(owners), "phrase").select("doc", F.col("item_id").cast("string").alias("item")).distinct()
     listed = listed.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
-    lengths = index.where(F.col("term") == "").select("doc", F.col("pos").cast("bigint").alias("n_words"))
+    lengths = index.where(F.col("term") == "").select("doc", "id", F.col("pos").cast("bigint").alias("n_words"))
     hits = hits.join(listed, "doc")
     return lengths.join(hits, "doc", "left").select(
-        F.when(F.col("doc") >= _NO_ID + (1 << 61), F.col("doc")).alias("doc_id"),
+        F.col("id").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.col("doc").alias("row")] if row_col else []),
     )

@@ -111,6 +111,13 @@ def test_phrases_and_proximity(spark, table):
     assert (near(0), near(1), near(2)) == ([1], [1, 3], [1, 2, 3])
 
 
+def test_phrases_of_rows_that_repeat_an_id(spark):
+    items = spark.createDataFrame([(1, "rare b c")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "rare x"), (1, "y b c"), (2, "rare b c"), (2, "clean"), (None, "z")], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in phrases.decontaminate(docs, items).collect())
+    assert got == [(0, 1, 0, False), (1, 2, 0, False), (1, 3, 0, False), (2, 1, 0, False), (2, 3, 3, True)]
+
+
 def test_near_duplicates(table):
     got = by_id(minhash.near_duplicates(table))
     assert got[1][0].component_id == got[2][0].component_id == 1
