@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import quality
 from corvane.llm.bpe import encode_documents
-from corvane.llm.common import crc_mod, keep_rows, stored, table
+from corvane.llm.common import ROW, crc_mod, keep_named, named_rows, stored, table
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.minhash import near_duplicates
 from corvane.llm.phrases import decontaminate
@@ -25,18 +25,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest document, then the one with the smallest id, of each group of equal texts."""
-    return keep_rows(docs, exact_dedup(docs))
+    docs = named_rows(docs)
+    return keep_named(docs, exact_dedup(docs, row_col=ROW))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
-    return keep_rows(docs, near_duplicates(docs))
+    docs = named_rows(docs)
+    return keep_named(docs, near_duplicates(docs, row_col=ROW))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return keep_rows(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    docs = named_rows(docs)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), row_col=ROW)
+    return keep_named(docs, found.select("row", (~F.col("contaminated")).alias("kept")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.runtime import scratch_path, spread_small
@@ -102,3 +103,34 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> Da
     if once.isEmpty():
         return out
     return out.unionByName(docs.join(broadcast_small(once), same, "left_semi").dropDuplicates([id_col]))
+
+
+ROW = "_row"
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a bigint ROW that tells its rows apart and is the same whenever they are read.
+
+    Of Parquet files it is the row's place (file and number in it); anything else is stored with numbers first.
+    """
+    spark = docs.sparkSession
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            path, place = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")
+            placed = docs.select("*", path, place)
+        except AnalysisException:  # not of files, or of files without places
+            return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "named")
+        paths = sorted(r[0] for r in docs.select(path).distinct().collect())
+        files = spark.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], "_file string, _first bigint")
+        named = spread_small(placed).join(broadcast_small(files), "_file")
+        return named.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("_first") + F.col("_place")).alias(ROW))
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "named")
+
+
+def keep_named(named: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``named_rows`` that ``decided`` (``row, kept``) does not drop, without ROW.
+
+    The rows to drop are usually few, so that the documents themselves need not be shuffled.
+    """
+    gone = stored(decided.where(~F.col("kept")).select(F.col("row").alias(ROW)), "decided")
+    return named.join(broadcast_small(gone), ROW, "left_anti").drop(ROW)

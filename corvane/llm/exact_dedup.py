@@ -35,13 +35,13 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), BLANKS, ""), 256))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row: ``doc_id, row, digest, n_chars``.  Stored, since row numbers must not change later."""
     text = F.col(text_col).cast("string")
     return stored(
         docs.select(
             F.col(id_col).cast("bigint").alias("doc_id"),
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
             digest(text).alias("digest"),
             F.length(F.coalesce(text, F.lit(""))).cast("bigint").alias("n_chars"),
         ),
@@ -186,16 +186,17 @@ def lookup(index: DataFrame, n_shards: int, distinct: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, is_history: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, is_history: Column | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, in_history``.
 
     ``is_history`` (over ``doc_id``) says which rows came earlier; the default takes the lower half of
     the range of ids.  It decides only which side is indexed and which looks up, never the result.
 
     Null or empty texts are equal to each other; a null id loses ties and gives a null ``keep_id``; of
-    rows that repeat id and text exactly one is kept; an empty table gives no rows.
+    rows that repeat id and text exactly one is kept; an empty table gives no rows.  ``row_col`` names a bigint
+    that tells the rows apart; it is returned as ``row``.
     """
-    rows = digests(docs, id_col, text_col)
+    rows = digests(docs, id_col, text_col, row_col)
     if is_history is None:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         is_history = F.col("doc_id") <= F.lit(((low or 0) + (high or 0)) // 2)
@@ -211,4 +212,5 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, id_col: str =
         (F.col("row") == F.col("best_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.col("member").alias("in_history"),
+        *(["row"] if row_col else []),
     )

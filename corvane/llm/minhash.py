@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm.common import broadcast_small, byte_slices, stored
 from corvane.runtime import spread_small
@@ -151,14 +151,15 @@ def _digest(shingles: bytes) -> bytes:
     return hashlib.sha256(shingles).digest()[:16]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text)
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text, *more)
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row: ``row, id, n_shingles, class`` (digest of the set), ``sig``; stored, since rows are named here."""
-    rows = _rows(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = _rows(docs, id_col, text_col, row.alias("row")).select("row", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,14 +356,15 @@ def verified_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.groupBy("component", "low", "high").applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when their sets of three-word shingles overlap by 85 % of their union.  A document
     without words (or null) has no shingles and is its own component.  Rows that repeat an id share its component;
-    of equal rows the first is kept.  A null id comes after all others and is null in the result.
+    of equal rows the first is kept.  A null id comes after all others and is null in the result.  ``row_col`` names
+    a bigint that tells the rows apart; it is returned as ``row``.
     """
-    rows = signed(docs, id_col, text_col)
+    rows = signed(docs, id_col, text_col, row_col)
     nodes = stored(classes(rows), "nodes")
     coarse = components(hamming_edges(nodes)).join(nodes.select("node", "id", "class", "n_shingles"), "node")
     linked = components(verified_links(_rows(docs, id_col, text_col), stored(coarse, "coarse")))
@@ -378,4 +380,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_shingles",
         F.when(component != _NO_ID, component).alias("component_id"),
         (alone | (F.col("row") == F.col("best_row"))).alias("kept"),
+        *(["row"] if row_col else []),
     )

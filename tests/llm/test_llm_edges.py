@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corvane.llm import bpe, exact_dedup, html_blocks, language, minhash, phrases, pii, quality, suffix
 from corvane.llm.chat import rotate
 from corvane.llm.common import byte_slices, keep_rows
@@ -326,6 +327,25 @@ def test_keep_rows(spark):
     assert [tuple(r) for r in keep_rows(docs, decided).collect()] == [(2, "b")]
 
 
+@pytest.mark.parametrize("files", [True, False])
+def test_pipeline_stages_decide_by_row(spark, tmp_path, files):
+    items = spark.createDataFrame([(1, "rare b c")], "item_id bigint, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{k}" for k in range(200))
+    texts = [(None, "rare b c"), (None, "clean one"), (None, "clean two"), (None, "clean two"), (None, long), (None, long + " end"), (7, "rare b c"), (7, "other"), (8, "clean two")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    if files:
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = lambda stage: sorted(r.text for r in stage(spark, docs, str(tmp_path)).collect())
+    every = sorted(t for _, t in texts)
+    once = sorted(set(every))
+    assert left(corpus_pipeline.distinct_texts) == once
+    near = left(corpus_pipeline.no_near_copies)
+    assert len(near) == len(once) - 1 and {t for t in near if len(t) < 100} == {t for t in once if len(t) < 100}
+    assert left(corpus_pipeline.no_benchmark) == [t for t in every if t != "rare b c"]
+
+
 def test_slices_cover_everything():
     import pyarrow as pa
 
