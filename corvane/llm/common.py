@@ -79,14 +79,47 @@ def sha256_hex(parts: list[bytes]) -> list[str]:
 BROADCAST_BYTES = 16 << 20
 
 
-def broadcast_small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its rows, measured, take at most BROADCAST_BYTES; else as it is."""
+def _row_size(df: DataFrame) -> Column:
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    texts += [F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
     row = F.lit(16 + 8 * len(df.columns)).cast("bigint")
     for size in texts:
         row = row + size
-    total = df.agg(F.sum(row)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    return row
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the rows of ``df``, measured, take at most BROADCAST_BYTES."""
+    return (df.agg(F.sum(_row_size(df))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, measured, take at most BROADCAST_BYTES; else as it is."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: Column, count: str, most_bytes: int | None = None) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each key once and, in ``count``, how many rows of ``left`` have it.
+
+    The most frequent keys, as many as fit into ``most_bytes`` (BROADCAST_BYTES), go to every task; only rows of rarer
+    keys are shuffled.  So a key that most rows have is never gathered, and what is left over has few rows a key.
+    ``left`` and ``right`` are read again: they should be stored.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col(count), F.lit(1)))).cast("int")
+    sizes = right.groupBy(level.alias("level")).agg(F.sum(_row_size(right)).alias("bytes")).orderBy(F.desc("level")).collect()  # 64 rows at most
+    total, bound, all_fit = 0, None, True
+    for row in sizes:
+        total += row["bytes"]
+        if total > (BROADCAST_BYTES if most_bytes is None else most_bytes):
+            all_fit = False
+            break
+        bound = row["level"]
+    if all_fit:
+        return left.join(F.broadcast(right), on)
+    if bound is None:
+        return left.join(right, on)
+    hot = F.broadcast(right.where(level >= bound))
+    return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(right.where(level < bound), on))
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -139,6 +139,112 @@ def op10_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_shared_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.merkle import lowered_where_third, manifest
+
+    return manifest(table(spark, sf_dir, "documents"), lowered_where_third())
+
+
+# Levels of the trees in the SQL below: enough for 8 ** 8 leaves a language.
+SQL_LEVELS = 8
+
+
+def _sql_op11() -> str:
+    """The levels of both trees written out; crc32 bit by bit."""
+    def field(name: str) -> str:
+        return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+    def climb(tree: str, part: str, last: str) -> str:
+        out = ""
+        for k in range(SQL_LEVELS):
+            own, up = f"{tree}{k}", f"{tree}{k + 1}"
+            out += f"""
+{own}n AS (SELECT *, count(*) OVER (PARTITION BY {part}) AS many FROM {own}),
+{own}s AS (
+  SELECT {part}, p, CASE WHEN many > 1 THEN p // 8 ELSE p END AS up,
+         coalesce(string_agg(d, '') OVER (g ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l{tree}{k},
+         coalesce(string_agg(d, '') OVER (g ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r{tree}{k}, many > 1 AS on{tree}{k}
+  FROM {own}n WINDOW g AS (PARTITION BY {part}, CASE WHEN many > 1 THEN p // 8 ELSE p END)),
+{up} AS (
+  SELECT {part}, CASE WHEN many > 1 THEN p // 8 ELSE p END AS p, CASE WHEN any_value(many) > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE any_value(d) END AS d
+  FROM {own}n GROUP BY {part}, CASE WHEN many > 1 THEN p // 8 ELSE p END),"""
+        return out
+
+    def joins(tree: str, part: str, alias: str) -> str:
+        out, at = "", f"{alias}.p0"
+        for k in range(SQL_LEVELS):
+            out += f"\n  JOIN {tree}{k}s ON {tree}{k}s.{part} IS NOT DISTINCT FROM {alias}.{part} AND {tree}{k}s.p = {at}"
+            at = f"{tree}{k}s.up"
+        return out
+
+    names = [f"{t}{k}" for t in ("a", "b") for k in range(SQL_LEVELS)]
+    siblings = " || ".join(f"l{n} || r{n}" for n in names)
+    folded = "f0"
+    steps = ""
+    for k, n in enumerate(names):
+        steps += f"\nfold{k + 1} AS (SELECT * REPLACE (CASE WHEN on{n} THEN sha256(l{n} || f0 || r{n}) ELSE f0 END AS f0) FROM fold{k}),"
+    text_leaf = "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i:i])::BIGINT),
+      lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+    return f"""
+WITH docs AS (
+  SELECT *, {text_leaf.format(text="text")} AS leaf, {text_leaf.format(text="CASE WHEN odd THEN " + lowered + " ELSE text END")} AS probe
+  FROM (SELECT *, coalesce({crc} % 3 = 0, false) AS odd FROM documents)),
+langs AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS k FROM (SELECT DISTINCT lang FROM docs)),
+placed AS (SELECT docs.*, k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p0 FROM docs JOIN langs ON docs.lang IS NOT DISTINCT FROM langs.lang),
+a0 AS (SELECT k, p0 AS p, leaf AS d FROM placed),{climb("a", "k", "")}
+tops AS (SELECT k, d AS subroot FROM a{SQL_LEVELS}),
+b0 AS (SELECT 0 AS one, k AS p, subroot AS d FROM tops),{climb("b", "one", "")}
+upper AS (
+  SELECT t.k, t.subroot, (SELECT d FROM b{SQL_LEVELS}) AS root, {", ".join(f"lb{k}, rb{k}, onb{k}" for k in range(SQL_LEVELS))}
+  FROM (SELECT k, subroot, k AS p0, 0 AS one FROM tops) t{joins("b", "one", "t")}),
+fold0 AS (
+  SELECT p.doc_id, p.leaf, subroot, root, p.probe AS f0, {", ".join(f"la{k}, ra{k}, ona{k}" for k in range(SQL_LEVELS))}, {", ".join(f"lb{k}, rb{k}, onb{k}" for k in range(SQL_LEVELS))}
+  FROM placed p{joins("a", "k", "p")}
+  JOIN upper ON upper.k = p.k),{steps}
+done AS (SELECT *, sha256({siblings}) AS proof_sha256 FROM fold{len(names)})
+SELECT doc_id, leaf, subroot, root, proof_sha256, {folded} AS folded_root, {folded} = root AS verified FROM done
+"""
+
+
+SQL_OP11 = _sql_op11()
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.alignment import align_documents
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_documents(table(spark, sf_dir, "documents"), *paths)[0]
+
+
+# The rules of op13: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.url_rules import judge
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL_OP13 = r"""
+WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT row_number() OVER () AS row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p),
+r(rhost, rpath, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (
+  SELECT row, rhost || rpath AS rule, r.verdict, row_number() OVER (PARTITION BY row ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS k
+  FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN f ON h.row = f.row AND k = 1
+"""
+
+
 QUERIES = {
     "op1_html_blocks": (op1_html_blocks, None),
     "op2_chat_rotation": (op2_chat_rotation, SQL_OP2),
@@ -150,4 +256,7 @@ QUERIES = {
     "op8_language_kn": (op8_language_kn, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_bwt_merge": (op10_bwt_merge, None),
+    "op11_merkle_butterfly": (op11_merkle_butterfly, SQL_OP11),
+    "op12_token_alignment": (op12_token_alignment, None),
+    "op13_url_prefixes": (op13_url_prefixes, SQL_OP13),
 }
