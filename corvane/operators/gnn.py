@@ -160,14 +160,19 @@ class Layer:
     concat: bool = True
 
 
-def residual_layer(nodes: DataFrame, edges: DataFrame, layer: Layer, eps: float = 1e-5) -> DataFrame:
-    """``residual(x) + relu(standardize(conv(x)))`` for every node, checkpointed."""
+def residual_layer(
+    nodes: DataFrame, edges: DataFrame, layer: Layer, eps: float = 1e-5, statistics: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
+    """``residual(x) + relu(standardize(conv(x)))`` for every node, checkpointed.
+
+    ``statistics`` (mean, variance) are those of another table, frozen; without them, the present nodes' own.
+    """
     if layer.att_src is None:
         conv = gcn_propagate(nodes, edges, layer.weight)
     else:
         conv = gat_propagate(nodes, edges, layer.weight, layer.att_src, layer.att_dst, layer.concat)
     both = checkpoint(conv.join(nodes.select("doc_id", "id", "x"), ["doc_id", "id"]))
-    mean, var = column_statistics(both, "h")
+    mean, var = statistics or column_statistics(both, "h")
     inv, project = 1.0 / np.sqrt(var + eps), np.ascontiguousarray(layer.residual.T)
 
     @F.arrow_udf("array<double>")
@@ -179,11 +184,29 @@ def residual_layer(nodes: DataFrame, edges: DataFrame, layer: Layer, eps: float
     return both.select("doc_id", "id", step("h", "x").alias("x"))
 
 
-def node_embeddings(nodes: DataFrame, edges: DataFrame, layers: list[Layer]) -> DataFrame:
-    """Node vectors after the last layer."""
+# A graph of more nodes and edges than this does not travel in one row.
+MAX_PACKED = 200_000
+
+
+def node_embeddings(
+    nodes: DataFrame,
+    edges: DataFrame,
+    layers: list[Layer],
+    statistics: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    max_packed: int = MAX_PACKED,
+) -> DataFrame:
+    """Node vectors after the last layer.
+
+    Graphs are packed into a row each and never joined; a table with a graph above ``max_packed`` is propagated by joins.
+    ``statistics`` are frozen ones, a pair for each layer; without them a layer takes those of the present nodes.
+    """
+    from corvane.operators import graph_blocks
+
     nodes, edges = checkpoint(nodes), checkpoint(edges)
-    for layer in layers:
-        nodes = residual_layer(nodes, edges, layer)
+    if graph_blocks.largest_graph(nodes, edges) <= max_packed:
+        return graph_blocks.node_vectors(graph_blocks.pack(nodes, edges), layers, statistics)
+    for k, layer in enumerate(layers):
+        nodes = residual_layer(nodes, edges, layer, statistics=statistics[k] if statistics else None)
     return nodes
 
 

@@ -65,6 +65,41 @@ def _nest(indents: Column) -> Column:
     return F.arrow_udf(_nest_batch, "array<struct<parent_id:int,depth:int,child_count:int>>")(indents)
 
 
+def _lines(raw: Column) -> Column:
+    """The lines that are not blank: row, column of the first character, stripped text."""
+    found = F.filter(
+        F.transform(raw, lambda line, row: F.struct(row.alias("row"), line.alias("raw"), strip(line).alias("line"))),
+        lambda s: s["line"] != "",
+    )
+    return F.transform(
+        found,
+        lambda s: F.struct(s["row"].alias("row"), (F.instr(s["raw"], F.substring(s["line"], 1, 1)) - 1).alias("col"), s["line"].alias("line")),
+    )
+
+
+def with_outline(records: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """``records`` with the outline of their code in their own row: arrays ``types, parents, depths, children`` by node id.
+
+    Without rules for the language, or without code, the arrays are empty; ``max_nodes`` keeps the first nodes.
+    """
+    known = language_guard(F.col("language")) & F.col("code").isNotNull()
+    rows = records.withColumn("_lines", F.when(known, _lines(F.split("code", "\n", -1))))
+    rows = rows.withColumn("_nest", _nest(F.transform("_lines", lambda s: s["col"])))
+    kinds = F.concat(F.array(F.lit(ROOT_TYPE)), F.transform("_lines", lambda s: line_type(s["line"])))
+
+    def of(array: Column, kind: str) -> Column:
+        kept = array if max_nodes is None else F.slice(array, 1, max_nodes)
+        return F.when(F.col("_lines").isNotNull(), kept).otherwise(F.array().cast(f"array<{kind}>"))
+
+    nest = F.col("_nest")
+    return rows.withColumns({
+        "types": of(kinds, "string"),
+        "parents": of(nest["parent_id"], "int"),
+        "depths": of(nest["depth"], "int"),
+        "children": of(nest["child_count"], "int"),
+    }).drop("_lines", "_nest")
+
+
 def outline_nodes(records: DataFrame, key: str = "doc_id") -> DataFrame:
     """Node table (key, id, type, text, start_point, end_point, parent_id, depth, is_named, child_count).
 
@@ -74,14 +109,7 @@ def outline_nodes(records: DataFrame, key: str = "doc_id") -> DataFrame:
     known = language_guard(F.col("language")) & F.col("code").isNotNull()
     split = records.where(known).select(key, node_text(F.col("code")).alias("head"), F.split("code", "\n", -1).alias("raw"))
     raw = F.col("raw")
-    lines = F.filter(
-        F.transform(raw, lambda line, row: F.struct(row.alias("row"), line.alias("raw"), strip(line).alias("line"))),
-        lambda s: s["line"] != "",
-    )
-    lines = F.transform(
-        lines,
-        lambda s: F.struct(s["row"].alias("row"), (F.instr(s["raw"], F.substring(s["line"], 1, 1)) - 1).alias("col"), s["line"].alias("line")),
-    )
+    lines = _lines(raw)
     spans = F.transform(
         "lines",
         lambda s: F.struct(s["row"], s["col"], s["line"], s["row"].alias("end_row"), (s["col"] + F.length(s["line"])).alias("end_col")),

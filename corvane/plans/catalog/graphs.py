@@ -11,6 +11,7 @@ from corvane.plans.catalog.fixtures import (
     SQL_CODE,
     code_records,
     long_form,
+    r6,
     sql_embed,
     sql_layer_norm,
     sql_linear,
@@ -20,8 +21,10 @@ from corvane.plans.catalog.fixtures import (
     weight,
 )
 from corvane.plans.catalog.text import _lit, sql_remove_comments, sql_strip, sql_whitespace
-from corvane.plans.retrieval import EncoderWeights, encode_code
-from corvane.runtime import checkpoint
+from corvane.plans.encoder import CodeEncoder, first_seen_types, index_code
+from corvane.plans.retrieval import EncoderWeights, encode_code, search
+from corvane.runtime import checkpoint, scratch_path
+from corvane.sources.index import IndexConfig, VectorIndex
 
 HIDDEN, HEADS, BATCH, DIM, FUSED, N_LAYERS = 8, 2, 32, 16, 16, 3
 CHANNELS = HIDDEN // HEADS
@@ -279,11 +282,8 @@ def sql_pool(source: str, width: int) -> str:
   UNION ALL SELECT doc_id, d + {width}, max(x) FROM {source} GROUP BY doc_id, d)"""
 
 
-def encoded(spark, d):
-    """Text and outline embeddings of the code records and the prose documents, fused."""
-    records = checkpoint(mixed_docs(spark, d))
-    vocab = checkpoint(G.node_type_vocab(outline_nodes(records)))
-    weights = EncoderWeights(
+def encoder_weights(vocab: DataFrame) -> EncoderWeights:
+    return EncoderWeights(
         projection=weight(HIDDEN, 4),
         types=type_vectors(vocab),
         layers=gat_layers(N_LAYERS),
@@ -291,7 +291,58 @@ def encoded(spark, d):
         fusion="concat",
         fusion_weights={"weight": weight(FUSED, 2 * DIM, 6)},
     )
-    return long_form(encode_code(records, weights, vocab, DIM), "doc_id")
+
+
+def encoded(spark, d):
+    """Text and outline embeddings of the code records and the prose documents, fused."""
+    records = mixed_docs(spark, d)
+    vocab = checkpoint(first_seen_types(records))
+    return long_form(encode_code(records, encoder_weights(vocab), vocab, DIM), "doc_id")
+
+
+def fitted_encoder(spark, d) -> CodeEncoder:
+    """Fitted on the code records and the prose documents, stored and loaded."""
+    records = mixed_docs(spark, d)
+    vocab = checkpoint(first_seen_types(records))
+    path = scratch_path(spark, "encoder")
+    CodeEncoder.fit(records, encoder_weights(vocab), DIM, vocab).save(spark, path)
+    return CodeEncoder.load(spark, path)
+
+
+def frozen_statistics(spark, d):
+    """Mean and variance of every component of every layer, of the stored encoder."""
+    rows = [
+        (layer, k, float(m), float(v)) for layer, (mean, var) in enumerate(fitted_encoder(spark, d).statistics) for k, (m, v) in enumerate(zip(mean, var))
+    ]
+    return spark.createDataFrame(rows, "layer bigint, dim bigint, mean double, variance double").select("layer", "dim", r6(F.col("mean")).alias("mean"), r6(F.col("variance")).alias("variance"))
+
+
+def snippets(spark, d):
+    """Every code record embedded as a snippet that arrives: away from the corpus its statistics come from."""
+    rows = fitted_encoder(spark, d).embed_snippets(code_records(spark, d).select("doc_id", "code", "language"))
+    return long_form(rows.select("doc_id", "embedding", "dimension"), ["doc_id", "dimension"], "embedding")
+
+
+def encoded_index(spark, d, loads: int = 2, index_type: str = "Flat") -> VectorIndex:
+    """The code records as an index of encoded code, added in several loads."""
+    encoder = fitted_encoder(spark, d)
+    index = VectorIndex.create(spark, scratch_path(spark, "code_index"), IndexConfig(DIM, index_type, 20, 20), "code string, docstring string, language string, func_name string")
+    records = code_records(spark, d)
+    for k in range(loads):
+        index_code(index, encoder, records.where(F.col("doc_id") % loads == k), ingest=f"load-{k}")
+    return index
+
+
+def indexed_code(spark, d):
+    stored = encoded_index(spark, d).vectors().select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"), "language")
+    return long_form(stored, ["doc_id", "language"])
+
+
+def searched_code(spark, d):
+    from corvane.plans.catalog.search import code_requests
+
+    out = search(code_requests(spark, d), encoded_index(spark, d))
+    return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "language", "func_name", F.md5("code").alias("code_md5"), F.round("score", 5).alias("score"))
 
 
 SQL_ENCODED = f"""WITH {SQL_CODE_GRAPH}, {SQL_DOCS}, {SQL_EMPTY}, {sql_start('allfeat')}, {SQL_LOOPS}, {sql_layers('gat', N_LAYERS)},
@@ -304,6 +355,27 @@ ab AS (SELECT doc_id, d, x FROM tv UNION ALL SELECT doc_id, d + {DIM}, x FROM gv
 {sql_linear('y', 'ab', 'doc_id', FUSED, 6, 'relu')}, {sql_layer_norm('z', 'y', 'doc_id')}
 SELECT doc_id, d AS dim, {sql_r6('x')} AS value FROM z"""
 
+_SQL_Z, _SQL_LAST = SQL_ENCODED.rsplit("\n", 1)
+SQL_STATISTICS = _SQL_Z + " " + " UNION ALL ".join(
+    f"SELECT {k}::BIGINT AS layer, d AS dim, {sql_r6('avg(x)')} AS mean, {sql_r6('var_pop(x)')} AS variance FROM c{k} GROUP BY d" for k in range(N_LAYERS)
+)
+SQL_SNIPPETS = f"{_SQL_Z} SELECT doc_id, {FUSED}::BIGINT AS dimension, d AS dim, {sql_r6('x')} AS value FROM z WHERE doc_id >= 0"
+SQL_UNIT_Z = f"{_SQL_Z}, uz AS (SELECT doc_id, d, (x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS x FROM z WHERE doc_id >= 0)"
+SQL_INDEXED = f"{SQL_UNIT_Z} SELECT doc_id, language, d AS dim, {sql_r6('x')} AS value FROM uz JOIN code_fixture USING (doc_id)"
+
+
+def sql_searched_code() -> str:
+    return f"""{SQL_UNIT_Z},
+req AS (SELECT item_id AS query_id, concat(text, ' return size price total ', item_id::VARCHAR) AS query,
+          CASE WHEN item_id % 4 = 0 THEN 10 ELSE item_id % 4 * 5 END AS top_k,
+          CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'python' ELSE 'java' END AS want FROM benchmark),
+{sql_embed('qv', 'req', 'query_id', 'query', DIM)},
+p AS (SELECT query_id, doc_id, sum(qv.x * uz.x) AS s FROM qv JOIN uz USING (d) GROUP BY ALL),
+ranked AS (SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id % 2, doc_id) AS rank FROM p)
+SELECT query_id, rank, language, func_name, md5(code) AS code_md5, round(s, 5) + 0.0::DOUBLE AS score
+FROM ranked JOIN req USING (query_id) JOIN code_fixture USING (doc_id) WHERE rank <= top_k AND (want IS NULL OR want = language)"""
+
+
 QUERIES = {
     "outline_nodes": (
         _flat_outline,
@@ -390,4 +462,8 @@ QUERIES = {
         f"SELECT doc_id, d AS dim, {sql_r6('x')} AS value FROM pool",
     ),
     "encode_code": (encoded, SQL_ENCODED),
+    "frozen_statistics": (frozen_statistics, SQL_STATISTICS),
+    "embed_snippet": (snippets, SQL_SNIPPETS),
+    "index_code": (indexed_code, SQL_INDEXED),
+    "search_code": (searched_code, sql_searched_code()),
 }

@@ -13,15 +13,20 @@ from corvane.functions.matrix import linear
 from corvane.functions.text import preprocess
 from corvane.operators import graph as G
 from corvane.operators.encode import fuse
-from corvane.operators.gnn import Layer, graph_mean_max_pool, node_embeddings, type_embedding
-from corvane.operators.outline import outline_nodes
+from corvane.operators.gnn import Layer
+from corvane.operators.graph_blocks import OutlineReader, fit_statistics, graph_vectors
+from corvane.operators.outline import with_outline
 from corvane.operators.records import RESULT_DEFAULTS, filter_language, project_results
 from corvane.operators.search import attach_metadata
 from corvane.operators.tokens import embed_text
-from corvane.runtime import checkpoint
+from corvane.runtime import checkpoint, collect_bounded
 from corvane.sources.index import VectorIndex
 
 
+# Node types are kinds of lines: a vocabulary of more is a mistake.
+MAX_TYPES = 100_000
+
+
 @dataclass
 class EncoderWeights:
     """Supplied weights of the code encoder.
@@ -42,26 +47,44 @@ def embed_code(records: DataFrame, dim: int) -> DataFrame:
     return records.select("doc_id", embed_text(preprocess(F.col("code"), F.col("language")), dim).alias("vec"))
 
 
-def graph_embedding(records: DataFrame, weights: EncoderWeights, vocab: DataFrame, max_nodes: int | None = G.MAX_NODES) -> DataFrame:
-    """(doc_id, vec): outline graph, propagation, mean and max pooling, output projection."""
-    # The sources are parsed once; what goes on is a narrow table without texts.
-    slim = ("doc_id", "id", "type", "parent_id", "depth", "is_named", "child_count")
-    nodes = checkpoint(G.cap_nodes(outline_nodes(records), max_nodes).select(*slim))
-    features = G.with_empty_graphs(G.node_features(nodes, vocab, max_nodes), records)
-    start = type_embedding(features, weights.projection, weights.types)
-    final = node_embeddings(start, G.graph_edges(nodes, max_nodes), weights.layers)
-    pooled = graph_mean_max_pool(final, weights.output.shape[1] // 2)
-    return pooled.select("doc_id", V.layer_norm(linear(F.col("vec"), weights.output, activation="relu")).alias("vec"))
+def outline_reader(weights: EncoderWeights, vocab: DataFrame) -> OutlineReader:
+    """How packed outlines are read, with the types' vectors in order of their ids; types without a vector are unknown."""
+    rows = collect_bounded(vocab.select("type", "type_id").join(weights.types, "type_id"), MAX_TYPES)
+    if rows is None:
+        raise ValueError(f"more than {MAX_TYPES} node types")
+    rows = sorted(zip(rows["type_id"].to_pylist(), rows["type"].to_pylist(), rows["vec"].to_pylist()))
+    vectors = np.array([r[2] for r in rows], "f8").reshape(len(rows), weights.projection.shape[0])
+    return OutlineReader([r[1] for r in rows], vectors, weights.projection)
+
+
+def with_code_vector(records: DataFrame, weights: EncoderWeights, reader: OutlineReader, statistics: list, dim: int, max_nodes: int | None = G.MAX_NODES) -> DataFrame:
+    """``records`` with ``vec``, the fused text and graph vector of their code, by frozen statistics.
+
+    Narrow: everything happens in the record's own row, so a record gets the same vector alone and in any table.
+    """
+    rows = with_outline(records.withColumn("_a", embed_text(preprocess(F.col("code"), F.col("language")), dim)), max_nodes)
+    rows = rows.withColumn("_g", graph_vectors(reader, weights.layers, statistics)(*[F.col(c) for c in reader.columns])).drop(*reader.columns)
+    graph = V.layer_norm(linear(F.col("_g"), weights.output, activation="relu"))
+    return rows.withColumn("_b", graph).withColumn("vec", fuse(weights.fusion, F.col("_a"), F.col("_b"), **weights.fusion_weights)).drop("_a", "_g", "_b")
+
+
+def code_statistics(records: DataFrame, weights: EncoderWeights, reader: OutlineReader, max_nodes: int | None = G.MAX_NODES) -> list:
+    """Mean and variance of every layer over the outlines of ``records``; each code is parsed once."""
+    packed = checkpoint(with_outline(records.select("code", "language"), max_nodes).select(*reader.columns))
+    return fit_statistics(packed, reader, weights.layers)
 
 
 def encode_code(
-    records: DataFrame, weights: EncoderWeights, vocab: DataFrame, dim: int, max_nodes: int | None = G.MAX_NODES
+    records: DataFrame, weights: EncoderWeights, vocab: DataFrame, dim: int, max_nodes: int | None = G.MAX_NODES, statistics: list | None = None
 ) -> DataFrame:
-    """(doc_id, vec): text and graph embeddings of each record, fused; None lifts the cap on a graph's nodes."""
-    text = embed_code(records, dim).withColumnRenamed("vec", "a")
-    graph = graph_embedding(records, weights, vocab, max_nodes).withColumnRenamed("vec", "b")
-    both = text.join(graph, "doc_id")
-    return both.select("doc_id", fuse(weights.fusion, F.col("a"), F.col("b"), **weights.fusion_weights).alias("vec"))
+    """(doc_id, vec): text and graph embeddings of each record, fused; None lifts the cap on a graph's nodes.
+
+    Layers are standardized by ``statistics`` or, without them, by those of ``records`` themselves.
+    """
+    reader = outline_reader(weights, vocab)
+    if statistics is None:
+        statistics = code_statistics(records, weights, reader, max_nodes)
+    return with_code_vector(records.select("doc_id", "code", "language"), weights, reader, statistics, dim, max_nodes).select("doc_id", "vec")
 
 
 def search(requests: DataFrame, index: VectorIndex, return_scores: bool = True, language_mode: str = "post") -> DataFrame:
