@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks.
 
-A page is cut into blocks at block-level tags.  A block has its word count, its share of words in links, the same
-of the blocks beside it, and what it stands in (an article, or something beside the text).  A decision tree decides
-which blocks are main text; it is grown here from the labelled table of blocks that TRAINING_PAGES make.
+A page is cut into blocks at block-level tags.  A block is described by its words and share of words in links, the same of two
+blocks on either side, its sentences and capitals, its tag, its place in the page, and by what it stands in: parts named by tags
+(articles, menus), and parts named by a class or id, with the share of the page's words that such a part holds.  None of
+these decides alone: a decision tree, grown here from a small labelled table of blocks, says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -16,88 +17,87 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.llm.html_training import training_pages
 from corvane.runtime import spread_small
 
-# Small pages whose main blocks carry ``data-main``: the labelled table of the tree.
-TRAINING_PAGES = [
-    """<head><title>Rain</title></head><body><nav><ul><li><a href=/>Home</a><li><a href=/n>News of the day</a><li><a href=/c>Contact us</a></ul></nav>
-    <div class="ad">Buy two umbrellas and get a third one free today only.</div><article><h1 data-main>Rain in the hills</h1><p data-main>It rained for a week
-    before anyone in the valley thought of asking where the water would go once the river was full.<p data-main>Then it stopped.<p data-main>Yes.</article>
-    <footer>&copy; 2020 The Valley Post &middot; All rights reserved, no part may be copied.</footer></body>""",
-    """<body><header><div>The Daily Sheet</div><div><a href=/>Start</a> <a href=/s>Sport</a></div></header><main><h1 data-main>Bread</h1><div data-main>Flour, water,
-    salt and time are all you need, and most of it is time.</div><p data-main>See <a href=/o>our oven test</a> for more on heat and steam in small kitchens.</p>
-    <aside><p>Most read: <a href=/1>Ten cakes for a birthday</a></p><p>Subscribe to our letter and never miss a recipe again, it is free.</p></aside>
-    <p data-main>Bake it.</p></main><section class="comments"><p>Great recipe, I made it twice and my whole family loved it very much.</p><p>Thanks!</p></section>
-    <footer><a href=/i>Imprint</a> <a href=/p>Privacy</a></footer></body>""",
-    """<body><div id="menu"><a href=/>Home</a><a href=/b>Blog</a></div><div class="cookie-notice">We use cookies to make this site better, please accept them to go on.</div>
-    <div class="content"><h2 data-main>On walking</h2><p data-main>Walking is slow enough to see things and fast enough to get somewhere before the evening, which
-    is why I have never understood those who only run.</p><p data-main>I walk each morning, whatever the weather, along the canal and back over the hill behind the
-    mill.</p></div><div class="sidebar"><h3>Tags</h3><a href=/t>shoes</a> <a href=/u>maps</a></div><form action=/s><label>Search this site for words</label><button>Go</button></form></body>""",
-    """<body><p><a href=/>Home</a> | <a href=/a>About</a> | <a href=/w>Work</a></p><h1 data-main>A page without frames</h1><p data-main>Some pages have no marks for
-    what is what, so the length of a block and the links in it and beside it have to tell the text from what stands around it.</p><p data-main>That works well as
-    long as the blocks of the text are long, and it is the reason for looking at the blocks before and after.</p><p data-main>It may fail.</p><p data-main>After a
-    short one there is often a long one again, with some twenty words or more that go on and on.</p><p><a href=/1>Next page of this site</a></p><p>Copyright 2019</p></body>""",
-    """<body><article><header><h1 data-main>Two boats</h1></header><section data-main><p data-main>Two boats went out.</p><ul><li data-main>The red one came back in the
-    evening.</li><li data-main>The blue one did not.</li></ul></section><div class="advert">Holidays at sea from nine euros a day, book now.</div><blockquote data-main>The
-    sea gives and takes.</blockquote><div class="comments"><article><p>What a sad story this is, thank you for telling it.</p></article></div></article><aside>Related:
-    <a href=/x>Three ships</a></aside></body>""",
-    """<body><div class="banner">Sale ends on Sunday, everything must go, visit our shop.</div><article><p data-main><b>Note.</b> Short.</p><p data-main>One.<p data-main>Two
-    words.<p data-main><a href=/all>Every word of this one is a link in the text itself</a></p></article><nav><a href=/p>Older</a> <a href=/n>Newer</a></nav>
-    <footer><p>Made with care by a small team of people in a small town by the sea, since many years and for many more.</p></footer></body>""",
-    """<nav><a href=/>Home</a></nav><article><h1 data-main>Cut</h1><p data-main>This page was cut off in the middle of its text, after""",
-    """<body><article><p data-main>A page may end</p><p data-main>with a word.</p></article></body>""",
-    """<main><p data-main>Short.</p></main>""",
-    """<body><p><a href=/>Home</a> <a href=/a>About us</a></p><p data-main>The text of this page is not marked, it is the last one of the page, and no line stands below it.</p></body>""",
-    """<body><article><p data-main><a href=/1>A line of more than four words, all link</a></p><p data-main>Then text.</p><p data-main><a href=/1>Another line
-    of more than four words, all link</a></p><p data-main>And again some text of the article, of some length, goes on below.</p></article></body>""",
-    """<body><article><p data-main>Links: <a href=/1>one that is long enough to count for most of it</a></p><p data-main><a href=/2>two</a></p></article></body>""",
-]
-
-# Tags that part blocks, tags whose content is no text, and what says that a block is beside the text.
+# Tags that part blocks, tags whose content is no text, and words that name parts beside the text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr "
-    "html iframe label legend li main menu meta nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+    "html iframe label legend li main menu meta nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW_TAGS = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas"
+RAW_TAGS = "title|script|style|noscript|template|textarea|svg|math|iframe|object|canvas"
+# Of these the slash at the end of the tag does not close the element.
+NEVER_EMPTY = "title|script|style|textarea|template"
 MAIN_TAGS = frozenset(["article", "main"])
-BESIDE_TAGS = frozenset("head nav footer aside form button select fieldset dialog menu title label option".split())
+BESIDE_TAGS = frozenset("head nav footer aside button select fieldset dialog menu label option".split())
 BESIDE_WORDS = re.compile(
-    r"(?i)\b(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|bread-?crumbs?|foot\w*|masthead|comments?|respond|replies|disqus|cookies?|consent|notice|alert|popup|modal"
-    r"|newsletter|subscri\w*|share|sharing|social|related|widget|legal|copyright|login|search)\b"
+    r"(?i)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|bread-?crumbs?|foot\w*|masthead|comments?|respond|replies|disqus|cookies?|consent|notice|alert|popup|modal"
+    r"|newsletter|subscri\w*|share|sharing|social|related|widget|legal|copyright|login|search)"
 )
-CONTAINERS = frozenset("article main nav footer aside form header head section div ul ol table dialog menu fieldset button select figure title label option".split())
+CONTAINERS = frozenset("article main nav footer aside form header head section div ul ol table dialog menu fieldset button select figure label option".split())
+KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "dt": 3, "dd": 3, "td": 4, "th": 4, "blockquote": 5, "pre": 5, "br": 6}
 
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S | re.I
+    rf"""<!--.*?(?:-->|\Z)
+    |<({NEVER_EMPTY})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)
+    |<({RAW_TAGS})(?=[\s/>]){_ATTRIBUTES}(?:(?<=/)>|(?<!/)>.*?</\2\s*>)
+    |<[!?][^>]*(?:>|\Z)
+    |<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES}|[^>]*)(?:>|\Z)""",
+    re.S | re.I | re.X,
 )
 _HINT = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_PART = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
+_STOP = re.compile(r"[.!?\u2026\u3002](?=\W*(?:\s|\Z))")
+
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "words_before_2", "link_density_before_2", "words_after_2", "link_density_after_2",
+    "stops", "capitals", "kind", "upto", "articles", "beside_tags", "headers", "forms", "named", "named_share",
+)
+# How many of a block's own features come before those of its neighbours are added.
+_OWN = ("words", "link_density", "stops", "capitals", "kind", "articles", "beside_tags", "headers", "forms", "named")
+
+
+def named(attributes: str) -> int:
+    """2 if a class, id or role is the name of a part beside the text, 1 if it has such a word in it, else 0."""
+    out = 0
+    for m in _HINT.finditer(attributes):
+        for token in m[1].strip("\"'").split():
+            if BESIDE_WORDS.fullmatch(token):
+                return 2
+            if any(BESIDE_WORDS.fullmatch(w) for w in _PART.split(token)):
+                out = 1
+    return out
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place")
-
-
-def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
-    """Text, words, link density, place (1 main, -1 beside the text, 0 unknown) and training mark of every block.
 
-    Of nested marks the innermost decides, but nothing inside a part beside the text becomes main again.
-    """
-    out: list[tuple[str, int, float, int, bool]] = []
-    stack: list[tuple[str, int]] = []
+def blocks(page: str) -> list[tuple[str, tuple, tuple[int, ...], bool]]:
+    """Text, own features, the named parts around it (innermost last) and training mark of every block."""
+    out: list[tuple[str, tuple, tuple[int, ...], bool]] = []
+    stack: list[tuple[str, int]] = []  # open containers: tag, number of the part if it is a named one
+    counts = dict.fromkeys(("articles", "beside", "header", "form"), 0)
+    strength: dict[int, int] = {}
     texts: list[str] = []
     linked: list[str] = []
-    in_link, marked, beside = False, False, False
+    in_link, marked, kind, own_part, n_parts = False, False, 0, 0, 0
+
+    def kind_of(tag: str) -> str:
+        return "articles" if tag in MAIN_TAGS else "beside" if tag in BESIDE_TAGS else tag if tag in ("header", "form") else ""
 
     def close() -> None:
-        nonlocal marked
-        if texts:
-            text = "".join(texts)
-            text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
-            if text:
-                words = text.count(" ") + 1
-                links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, words, min(1.0, links / words), -1 if beside else stack[-1][1] if stack else 0, marked))
-            texts.clear()
-            linked.clear()
+        if not texts:
+            return
+        text = "".join(texts)
+        text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
+        if text:
+            words = text.split(" ")
+            links = len(html.unescape(" ".join(linked)).split()) if linked else 0
+            parts = tuple(p for _, p in stack if p) + ((own_part,) if own_part else ())
+            capitals = sum(w[0].isupper() for w in words) / len(words)
+            own = (len(words), min(1.0, links / len(words)), len(_STOP.findall(text)) / len(words), capitals, kind, min(2, counts["articles"]), min(2, counts["beside"]), min(1, counts["header"]), min(1, counts["form"]))
+            out.append((text, (*own, strength[parts[-1]] if parts else 0), parts, marked))
+        texts.clear()
+        linked.clear()
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -107,59 +107,72 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             if in_link:
                 linked.append(piece)
         at = token.end()
-        tag = token[3]
+        tag = token[4]
         if tag is None:
             continue
         tag = tag.lower()
         if tag == "a":
-            in_link = not token[2]
+            in_link = not token[3]
         if tag not in BLOCK_TAGS:
             continue
         close()
-        attributes = token[4]
-        hint = " ".join(m[1] for m in _HINT.finditer(attributes)) if "=" in attributes else ""
-        told = bool(hint and BESIDE_WORDS.search(hint.replace("_", " ")))
-        if not token[2]:
+        attributes = token[5]
+        kind = KINDS.get(tag, 0) if not token[3] else 0
+        own_part = 0
+        told = named(attributes) if "=" in attributes and not token[3] and tag not in ("body", "html") else 0
+        if told:
+            n_parts += 1
+            strength[n_parts] = told
+        if not token[3]:
             marked = "data-main" in attributes
-        beside = told and tag not in CONTAINERS and tag != "body"
         if tag not in CONTAINERS:
+            own_part = n_parts if told else 0
             continue
-        if token[2]:
+        if token[3]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    for gone, _ in stack[k:]:
+                        if what := kind_of(gone):
+                            counts[what] -= 1
                     del stack[k:]
                     break
             in_link = False
-            continue
-        place = stack[-1][1] if stack else 0
-        if tag in BESIDE_TAGS or (tag == "header" and place < 1) or told:
-            place = -1
-        elif tag in MAIN_TAGS and place == 0:
-            place = 1
-        stack.append((tag, place))
+        elif not attributes.endswith("/"):
+            stack.append((tag, n_parts if told else 0))
+            if what := kind_of(tag):
+                counts[what] += 1
     if at < len(page):
         texts.append(page[at:])
     close()
     return out
 
 
-def features(found: list[tuple[str, int, float, int, bool]]) -> np.ndarray:
-    """(blocks, FEATURES); beyond the ends of a page there is an empty block."""
-    own = np.array([b[1:4] for b in found], "f8").reshape(-1, 3)
-    before, after = np.zeros((len(own), 2)), np.zeros((len(own), 2))
-    before[1:], after[:-1] = own[:-1, :2], own[1:, :2]
-    return np.concatenate([own[:, :2], before, after, own[:, 2:]], 1)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
-    """A tree of (feature, bound, at most, above), leaves being the majority label; splits by Gini impurity."""
-    if depth == 0 or len(set(y.tolist())) < 2:
+def features(found: list[tuple[str, tuple, tuple[int, ...], bool]]) -> np.ndarray:
+    """(blocks, FEATURES); beyond the ends of a page there are empty blocks."""
+    own = np.array([b[1] for b in found], "f8").reshape(-1, len(_OWN))
+    total = max(1.0, own[:, 0].sum())
+    held: dict[int, float] = {}
+    for b in found:
+        for p in b[2]:
+            held[p] = held.get(p, 0.0) + b[1][0]
+    share = np.array([held[b[2][-1]] / total if b[2] else 0.0 for b in found])
+    wide = np.zeros((len(own) + 4, 2))
+    wide[2:-2] = own[:, :2]
+    beside = [wide[2 + d : 2 + d + len(own)] for d in (-1, 1, -2, 2)]
+    upto = (np.cumsum(own[:, 0]) - own[:, 0]) / total
+    return np.column_stack([own[:, :2], *beside, own[:, 2:5], upto, own[:, 5:], share])
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 3) -> tuple:
+    """A tree of (feature, bound, at most, above), leaves being the majority label of ``least`` rows or more; splits by Gini impurity."""
+    if depth == 0 or len(set(y.tolist())) < 2 or len(y) < 2 * least:
         return (bool(2 * y.sum() >= len(y)),)
     best = None
     for f in range(x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v, ones = x[order, f], np.cumsum(y[order])
         cut = np.flatnonzero(np.diff(v))
+        cut = cut[(cut + 1 >= least) & (len(y) - cut - 1 >= least)]
         if len(cut):
             left, total = cut + 1.0, len(y)
             a, b = ones[cut], ones[-1] - ones[cut]
@@ -170,7 +183,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
     if best is None:
         return (bool(2 * y.sum() >= len(y)),)
     below = x[:, best[1]] <= best[2]
-    return best[1], best[2], grow(x[below], y[below], depth - 1), grow(x[~below], y[~below], depth - 1)
+    return best[1], best[2], grow(x[below], y[below], depth - 1, least), grow(x[~below], y[~below], depth - 1, least)
 
 
 def decide(tree: tuple, x: np.ndarray) -> np.ndarray:
@@ -182,8 +195,13 @@ def decide(tree: tuple, x: np.ndarray) -> np.ndarray:
 @cache
 def train() -> tuple:
     """The tree of the labelled pages."""
-    pages = [blocks(p) for p in TRAINING_PAGES]
-    return grow(np.concatenate([features(p) for p in pages]), np.array([b[4] for p in pages for b in p], float))
+    return grow(*labelled(training_pages()))
+
+
+def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of pages whose main blocks carry ``data-main``."""
+    found = [blocks(p) for p in pages]
+    return np.concatenate([features(p) for p in found]), np.array([b[3] for p in found for b in p], float)
 
 
 def main_text(page: str, tree: tuple) -> tuple[str, int, int]:
