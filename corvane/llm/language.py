@@ -7,7 +7,7 @@ N-grams are 64-bit hashes that pack 16 bits a symbol (exact on the basic plane),
 a lookup is a binary search.  N-grams too many to ship to every task stay stored tables, and the n-grams of the
 documents are joined with them; the probabilities are the same, and no n-gram is left out either way.
 A document takes the language with the lowest cross-entropy per symbol.
-Confidence and rejection are calibrated on a bounded sample of the labelled documents.
+Confidence and rejection are calibrated on a bounded sample of the labelled documents, which the counts leave out.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corvane.functions.matrix import from_matrix
 from corvane.llm.common import byte_slices, code_points, id_text, stored
 
 ORDER = 4
-# Calibration looks at this many labelled documents, of at most so many bytes each.
-CALIBRATION_DOCS, CALIBRATION_MAX_BYTES = 2_000, 60_000
+# Calibration looks at about this many labelled documents, the same number and at most this share of each language, and at none
+# of a language with few.
+CALIBRATION_DOCS, CALIBRATION_SHARE, CALIBRATION_LEAST = 2_000, 0.1, 20
 # A model of so many n-grams at most (all languages together, 40 to 100 bytes each) ships to every task; a larger
 # one is joined with.
 MAX_NGRAMS = 1_500_000
@@ -278,16 +280,32 @@ def confidence(entropy: np.ndarray, sharpness: float) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _measured(model: Model | Tables, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Cross-entropies, whether a text has a letter, and the label, of a bounded sample (id, text, lang)."""
+def _entropies(model: Model | Tables, rows: DataFrame) -> DataFrame:
+    """``id, lang, has, entropy`` (by language) per row of ``id, text, lang``."""
     if isinstance(model, Tables):
-        rows = model.cross_entropy(sample).toArrow()
-        return _by_lang(rows.column("entropy"), len(model.langs)), rows.column("has").to_numpy(), rows.column("lang").to_pylist()
-    batches = sample.toArrow().combine_chunks().to_batches() if model.langs else []
-    parts = [(*model.cross_entropy(d, o), p.column(2).to_pylist()) for b in batches for p, d, o in byte_slices(b)]
-    if not parts:
-        return np.zeros((0, len(model.langs))), np.zeros(0, bool), []
-    return np.concatenate([e for e, _, _ in parts]), np.concatenate([h for _, h, _ in parts]), [x for _, _, names in parts for x in names]
+        return model.cross_entropy(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in byte_slices(batch):
+                entropy, has = model.cross_entropy(data, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(has), from_matrix(entropy)], names=["id", "lang", "has", "entropy"])
+
+    return rows.select("id", "text", "lang").mapInArrow(run, "id bigint, lang string, has boolean, entropy array<double>")
+
+
+def left_out(rows: DataFrame, docs: int = CALIBRATION_DOCS) -> Column:
+    """Whether a labelled row is for calibration: drawn by its hash, at a rate that its language's size gives.
+
+    One aggregated row a language goes through the driver.
+    """
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    each = docs / max(1, len(sizes))
+    rates = {k: int(1_000_000 * min(CALIBRATION_SHARE, each / n)) for k, n in sizes.items() if n >= CALIBRATION_LEAST}
+    if not rates:
+        return F.lit(False)
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
+    return F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.coalesce(rate, F.lit(0))
 
 
 def _by_lang(column: pa.Array | pa.ChunkedArray, n_langs: int) -> np.ndarray:
@@ -301,7 +319,8 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(usable & F.col("lang").isNotNull())
-    counted = stored(count_ngrams(rows), "ngrams")
+    aside = left_out(rows)
+    counted = stored(count_ngrams(rows.where(~aside)), "ngrams")
     if counted.count() > MAX_NGRAMS:
         model: Model | Tables = Tables(counted)
         code = {name: k for k, name in enumerate(model.langs)}
@@ -312,20 +331,14 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         who = np.fromiter((code[x] for x in names), "i8", len(names))
         model = Model(list(code), who, table.column("key").to_numpy().view("u8"), table.column("n").to_numpy())
     langs = model.langs
-    sample = (
-        rows.where(F.octet_length("text") <= CALIBRATION_MAX_BYTES)
-        .withColumn("_h", F.xxhash64("id"))
-        .orderBy("_h", "id")
-        .limit(CALIBRATION_DOCS)
-        .select("id", "text", "lang")
-    )
     sharpness, highest = 20.0, np.full(len(langs), np.inf)
-    entropy, has, true = _measured(model, sample)
-    if len(true) and langs:
-        true = np.array([code[x] for x in true])
-        entropy, true = entropy[has], true[has]
+    # Texts stay where they are: a few numbers a drawn document come back.
+    measured = _entropies(model, rows.where(aside)).where("has").select("lang", "entropy").toArrow() if langs else None
+    if measured is not None and measured.num_rows:
+        true = np.array([code.get(x, -1) for x in measured["lang"].to_pylist()])
+        entropy, true = _by_lang(measured["entropy"], len(langs))[true >= 0], true[true >= 0]
         if len(true):
-            tries = np.geomspace(1, 200, 24)
+            tries = np.geomspace(1, 1000, 30)
             loss = [-np.log(confidence(entropy, s)[np.arange(len(true)), true] + 1e-9).mean() for s in tries]
             sharpness = float(tries[int(np.argmin(loss))])
             own = entropy[np.arange(len(true)), true]
@@ -339,7 +352,7 @@ def predict(docs: DataFrame, model: Model, sharpness: float, highest: np.ndarray
     """Per document: ``doc_id, lang_pred, score, cross_entropy, accepted``.
 
     A text that is null or has no letter gives ``und``, score 0 and is not accepted; so does any text when no
-    language was learned.  Equal cross-entropies go to the first language by name.
+    language was learned.  Equal cross-entropies go to the first language by name.  A rejected text scores below 0.5.
     """
     names = ["doc_id", "lang_pred", "score", "cross_entropy", "accepted"]
 
@@ -352,8 +365,10 @@ def predict(docs: DataFrame, model: Model, sharpness: float, highest: np.ndarray
         if len(langs) > 1:
             k = entropy.argmin(1)
             best[has], low[has] = k[has], entropy[np.arange(n), k][has]
-            score[has] = confidence(entropy, sharpness)[np.arange(n), k][has]
             ok = has & (low <= highest[k])
+            # Text beyond what the language's own documents reach is rejected, and the farther the less it scores.
+            far = np.where(ok, 1.0, 0.5 * np.where(np.isfinite(highest[k]), highest[k], 1.0) / np.maximum(low, 1e-9))
+            score[has] = (confidence(entropy, sharpness)[np.arange(n), k] * np.minimum(far, 1.0))[has]
         return pa.RecordBatch.from_arrays([ids, pa.array(langs[best], pa.string()), pa.array(score), pa.array(low), pa.array(ok)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
