@@ -120,7 +120,7 @@ class OutlineReader:
     projection: np.ndarray
     control_types: tuple[str, ...] = CONTROL_TYPES
 
-    columns = ("types", "parents", "depths", "children")
+    columns = ("_types", "_parents", "_depths", "_children")
 
     def sizes(self, arrays: list[pa.Array]) -> np.ndarray:
         return 3 * arrays[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")

@@ -78,7 +78,7 @@ def _lines(raw: Column) -> Column:
 
 
 def with_outline(records: DataFrame, max_nodes: int | None = None) -> DataFrame:
-    """``records`` with the outline of their code in their own row: arrays ``types, parents, depths, children`` by node id.
+    """``records`` with the outline of their code in their own row: arrays ``_types, _parents, _depths, _children`` by node id.
 
     Without rules for the language, or without code, the arrays are empty; ``max_nodes`` keeps the first nodes.
     """
@@ -93,10 +93,10 @@ def with_outline(records: DataFrame, max_nodes: int | None = None) -> DataFrame:
 
     nest = F.col("_nest")
     return rows.withColumns({
-        "types": of(kinds, "string"),
-        "parents": of(nest["parent_id"], "int"),
-        "depths": of(nest["depth"], "int"),
-        "children": of(nest["child_count"], "int"),
+        "_types": of(kinds, "string"),
+        "_parents": of(nest["parent_id"], "int"),
+        "_depths": of(nest["depth"], "int"),
+        "_children": of(nest["child_count"], "int"),
     }).drop("_lines", "_nest")
 
 

@@ -43,42 +43,52 @@ def with_positions(df: DataFrame, *order_by: str, name: str = "position") -> Dat
     )
 
 
-_RUNNING = {"sum": (np.add, 0.0), "min": (np.minimum, np.inf)}
+_RUNNING = {"sum": (np.add, 0.0, "cumsum"), "min": (np.minimum, np.inf, "cummin")}
 
 
 def running(df: DataFrame, group: str, order_by: str, value: str, how: str, name: str) -> DataFrame:
     """Per group, ``how`` ("sum" or "min") of ``value`` over the rows strictly before this one.
 
-    The first row of a group gets the neutral element (0 or infinity).  A group may span any number
-    of partitions, so one group holding most rows is still spread over all tasks.
+    The first row of a group gets the neutral element (0 or infinity).  Group and order may be of any type that sorts; null
+    is a group of its own.  A group may span any number of partitions, so one group holding most rows is still spread over
+    all tasks, and all groups of a batch are accumulated at once.
     """
-    op, neutral = _RUNNING[how]
-    keys = df.select(F.col(group).cast("bigint"), F.col(order_by).cast("bigint"), F.col(value).cast("double"))
+    op, neutral, accumulate = _RUNNING[how]
+    keys = df.select(group, order_by, F.col(value).cast("double").alias(value))
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last, acc, first = TaskContext.get().partitionId(), None, neutral, True
+        part, last, acc, opened = TaskContext.get().partitionId(), None, neutral, True
         for frame in frames:
             if frame.empty:
                 continue
-            groups, values = frame[group].to_numpy(), frame[value].to_numpy()
-            cuts = np.flatnonzero(np.diff(groups)) + 1
-            out, open_group = np.empty(len(frame)), np.zeros(len(frame), dtype=bool)
-            for lo, hi in zip([0, *cuts], [*cuts, len(groups)]):
-                if last is None or groups[lo] != last:
-                    first = last is None
-                    last, acc = groups[lo], neutral
-                sums = op.accumulate(np.concatenate([[acc], values[lo:hi]]))
-                out[lo:hi], acc, open_group[lo:hi] = sums[:-1], sums[-1], first
-            yield frame.assign(_before=out, _after=op(out, values), _part=part, _open=open_group)
+            code = pd.factorize(frame[group], use_na_sentinel=False)[0]
+            segment = np.cumsum(np.diff(code, prepend=code[0]) != 0)
+            values = frame[value].to_numpy()
+            upto = getattr(pd.Series(values).groupby(segment), accumulate)().to_numpy()
+            starts = np.flatnonzero(np.diff(segment, prepend=-1))
+            before = np.empty(len(values))
+            before[1:] = upto[:-1]
+            before[starts] = neutral
+            head = frame[group].iloc[0]
+            goes_on = last is not None and (head == last[0] or (pd.isna(head) and pd.isna(last[0])))
+            opened = last is None or (opened and goes_on)  # still the first group of this partition
+            if goes_on:
+                mine = segment == 0
+                before[mine], upto[mine] = op(before[mine], acc), op(upto[mine], acc)
+            last, acc = (frame[group].iloc[-1],), upto[-1]
+            first = (segment == 0) & opened
+            opened = opened and segment[-1] == 0
+            yield frame.assign(_before=before, _after=upto, _part=part, _open=first)
 
-    schema = f"{group} bigint, {order_by} bigint, {value} double, _before double, _after double, _part int, _open boolean"
+    types = dict(keys.dtypes)
+    schema = f"`{group}` {types[group]}, `{order_by}` {types[order_by]}, `{value}` double, _before double, _after double, _part int, _open boolean"
     ranged = checkpoint(
         keys.repartitionByRange(group, order_by).sortWithinPartitions(group, order_by).mapInPandas(local, schema)
     )
     ends = (
         ranged.groupBy("_part")
         .agg(
-            F.min(group).alias("head"),
+            F.min(F.struct(F.col(group).alias("g"))).alias("head"),
             F.max(F.struct(F.col(group).alias("g"), F.col(order_by).alias("o"), F.col("_after").alias("v"))).alias("tail"),
         )
         .orderBy("_part")
@@ -86,10 +96,10 @@ def running(df: DataFrame, group: str, order_by: str, value: str, how: str, name
     )
     carry, carried_group, carried = [], None, neutral
     for row in ends:
-        incoming = carried if row["head"] == carried_group else neutral
+        incoming = carried if carry and row["head"]["g"] == carried_group else neutral
         carry.append((row["_part"], float(incoming)))
         tail = row["tail"]
-        carried = float(op(incoming, tail["v"])) if tail["g"] == row["head"] else tail["v"]
+        carried = float(op(incoming, tail["v"])) if tail["g"] == row["head"]["g"] else tail["v"]
         carried_group = tail["g"]
     table = df.sparkSession.createDataFrame(carry, "_part int, _carry double")
     combine = F.least if how == "min" else (lambda a, b: a + b)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvane.functions.hashing import md5_int, md5_key
 from corvane.functions.vectors import let
 from corvane.operators.blocks import TopK, block_join
+from corvane.operators.cells import nearest_in_cells, train_cells
 from corvane.operators.positions import with_positions
 from corvane.operators.search import rank_hits
 from corvane.runtime import checkpoint, explode_once
@@ -53,17 +54,26 @@ def random_negatives(pool: DataFrame, anchors: DataFrame, n: int, seed=0) -> Dat
     ).select("anchor_id", "negative_id")
 
 
-def hard_negatives(cache: DataFrame, anchors: DataFrame, n: int, pool: DataFrame | None = None, seed=0, **blocks) -> DataFrame:
+# From so many cached vectors on, neighbours are looked for in cells instead of among all.
+CELLS_FROM = 50_000
+
+
+def hard_negatives(
+    cache: DataFrame, anchors: DataFrame, n: int, pool: DataFrame | None = None, seed=0, cells: int | None = None, **blocks
+) -> DataFrame:
     """(anchor_id, negative_id): the ``n`` nearest cached vectors by L2, the anchor excluded.
 
     cache(id, vec), anchors(anchor_id).  With ``pool(id)``, anchors that are not cached or find fewer
-    than ``n`` neighbours are topped up by random negatives.
+    than ``n`` neighbours are topped up by random negatives.  ``cells`` is the number of cells a large cache is
+    looked through by (0: all against all); the neighbours are the same.
     """
     queries = anchors.join(cache.select(F.col("id").alias("anchor_id"), "vec"), "anchor_id")
-    hits = block_join(queries, cache, TopK(n, "l2", exclude_self=True), query_key="anchor_id", item_key="id", unit=False, **blocks)
-    found = rank_hits(hits, n, ascending=True).select(
-        F.col("query_id").alias("anchor_id"), F.col("vec_id").alias("negative_id")
-    )
+    if cells or (cells is None and cache.count() >= CELLS_FROM):
+        ranked, _ = nearest_in_cells(queries.withColumnRenamed("anchor_id", "query_id"), train_cells(cache, cells), n, **blocks)
+    else:
+        hits = block_join(queries, cache, TopK(n, "l2", exclude_self=True), query_key="anchor_id", item_key="id", unit=False, **blocks)
+        ranked = rank_hits(hits, n, ascending=True)
+    found = ranked.select(F.col("query_id").alias("anchor_id"), F.col("vec_id").alias("negative_id"))
     if pool is None:
         return found
     found = checkpoint(found)

@@ -26,6 +26,30 @@ def topk_exact(queries: DataFrame, items: DataFrame, k: int = 10, **blocks) -> D
     return rank_hits(block_join(queries, items, TopK(k), **blocks), k)
 
 
+def meet_by_label(queries: DataFrame, items: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``meet`` column to group a ``block_join`` by: a query with a ``label`` meets the items of that
+    label, one whose label is null meets all.
+
+    The items are read once whatever labels are asked for; an item is there twice if queries of both kinds are.  ``by``
+    names further columns that have to agree, such as a cell.
+    """
+    kinds = {r["named"] for r in queries.select(F.col("label").isNotNull().alias("named")).distinct().collect()}
+    each = [F.concat(F.lit("="), F.col("label"))] * (True in kinds) + [F.lit("")] * (False in kinds)
+
+    def key(label: Column) -> Column:
+        return F.xxhash64(*by, label)
+
+    wanted = F.when(F.col("label").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("label")))
+    offered = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
+    return queries.withColumn("meet", key(wanted)), items.withColumn("_as", F.explode(offered)).withColumn("meet", key(F.col("_as"))).drop("_as")
+
+
+def topk_labelled(queries: DataFrame, items: DataFrame, k: int = 10, **blocks) -> DataFrame:
+    """``topk_exact`` among the items of each query's ``label``; see ``meet_by_label``."""
+    q, x = meet_by_label(queries, items)
+    return rank_hits(block_join(q, x, TopK(k), group="meet", **blocks), k)
+
+
 def best_cells(x: Column, centroids: np.ndarray, n: int) -> Column:
     """The ``n`` cells of largest inner product, best first; ties go to the lower cell."""
     table = np.ascontiguousarray(centroids.T)
@@ -54,12 +78,17 @@ def ivf_search(
     """Exact ranking within the ``nprobe`` best cells of each query.
 
     index(vec_id, vec, cell).  The probed cells become a literal filter, bounded
-    by the number of centroids, so an index partitioned by cell is only read where it is needed.
+    by the number of centroids, so an index partitioned by cell is only read where it is needed.  If both sides have
+    a ``label``, only items of the query's label are ranked, all of them for a null one.
     """
-    probes = queries.select("query_id", "vec").withColumn("cell", explode_once(best_cells(F.col("vec"), centroids, nprobe)))
+    labelled = "label" in queries.columns and "label" in index.columns
+    probes = queries.select("query_id", "vec", *["label"] * labelled).withColumn("cell", explode_once(best_cells(F.col("vec"), centroids, nprobe)))
     if nprobe < len(centroids):
         wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]
         index = index.where(F.col("cell").isin(wanted))
+    if labelled:
+        probes, index = meet_by_label(probes, index, "cell")
+        return rank_hits(block_join(probes, index, TopK(k), group="meet", **blocks), k)
     hits = block_join(probes, index, TopK(k), group="cell", **blocks)
     return rank_hits(hits, k)
 
@@ -95,13 +124,18 @@ def topk_ann(
 ) -> DataFrame:
     """Approximate neighbours: candidates share a hyperplane signature in some table, then exact rank.
 
-    Buckets meet block by block, so a bucket full of copies costs matrix products, not pair rows.
+    Buckets meet block by block, so a bucket full of copies costs matrix products, not pair rows.  If both sides have
+    a ``label``, only items of the query's label are ranked, all of them for a null one.
     """
+    labelled = "label" in queries.columns and "label" in items.columns
 
     def bucketed(df, key):
-        return df.select(key, "vec").withColumn("bucket", explode_once(signature_buckets(F.col("vec"), tables, bits, dim)))
+        return df.select(key, "vec", *["label"] * labelled).withColumn("bucket", explode_once(signature_buckets(F.col("vec"), tables, bits, dim)))
 
-    hits = block_join(bucketed(queries, "query_id"), bucketed(items, "vec_id"), TopK(k), group="bucket", **blocks)
+    q, x, group = bucketed(queries, "query_id"), bucketed(items, "vec_id"), "bucket"
+    if labelled:
+        (q, x), group = meet_by_label(q, x, "bucket"), "meet"
+    hits = block_join(q, x, TopK(k), group=group, **blocks)
     # The same neighbour may turn up in several tables.
     once = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return rank_hits(once, k)

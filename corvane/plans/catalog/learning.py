@@ -216,6 +216,7 @@ QUERIES = {
     ),
     "random_negatives": (random_rows, f"WITH {sql_random('rnd', N_NEG)} SELECT * FROM rnd"),
     "hard_negatives": (hard_rows(), f"WITH {SQL_E}, {sql_hard('hard', 2)} SELECT * FROM hard"),
+    "hard_negatives_cells": (hard_rows(cells=16), f"WITH {SQL_E}, {sql_hard('hard', 2)} SELECT * FROM hard"),
     "hard_negatives_grid": (
         hard_rows(broadcast_cells=0, query_rows=100, item_rows=128),
         f"WITH {SQL_E}, {sql_hard('hard', 2)} SELECT * FROM hard",

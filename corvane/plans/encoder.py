@@ -106,7 +106,7 @@ class CodeEncoder:
 
 def first_seen_types(records: DataFrame) -> DataFrame:
     """(type, type_id) of the outlines of ``records``, in order of their first occurrence."""
-    seen = with_outline(records.select("doc_id", "code", "language")).select("doc_id", F.posexplode("types").alias("id", "type"))
+    seen = with_outline(records.select("doc_id", "code", "language")).select("doc_id", F.posexplode("_types").alias("id", "type"))
     return G.node_type_vocab(seen)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -91,24 +90,16 @@ def search(requests: DataFrame, index: VectorIndex, return_scores: bool = True,
     """Ranked records for requests(query_id, query, top_k, language), all valid.
 
     A request's language is matched after ranking ("post": ranks stay, fewer than top_k rows may be
-    left) or before it ("pre": only records of that language are ranked; one index scan per language
-    asked for, the filter pushed into the scan).
+    left) or before it ("pre": only records of that language are ranked; one index scan whatever languages
+    are asked for).
     """
     if language_mode not in ("post", "pre"):
         raise ValueError(f"unknown language mode {language_mode!r}")
     requests = checkpoint(requests)
     k = requests.agg(F.max("top_k")).first()[0] or 0
     vec = embed_text(F.col("query"), index.config.embedding_dim)
-    queries = requests.select("query_id", F.col("language").alias("want"), vec.alias("vec"))
-    if language_mode == "post":
-        hits = index.search(queries, k)
-    else:
-        asked = [r["language"] for r in requests.select("language").distinct().collect()] or [None]
-        parts = [
-            index.search(queries.where(F.col("want").eqNullSafe(w)), k, None if w is None else F.col("language") == w)
-            for w in asked
-        ]
-        hits = reduce(DataFrame.unionByName, parts)
+    queries = requests.select("query_id", F.col("language").alias("label"), vec.alias("vec"))
+    hits = index.search(queries, k, label="language" if language_mode == "pre" else None)
     wanted = hits.join(requests.select("query_id", "top_k", F.col("language").alias("want")), "query_id")
     kept = attach_metadata(wanted.where(F.col("rank") <= F.col("top_k")), index.metadata().drop("vec_id"), "row_id")
     if language_mode == "post":

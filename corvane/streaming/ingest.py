@@ -20,12 +20,13 @@ def stream_index(
 ) -> StreamingQuery:
     """Encode and add every micro-batch of a streaming frame; ``index.stats()`` tells the new counts.
 
-    Each micro-batch owns its ingest partition, which a replay after a failure overwrites, so every
-    record is stored once.
+    Each micro-batch is an ingest of its own, which a replay after a failure replaces, so every record is stored once.
+    Small batches are written together as they become many.
     """
 
     def add(batch: DataFrame, epoch: int) -> None:
         index.add(encode(batch), ingest=f"{name}-{epoch}")
+        index.compact_tiers()
 
     return (
         records.writeStream.foreachBatch(add)

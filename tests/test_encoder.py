@@ -10,6 +10,7 @@ from corvane.plans.catalog.fixtures import code_records
 from corvane.plans.catalog.graphs import DIM, encoder_weights, fitted_encoder, gat_layers, gcn_layers
 from corvane.plans.encoder import CodeEncoder, first_seen_types, index_code
 from corvane.plans.retrieval import encode_code
+from corvane.runtime import checkpoint
 from corvane.sources.index import IndexConfig, VectorIndex
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -111,8 +112,9 @@ def test_one_record_alone_equals_its_row_in_the_corpus(spark, encoder):
 
 
 def test_encoding_is_narrow_and_keeps_columns(spark, encoder):
-    out = encoder.encode(code_records(spark, SF_DIR).withColumn("types", F.lit("mine").cast("string")).drop("types"))
-    assert {"func_name", "docstring", "vec"} <= set(out.columns)
+    records = checkpoint(code_records(spark, SF_DIR).withColumn("types", F.lit("mine")))
+    out = encoder.encode(records)
+    assert out.columns == [*records.columns, "vec"] and out.first()["types"] == "mine"
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
