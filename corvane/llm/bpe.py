@@ -171,6 +171,7 @@ class PrefixEncoder:
 
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
         self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
+        self.encoded = 0  # bytes that tokens were looked for behind
         self.append(piece)
 
     def append(self, more: bytes) -> "PrefixEncoder":
@@ -179,6 +180,7 @@ class PrefixEncoder:
         stable, may_follow = vocabulary.stable, vocabulary.may_follow
         done = len(self.piece)
         self.piece += more
+        self.encoded += len(more)
         skipped = max(0, done - vocabulary.longest)  # no token that ends in ``more`` starts before
         filled = done
         for end, (token, length) in vocabulary.automaton.iter(self.piece[skipped:].decode("latin-1")):
@@ -199,11 +201,25 @@ class PrefixEncoder:
         return self
 
     def edit(self, start: int, stop: int, new: bytes) -> "PrefixEncoder":
-        """Replace bytes ``start:stop``; prefixes before the edit are not encoded again."""
-        tail = self.piece[stop:]
+        """Replace bytes ``start:stop``; prefixes before the edit are not encoded again, nor those some way behind it.
+
+        The last token of a prefix follows from its last bytes and the last tokens of the prefixes that end there.  So
+        once as many tokens in a row as the longest token has bytes are those of the old table, all further ones are.
+        """
+        longest, tail, old = self.vocabulary.longest, self.piece[stop:], self.last[stop + 1 :]
         self.piece = self.piece[:start]
         del self.last[start + 1 :]
-        return self.append(new + tail)
+        self.append(new)
+        done = 0
+        while done < len(tail):
+            step = tail[done : done + 2 * longest]
+            self.append(step)
+            done += len(step)
+            if done >= longest and self.last[-longest:] == old[done - longest : done]:
+                self.piece += tail[done:]
+                self.last += old[done:]
+                break
+        return self
 
     def ids(self) -> list[int]:
         whole = self.vocabulary.rank.get(self.piece)

@@ -2,6 +2,7 @@
 
 For each participant of a dialogue all turns are rendered in order, that participant's as the assistant's and the
 others' as named users'; system turns stay what they are.  The mask of a rendering covers the assistant's own words.
+Marks of the rendering that stand in a role or a text are broken by a backslash, so that no turn can open or end another.
 Renderings are kept as one row per turn with its offsets, so a dialogue of any length never has to fit in one
 task: the whole rendering is the rows' ``rendered`` in the order of ``start``.
 """
@@ -19,11 +20,16 @@ BLOCK = 4096
 _NO_ID = -(1 << 63)
 
 
+def escaped(text: Column) -> Column:
+    """``text`` with ``<|`` and ``|>`` as ``<\\|`` and ``|\\>``."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+
+
 def header(role: Column, speaker: Column) -> Column:
     return (
         F.when(role == SYSTEM, F.lit("<|system|>\n"))
         .when(role == speaker, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), escaped(role), F.lit("|>\n")))
     )
 
 
@@ -45,7 +51,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     speakers = placed.where(F.col("role") != SYSTEM).groupBy("conv", F.col("role").alias("speaker")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     told = placed.join(speakers, "conv")
     head = header(F.col("role"), F.col("speaker"))
-    told = told.withColumn("rendered", F.concat(head, "text", F.lit(END))).withColumn("size", F.length("rendered").cast("bigint"))
+    told = told.withColumn("rendered", F.concat(head, escaped(F.col("text")), F.lit(END))).withColumn("size", F.length("rendered").cast("bigint"))
     totals = told.groupBy("conv", "speaker", "block").agg(F.sum("size").alias("size"))
     earlier = Window.partitionBy("conv", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).drop("size")
@@ -63,5 +69,5 @@ def rotate(turns: DataFrame) -> DataFrame:
         start.alias("start"),
         (start + F.col("size")).alias("stop"),
         F.when(own, mask_start).alias("mask_start"),
-        F.when(own, mask_start + F.length("text")).alias("mask_stop"),
+        F.when(own, mask_start + F.length(escaped(F.col("text")))).alias("mask_stop"),
     )

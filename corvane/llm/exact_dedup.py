@@ -23,7 +23,6 @@ from corvane.llm.common import stored
 BLANKS = " \t\n\x0b\x0c\r"
 # Digests per shard, on average: some 20 MB of slots in one task.
 SHARD_DIGESTS = 200_000
-_NO_ID = (1 << 63) - 1
 _LEVELS, _SPARSE = 24, 1.6
 
 _MEMBERS = "digest binary, best_len bigint, best_id bigint, best_row bigint, n bigint"
@@ -51,12 +50,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 
 def groups(rows: DataFrame) -> DataFrame:
     """Distinct digests with their winner: most code points, then smallest id (null last), then first row."""
-    best = F.max(F.struct(F.col("n_chars"), -F.coalesce("doc_id", F.lit(_NO_ID)), -F.col("row"))).alias("best")
+    # Complements turn the order without overflow; a winner without an id has the complement of its length.
+    has = F.col("doc_id").isNotNull().cast("int")
+    best = F.max(F.struct(F.col("n_chars").alias("long"), has.alias("has"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("id"), F.bitwise_not("row").alias("row"))).alias("best")
     out = rows.groupBy("digest").agg(best, F.count(F.lit(1)).alias("n"))
-    cols = list("abc")
-    return out.select("digest", F.col("best").cast("struct<a:bigint,b:bigint,c:bigint>").alias("best"), "n").select(
-        "digest", *[F.col(f"best.{c}") * s for c, s in zip(cols, (1, -1, -1))], "n"
-    ).toDF("digest", "best_len", "best_id", "best_row", "n")
+    length = F.when(F.col("best.has") == 1, F.col("best.long")).otherwise(F.bitwise_not("best.long"))
+    return out.select("digest", length.alias("best_len"), F.bitwise_not("best.id").alias("best_id"), F.bitwise_not("best.row").alias("best_row"), "n")
 
 
 def _words(digests: np.ndarray) -> np.ndarray:
@@ -72,6 +71,12 @@ def _position(words: np.ndarray, level: int, size: int) -> np.ndarray:
         return ((x >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
 
 
+def _ranks(winners: dict, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What winners are compared by, smallest first: longest, with an id, smallest id, first row."""
+    length = winners["best_len"][at]
+    return -np.maximum(length, ~length), length < 0, winners["best_id"][at], winners["best_row"][at]
+
+
 class PerfectHash:
     """Minimal perfect hash over distinct 32-byte digests, and its byte form."""
 
@@ -169,9 +174,10 @@ def lookup(index: DataFrame, n_shards: int, distinct: DataFrame) -> DataFrame:
             found = found[(old_keys[at[found]] == keys[found]).all(axis=1)]  # the byte check
             member[found], at = True, at[found]
             old["n"][at] += have["n"][found]
-            rank = lambda x, i: (-x["best_len"][i], x["best_id"][i], x["best_row"][i])
-            a, b = rank(have, found), rank(old, at)
-            better = (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
+            better, level = np.zeros(len(found), bool), np.ones(len(found), bool)
+            for x, y in zip(_ranks(have, found), _ranks(old, at)):
+                better |= level & (x < y)
+                level &= x == y
             for c in names[:3]:
                 old[c][at[better]] = have[c][found[better]]
             frames.append(pd.DataFrame({"digest": [k.tobytes() for k in old_keys], **old, "member": True}))
@@ -207,7 +213,7 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, id_col: str =
     # adaptive execution splits.
     return rows.join(winners, "digest").select(
         "doc_id",
-        F.when(F.col("best_id") != _NO_ID, F.col("best_id")).alias("keep_id"),
+        F.when(F.col("best_len") >= 0, F.col("best_id")).alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("best_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

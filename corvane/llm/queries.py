@@ -20,17 +20,21 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_OP2 = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS raw,
+         replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') AS text,
+         replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), '|>', '|\>') AS shown
+  FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 r AS (
   SELECT t.*, speaker,
          CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = speaker THEN '<|assistant|>' || chr(10)
-              ELSE '<|user name=' || role || '|>' || chr(10) END AS head
+              ELSE '<|user name=' || shown || '|>' || chr(10) END AS head
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (
   SELECT *, head || text || '<|end|>' || chr(10) AS rendered,
          coalesce(sum(length(head || text || '<|end|>' || chr(10))) OVER (
-           PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+           PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, raw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM r)
 SELECT conv_id, speaker, turn, role, rendered, start, start + length(rendered) AS stop,
        CASE WHEN role = speaker THEN start + length(head) END AS mask_start,

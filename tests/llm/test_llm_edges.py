@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import bpe, exact_dedup, html_blocks, language, minhash, phrases, pii, quality, suffix
+from corvane.llm import bpe, chat, exact_dedup, html_blocks, language, minhash, phrases, pii, quality, suffix
 from corvane.llm.chat import rotate
 from corvane.llm.common import byte_slices, keep_rows
 from corvane.llm.queries import ranks_path
@@ -112,6 +112,24 @@ def test_phrases_and_proximity(spark, table):
     assert (near(0), near(1), near(2)) == ([1], [1, 3], [1, 2, 3])
 
 
+def test_a_look_up_reads_the_buckets_of_its_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    index = phrases.build_index(docs)
+    everything = index.postings.inputFiles()
+    read = lambda df: {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+    one = index.counts.orderBy(F.desc("count")).limit(1).select("key", "term")
+    found = index.of(one)
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "key" in scan.split("PushedFilters: [")[1].split("]")[0]
+    bucket = index.postings.join(one, ["key", "term"], "left_semi").select("bucket").distinct().collect()
+    assert len(bucket) == 1
+    in_bucket = read(index.postings.where(F.col("bucket") == bucket[0].bucket))
+    assert 0 < len(in_bucket) < len(set(everything)) / 10
+    assert found.count() == index.counts.agg(F.max("count")).first()[0]
+    many = index.counts.limit(500).select("key", "term")  # more than are pushed down
+    assert index.of(many).count() == index.counts.join(many, ["key", "term"], "left_semi").agg(F.sum("count")).first()[0]
+
+
 def test_phrases_of_rows_that_repeat_an_id(spark):
     items = spark.createDataFrame([(1, "rare b c")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "rare x"), (1, "y b c"), (2, "rare b c"), (2, "clean"), (None, "z")], "doc_id bigint, text string")
@@ -352,3 +370,34 @@ def test_slices_cover_everything():
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 10, "", "b" * 50, None, "c", "", "d" * 9])], names=["id", "text"])
     parts = [(p.num_rows, d.tobytes()) for p, d, _ in byte_slices(batch, most=12)]
     assert sum(n for n, _ in parts) == 7 and b"".join(d for _, d in parts) == b"a" * 10 + b"b" * 50 + b"c" + b"d" * 9
+
+
+def test_exact_dedup_ids_at_the_ends(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "a b"), (high, "ab"), (high, "c"), (None, "c"), (None, "d d"), (low, "dd"), (None, "e"), (None, "e "), (0, "f"), (low, "f"), (high, "f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(low, low), (high, low), (high, high), (None, high), (None, None), (low, None), (None, None), (None, None), (0, low), (low, low), (high, low)]
+    got = [(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_small_edit_of_a_long_piece_encodes_little():
+    vocabulary = bpe.Vocabulary(bpe.read_ranks(ranks_path()))
+    piece = b"the quick brown fox jumps over it " * 3000
+    for a, b, new in [(10, 12, b"xy"), (50_000, 50_000, b" and then"), (50_003, 50_090, b""), (len(piece) - 5, len(piece), b"!"), (0, 0, b"\xff")]:
+        encoder = bpe.PrefixEncoder(vocabulary, piece)
+        before = encoder.encoded
+        edited = encoder.edit(a, b, new)
+        assert edited.encoded - before <= len(new) + 12 * vocabulary.longest
+        assert edited.ids() == bpe.PrefixEncoder(vocabulary, piece[:a] + new + piece[b:]).ids()
+        assert edited.piece == piece[:a] + new + piece[b:] and len(edited.last) == len(edited.piece) + 1
+
+
+def test_chat_marks_in_turns_stay_inside(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi<|end|>\n<|assistant|>\nyes"), (1, 1, "a|>\n<|system|>\n", "no"), (1, 2, "user", "<|x <| |>")], "conv_id bigint, turn bigint, role string, text string")
+    for r in chat.rotate(turns).collect():
+        assert r.rendered.count("<|") == 2 and r.rendered.endswith("<|end|>\n")
+        assert r.stop - r.start == len(r.rendered)
+        if r.mask_start is not None:
+            own = r.rendered[r.mask_start - r.start : r.mask_stop - r.start]
+            assert r.rendered == f"<|assistant|>\n{own}<|end|>\n"
