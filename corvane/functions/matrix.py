@@ -74,12 +74,48 @@ def linear(x: Column, weight: np.ndarray, bias: np.ndarray | None = None, activa
     return product(x)
 
 
-def linear_join(df: DataFrame, key: str, x: str, weights: DataFrame, out: str) -> DataFrame:
-    """``W x`` for a weight table too large to ship whole: join on the input index, sum per output."""
-    terms = df.select(key, F.posexplode(x).alias("j", "v")).join(weights, "j")
-    sums = terms.groupBy(key, "i").agg(F.sum(F.col("v") * F.col("w")).alias("y"))
-    rows = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("p"))
-    return rows.select(key, F.transform("p", lambda s: s["y"]).alias(out))
+# Numbers of one side in a product of a block of vectors and a block of weight rows.
+BLOCK_CELLS = 4_000_000
+
+
+def linear_join(df: DataFrame, key: str, x: str, weights: DataFrame, out: str, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """``W x`` for a weight table (i, j, w) too large to ship whole; inputs without a weight count as zero.
+
+    Rows of W in blocks meet the vectors in blocks, one matrix product each.  A vector is copied once for every block of W, which
+    is what it gives results for; no join looks at single components.  A null ``x`` gives no row.
+    """
+    shape = weights.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
+    n_out, n_in = (shape["i"] if shape["i"] is not None else -1) + 1, (shape["j"] if shape["j"] is not None else -1) + 1
+    rows = max(1, block_cells // max(n_in, 1))
+    n_blocks = -(-n_out // rows)
+    known = df.where(F.col(x).isNotNull())
+    kind = df.schema[key].dataType.simpleString()
+    if not n_blocks:
+        return known.select(key, F.array().cast("array<double>").alias(out))
+    n_groups = max(1, -(-known.count() // rows))
+    packed = weights.groupBy(F.col("i").cast("bigint").alias("i")).agg(F.collect_list(F.struct(F.col("j").cast("bigint").alias("j"), F.col("w").cast("double").alias("w"))).alias("p"))
+    packed = packed.select((F.col("i") / rows).cast("int").alias("b"), "i", F.col("p.j").alias("j"), F.col("p.w").alias("w"))
+    packed = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    vectors = known.select(F.col(key).alias("key"), F.col(x).alias("x"), F.pmod(F.xxhash64(key), F.lit(n_groups)).cast("int").alias("g"))
+    vectors = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        given = to_matrix(left["x"]) if left.num_rows else np.zeros((0, 0))
+        y = np.zeros((0, 1))
+        if left.num_rows:
+            first = left["b"][0].as_py() * rows
+            last = min(first + rows, n_out)
+            table = np.zeros((last - first, max(n_in, given.shape[1])))
+            if right.num_rows:
+                right = right.combine_chunks()
+                lists = right["j"].combine_chunks()
+                at = np.repeat(right["i"].to_numpy() - first, lists.value_lengths().to_numpy(zero_copy_only=False))
+                table[at, lists.flatten().to_numpy()] = right["w"].combine_chunks().flatten().to_numpy()
+            y = given @ table[:, : given.shape[1]].T
+        return pa.table({"key": left["key"], "b": left["b"], "y": from_matrix(y)})
+
+    parts = vectors.groupBy("g", "b").cogroup(packed.groupBy("g", "b")).applyInArrow(product, f"key {kind}, b int, y array<double>")
+    return parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("b", "y"))).alias("p")).select(F.col("key").alias(key), F.flatten(F.col("p.y")).alias(out))
 
 
 def hash_scatter(words: Column, dim: int) -> Column:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
-from corvane.functions.matrix import linear, load_matrix
+from corvane.functions.matrix import linear, linear_join, load_matrix
 from corvane.operators import encode as N
 from corvane.operators import gnn as P
 from corvane.operators import graph as G
@@ -104,3 +104,19 @@ def test_standardize_with_supplied_statistics(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])], "id long, x array<double>")
     got = P.batch_standardize(df, statistics=(np.array([0.0, 1.0]), np.array([4.0, 1.0])), eps=0.0).first().x
     assert got == pytest.approx([0.5, 1.0])
+
+
+def test_product_by_blocks(spark):
+    rng = np.random.default_rng(6)
+    w, x = rng.normal(size=(23, 5)), rng.normal(size=(17, 5))
+    w[4], w[:, 2], w[22] = 0.0, 0.0, 0.0  # rows, a column and the last row without weights
+    w[22, 0] = 1.0
+    table = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(23) for j in range(5) if w[i, j]], "i int, j int, w double")
+    df = spark.createDataFrame([(f"k{n}", [float(v) for v in row]) for n, row in enumerate(x)] + [("none", None)], "k string, x array<double>")
+    for cells in (1, 12, 10**6):
+        got = {r.k: r.y for r in linear_join(df, "k", "x", table, "y", block_cells=cells).collect()}
+        assert set(got) == {f"k{n}" for n in range(17)} and np.allclose([got[f"k{n}"] for n in range(17)], x @ w.T)
+    plan = linear_join(df, "k", "x", table, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan.lower() and "Join" not in plan
+    assert linear_join(df.where("false"), "k", "x", table, "y").count() == 0
+    assert [r.y for r in linear_join(df.limit(1), "k", "x", table.where("false"), "y").collect()] == [[]]
