@@ -125,7 +125,8 @@ class OutlineReader:
     def sizes(self, arrays: list[pa.Array]) -> np.ndarray:
         return 3 * arrays[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
 
-    def read(self, arrays: list[pa.Array]) -> Batch:
+    def features(self, arrays: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, features ``[type_id, depth, child_count, is_named]`` of every node, and the edges."""
         names, parents, depths, children = arrays
         found = names.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
         sizes = np.maximum(found, 1)
@@ -141,8 +142,6 @@ class OutlineReader:
         named = np.array([w != UNNAMED_TYPE for w in words], bool)[code]
         x = np.zeros((len(real), 4))
         x[place] = np.stack([type_id, _flat(depths), _flat(children), named], axis=1)
-        table = np.vstack([self.vectors, np.zeros((1, self.vectors.shape[1]))])
-        start = x @ self.projection.T + table[x[:, 0].astype("i8")]
 
         # Edges: children and parents both ways, consecutive children of a parent both ways, control nodes in their order.
         base = np.repeat(first, sizes)[place]
@@ -156,7 +155,29 @@ class OutlineReader:
         follows = owner[1:] == owner[:-1]
         src = np.concatenate([above, child, left, right, chain[:-1][follows]])
         dst = np.concatenate([child, above, right, left, chain[1:][follows]])
-        return Batch(sizes, start, src, dst)
+        return sizes, x, src, dst
+
+    def read(self, arrays: list[pa.Array]) -> Batch:
+        sizes, x, src, dst = self.features(arrays)
+        table = np.vstack([self.vectors, np.zeros((1, self.vectors.shape[1]))])
+        return Batch(sizes, x @ self.projection.T + table[x[:, 0].astype("i8")], src, dst)
+
+    def graphs(self, *columns: Column) -> Column:
+        """A graph per row as a struct: ``features`` (four a node, node after node), ``src`` and ``dst`` (node numbers within it)."""
+
+        @F.arrow_udf("struct<features:array<double>,src:array<int>,dst:array<int>>")
+        def pack_up(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+            sizes, x, src, dst = self.features([a, b, c, d])
+            first = _segments(sizes)
+            owner = np.repeat(np.arange(len(sizes)), sizes)[src] if len(src) else src
+            order = np.argsort(owner, kind="stable")
+            src, dst, owner = src[order], dst[order], owner[order]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]).astype("i4")
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array((e - first[owner]).astype("i4"))) for e in (src, dst)]
+            nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * sizes)]).astype("i4")), pa.array(x.ravel()))
+            return pa.StructArray.from_arrays([nodes, *lists], ["features", "src", "dst"])
+
+        return pack_up(*columns)
 
 
 class TableReader:

@@ -45,7 +45,7 @@ def encode_tokens(
     ids = vocab.select("token", "token_id")
     small = collect_bounded(ids, shipped)
     if small is not None:
-        return _padded(kept.select(key, _look_up(F.col("tokens"), small).alias("ids")), key, max_length)
+        return _padded(kept.select(key, look_up(F.col("tokens"), small).alias("ids")), key, max_length)
     flat = kept.select(key, F.posexplode_outer("tokens").alias("pos", "token")).join(ids, "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")))
     # At most max_length entries per document; collect_list skips the null of an empty text.
@@ -53,7 +53,8 @@ def encode_tokens(
     return _padded(rows.select(key, F.transform("e", lambda s: s["id"].cast("bigint")).alias("ids")), key, max_length)
 
 
-def _look_up(tokens: Column, vocab: pa.Table) -> Column:
+def look_up(tokens: Column, vocab: pa.Table) -> Column:
+    """Ids of an array of tokens, by a vocabulary (token, token_id) that travels with the task."""
     known, known_ids = vocab.column("token").combine_chunks(), vocab.column("token_id").to_numpy()
 
     @F.arrow_udf("array<bigint>")
@@ -67,13 +68,15 @@ def _look_up(tokens: Column, vocab: pa.Table) -> Column:
     return look_up(tokens)
 
 
+def pad(ids: Column, max_length: int) -> tuple[Column, Column]:
+    """Ids filled up to ``max_length``, and the mask of those that are real."""
+    used, rest = F.size(ids), F.lit(max_length) - F.size(ids)
+    return F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("bigint"), rest)), F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), rest))
+
+
 def _padded(rows: DataFrame, key: str, max_length: int) -> DataFrame:
-    used, pad = F.size("ids"), F.lit(max_length) - F.size("ids")
-    return rows.select(
-        key,
-        F.concat("ids", F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), pad)).alias("attention_mask"),
-    )
+    ids, mask = pad(F.col("ids"), max_length)
+    return rows.select(key, ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
 def embed_text(text: Column, dim: int) -> Column:

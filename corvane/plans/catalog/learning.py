@@ -131,7 +131,7 @@ def _cache(spark, d):
     return vectors(spark, d).select(F.col("vec_id").alias("id"), "vec")
 
 
-def sql_random(name: str, n: int, seed: int = SEED) -> str:
+def sql_random(name: str, n: int, seed: int = SEED, source: str = "embeddings", key: str = "vec_id") -> str:
     """CTE ``name(anchor_id, negative_id)``: the draws of the sampler, one step per column."""
     steps, seen = [], []
     for s in range(n):
@@ -139,13 +139,13 @@ def sql_random(name: str, n: int, seed: int = SEED) -> str:
         earlier = f"list_contains([{', '.join(seen)}], t{s})" if seen else "false"
         steps.append(f"{draw} AS t{s}, CASE WHEN {earlier} THEN m - {n} + {s} ELSE t{s} END AS p{s}")
         seen.append(f"p{s}")
-    return f"""{name}_pos AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings),
+    return f"""{name}_pos AS (SELECT {key} AS vec_id, row_number() OVER (ORDER BY {key}) - 1 AS position FROM {source}),
 {name} AS (
   SELECT anchor_id, x.vec_id AS negative_id FROM (
     SELECT anchor_id, CASE WHEN p >= own THEN p + 1 ELSE p END AS position FROM (
       SELECT anchor_id, own, unnest([{', '.join(seen)}]) AS p FROM (
         SELECT anchor_id, own, {', '.join(steps)} FROM (
-          SELECT vec_id AS anchor_id, position AS own, (SELECT count(*) FROM embeddings) - 1 AS m FROM {name}_pos))))
+          SELECT vec_id AS anchor_id, position AS own, (SELECT count(*) FROM {source}) - 1 AS m FROM {name}_pos))))
   JOIN {name}_pos x USING (position))"""
 
 

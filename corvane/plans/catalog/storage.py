@@ -27,6 +27,15 @@ def corpus(spark, d):
     return C.read_corpus(spark, path, format="jsonl").withColumn("code", F.md5("code"))
 
 
+def corpus_array(spark, d):
+    """The code records as one JSON array in one file, which several tasks read."""
+    path = scratch_path(spark, "corpus_array")
+    rows = code_records(spark, d).select(F.to_json(F.struct("code", "docstring", "language", "func_name")).alias("r"))
+    whole = rows.agg(F.concat(F.lit("[\n  "), F.array_join(F.array_sort(F.collect_list("r")), ",\n  "), F.lit("\n]")).alias("value"))  # a fixture: one file
+    whole.coalesce(1).write.option("lineSep", "").text(path)
+    return C.read_corpus(spark, path, glob="*.txt").withColumn("code", F.md5("code"))
+
+
 def splits(spark, d):
     path = scratch_path(spark, "splits")
     C.write_splits(M.split(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 7), path)
@@ -153,6 +162,10 @@ QUERIES = {
         corpus,
         f"WITH {SQL_CODE} SELECT md5(code) AS code, docstring, language, func_name FROM code_fixture",
     ),
+    "read_corpus_array": (
+        corpus_array,
+        f"WITH {SQL_CODE} SELECT md5(code) AS code, docstring, language, func_name FROM code_fixture",
+    ),
     "sample_corpus": (sample, SQL_SAMPLE),
     "write_splits": (
         splits,

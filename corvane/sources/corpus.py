@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corvane.functions.hashing import md5_int, md5_key
 from corvane.operators.positions import with_positions
 from corvane.runtime import broadcast_checked
+from corvane.sources.json_ranges import read_json_records
 
 RECORD_SCHEMA = "code string, docstring string, language string, func_name string"
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, format: str = "json", mode: str = "FAILFAST") -> DataFrame:
-    """Records of one JSON-array file, or of every ``*.json`` directly in a folder.
+def read_corpus(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, format: str = "json", mode: str = "FAILFAST", glob: str = "*.json") -> DataFrame:
+    """Records of one JSON-array file, or of every ``*.json`` (``glob``) directly in a folder.
 
-    A JSON array is read whole by one task, file by file; "jsonl" and "parquet" inputs are split.  A damaged
+    Files of any format are read in parts by many tasks, a JSON array too (see ``json_ranges``).  A damaged
     file fails the read, unless ``mode`` says otherwise ("PERMISSIVE" gives null rows, "DROPMALFORMED" none).
     """
     reader = spark.read.schema(schema).option("mode", mode)
@@ -22,7 +23,9 @@ def read_corpus(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, for
         return reader.parquet(path)
     if format not in ("json", "jsonl"):
         raise ValueError(f"unknown corpus format {format!r}")
-    return reader.option("pathGlobFilter", "*.json").option("multiLine", format == "json").json(path)
+    if format == "json":
+        return read_json_records(spark, path, schema, mode, glob)
+    return reader.option("pathGlobFilter", glob).json(path)
 
 
 def sample_corpus(pool: DataFrame, n: int, key: str = "doc_id", seed=0) -> DataFrame:
