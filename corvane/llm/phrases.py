@@ -1,19 +1,19 @@
 """Benchmark decontamination over a stored positional inverted index; DataFrame functions only.
 
-``build_index`` writes postings (term, document, position) as segments: every part covers its own documents, split by a hash of
-the term into buckets, which are folders, and sorted by that hash within.  Nothing is shuffled, and the postings of
+``build_index`` writes postings (term, document, position) as segments: every part covers its own documents and deals its
+postings by a hash of the term into buckets, which are folders.  Nothing is shuffled or sorted, and the postings of
 a frequent term lie in as many files as there are parts.  How often each term occurs is kept beside them.  A
-look-up reads the buckets of the terms asked for, and of few terms only the row groups that can hold them.  A phrase is looked
-up from its rarest terms on: the list of the rarest, shifted by the term's offset, gives possible starts; the shifted list
-of the second rarest is intersected with them; what is left is small, and asks for the other terms at fixed places of few
-documents.  With ``slop`` a term may stand that many places beside its own.
+look-up reads the buckets of the terms asked for.  A phrase is looked up from its rarest terms on: the list of the
+rarest, shifted by the term's offset, gives possible starts; the shifted list of the second rarest is intersected with
+them; what is left is small, and asks for the other terms at fixed places of few documents.  With ``slop`` a term may
+stand that many places beside its own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corvane.llm.common import broadcast_small, stored
 from corvane.runtime import scratch_path, spread_small
@@ -23,37 +23,45 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = -(1 << 62)
-# Folders of the postings by hash of the term; each part of the documents has a file in every one.
-BUCKET_BITS = 4
+# Folders of the postings by hash of the term; each part of the documents has a file in every one, all open at a time.
+BUCKETS = 24
 _DOCUMENTS = -1  # the folder of the documents themselves
-# Up to so many terms their hashes are a filter on the files' statistics.
-FEW_TERMS = 50
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
-def _bucket(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 64 - BUCKET_BITS).cast("int")
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass
 class Index:
-    """``postings`` (bucket, key, term, doc, pos), ``counts`` (key, term, count), ``documents`` (doc, id, n_words)."""
+    """``postings`` (bucket, term, doc, pos), ``counts`` (term, count), ``documents`` (doc, id, n_words)."""
 
     postings: DataFrame
     counts: DataFrame
     documents: DataFrame
 
     def of(self, terms: DataFrame) -> DataFrame:
-        """The postings of the distinct ``key, term`` of ``terms``; other buckets are not read."""
-        keys = [r["key"] for r in terms.select("key").distinct().limit(FEW_TERMS + 1).collect()]
-        if len(keys) <= FEW_TERMS:
-            rows = self.postings.where(F.col("bucket").isin([int((k >> (64 - BUCKET_BITS)) & ((1 << BUCKET_BITS) - 1)) for k in keys]) & F.col("key").isin(keys))
+        """The buckets of the postings that hold the ``term`` of ``terms``; others are not read."""
+        wanted = [r["b"] for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # at most BUCKETS
+        return self.postings.where(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def _write_buckets(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """``rows`` into a folder for each ``bucket``, with a writer open for each, so that nothing is sorted first."""
+    before = spark.conf.get(_WRITERS, None)
+    spark.conf.set(_WRITERS, str(BUCKETS + 1))
+    try:
+        rows.write.partitionBy("bucket").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_WRITERS)
         else:
-            rows = self.postings.where(F.col("bucket").isin([r["b"] for r in terms.select(_bucket(F.col("key")).alias("b")).distinct().collect()]))
-        return rows.join(broadcast_small(terms.select("key", "term").distinct()), ["key", "term"], "left_semi")
+            spark.conf.set(_WRITERS, before)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> Index:
@@ -68,14 +76,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = spread_small(docs.select(doc.alias("doc"), key.alias("id"), F.col(text_col).alias("text")))
     # The empty term stands for the document and holds its length.
     rows = rows.select("doc", "id", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))
-    rows = rows.select("doc", "id", F.posexplode_outer("words").alias("pos", "term")).withColumn("key", F.xxhash64("term"))
+    rows = rows.select("doc", "id", F.posexplode_outer("words").alias("pos", "term"))
     is_doc = F.col("term") == ""
-    rows = rows.select("key", "term", "doc", "pos", F.when(is_doc, F.col("id")).alias("id"), F.when(is_doc, F.lit(_DOCUMENTS)).otherwise(_bucket(F.col("key"))).alias("bucket"))
     path = scratch_path(spark, "postings")
-    rows.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(path)
-    index = spark.read.schema("key bigint, term string, doc bigint, pos int, id bigint, bucket int").parquet(path)
+    _write_buckets(spark, rows.select("doc", F.when(is_doc, F.col("id")).alias("id"), "pos", "term", F.when(is_doc, F.lit(_DOCUMENTS)).otherwise(_bucket(F.col("term"))).alias("bucket")), path)
+    index = spark.read.schema("doc bigint, id bigint, pos int, term string, bucket int").parquet(path)
     postings = index.where(F.col("bucket") != _DOCUMENTS).drop("id")
-    counts = stored(postings.groupBy("key", "term").agg(F.count(F.lit(1)).alias("count")), "counts")
+    counts = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("count")), "counts")
     return Index(postings, counts, index.where(F.col("bucket") == _DOCUMENTS).select("doc", "id", F.col("pos").cast("bigint").alias("n_words")))
 
 
@@ -103,34 +110,35 @@ def matches(index: Index, wanted: DataFrame, slop: int = 0) -> DataFrame:
     ``slop`` 0 finds exact phrases.  Above it finds proximity matches: counted from the rarest word, every other word
     stands at most ``slop`` places from where the phrase has it.
     """
-    terms = wanted.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("off", "term")).withColumn("key", F.xxhash64("term"))
-    distinct = broadcast_small(stored(terms.select("key", "term").distinct(), "terms"))
-    counts = stored(index.counts.join(distinct, ["key", "term"]), "counts")
+    terms = wanted.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
+    distinct = broadcast_small(stored(terms.select("term").distinct(), "terms"))
+    counts = broadcast_small(stored(index.counts.join(distinct, "term"), "term_counts"))
     # A phrase with a word that no document has is out; the others have their words ranked by rarity.
     order = Window.partitionBy("phrase").orderBy("count", "off")
-    ranked = terms.join(broadcast_small(counts), ["key", "term"]).withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("phrase"))).where(F.col("found") == F.col("n"))
+    ranked = terms.join(counts, "term").withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("phrase"))).where(F.col("found") == F.col("n"))
     ranked = stored(ranked.withColumn("rank", F.row_number().over(order)).drop("found", "count"), "ranked")
 
-    def at_rank(rank: int) -> DataFrame:
-        return broadcast_small(ranked.where(F.col("rank") == rank).select("phrase", "off", "key", "term"))
+    def shifted(rank: int) -> DataFrame:
+        lists = ranked.where(F.col("rank") == rank).select("phrase", "n", "off", "term")
+        return index.of(lists).join(broadcast_small(lists), "term").select("phrase", "n", "doc", (F.col("pos") - F.col("off")).alias("start"))
 
-    rarest = ranked.where(F.col("rank") == 1)
-    starts = index.of(rarest).join(broadcast_small(rarest.select("phrase", "n", "off", "key", "term")), ["key", "term"])
-    first = stored(starts.select("phrase", "n", "doc", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop), "starts")
+    first = shifted(1).where(F.col("start") >= -slop).distinct()
     single = first.where(F.col("n") == 1)
-    longer = first.where(F.col("n") > 1)
-    # Postings of the other terms in documents that have a phrase's rarest term.
-    docs = broadcast_small(stored(longer.select("doc").distinct(), "docs"))
-    have = stored(index.of(ranked.where(F.col("rank") > 1)).join(docs, "doc", "left_semi").select("doc", "pos", "key", "term"), "have")
-    place = ["doc", "pos", "key", "term"]
-    asked = longer.join(at_rank(2), "phrase").select("phrase", "n", "doc", "start", "key", "term", _near(F.col("start") + F.col("off"), slop).alias("pos"))
-    left = stored(asked.join(have, place, "left_semi").select("phrase", "n", "doc", "start").distinct(), "left")
+    second = shifted(2).select("phrase", "doc", F.col("start").alias("at")).distinct()
+    asked = first.where(F.col("n") > 1).select("phrase", "n", "doc", "start", _near(F.col("start"), slop).alias("at"))
+    left = stored(asked.join(second, ["phrase", "doc", "at"], "left_semi").select("phrase", "n", "doc", "start").distinct(), "left")
 
     # The other terms, at the places that are left to ask for.
-    rest = ranked.where(F.col("rank") > 2).select("phrase", "off", "key", "term")
-    asked = left.where(F.col("n") > 2).join(broadcast_small(rest), "phrase").select("phrase", "n", "doc", "start", "off", "key", "term", _near(F.col("start") + F.col("off"), slop).alias("pos"))
+    rest = ranked.where(F.col("rank") > 2).groupBy("phrase").agg(F.collect_list(F.struct("off", "term")).alias("rest"))  # a window's length
+    asked = (
+        left.where(F.col("n") > 2)
+        .join(broadcast_small(stored(rest.select("phrase", F.explode("rest").alias("r")).select("phrase", "r.off", "r.term"), "rest")), "phrase")
+        .select("phrase", "n", "doc", "start", "off", "term", _near(F.col("start") + F.col("off"), slop).alias("pos"))
+    )
+    docs = broadcast_small(left.where(F.col("n") > 2).select("doc").distinct())
+    have = index.of(ranked.where(F.col("rank") > 2)).join(distinct, "term", "left_semi").join(docs, "doc", "left_semi").select("doc", "pos", "term")
     full = (
-        asked.join(have, place, "left_semi")
+        asked.join(have, ["doc", "pos", "term"], "left_semi")
         .groupBy("phrase", "n", "doc", "start")
         .agg(F.countDistinct("off").alias("hits") if slop else F.count(F.lit(1)).alias("hits"))
         .where(F.col("hits") == F.col("n") - 2)
