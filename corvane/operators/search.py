@@ -67,13 +67,32 @@ def best_cells(x: Column, centroids: np.ndarray, n: int) -> Column:
     return pick(x)
 
 
-def ivf_assign(items: DataFrame, centroids: np.ndarray, vec: str = "vec") -> DataFrame:
+def assign_cells(items: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
+    """``ivf_assign`` with centroids(cell, vec) in a table of any size: blocks of vectors meet blocks of centroids."""
+    items = checkpoint(items.withColumn("_n", F.monotonically_increasing_id()))
+    best = _probe_table(items.select(F.col("_n").alias("query_id"), F.col(vec).alias("vec")), centroids, 1)
+    return items.join(best.select(F.col("query_id").alias("_n"), "cell"), "_n").drop("_n")
+
+
+def _probe_table(queries: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
+    """(query_id, cell): the ``n`` cells of largest inner product, ties to the lower cell."""
+    cells = centroids.select(F.col("cell").alias("vec_id"), "vec")
+    return rank_hits(block_join(queries, cells, TopK(n)), n).select("query_id", F.col("vec_id").cast("int").alias("cell"))
+
+
+def ivf_assign(items: DataFrame, centroids: np.ndarray | DataFrame, vec: str = "vec") -> DataFrame:
     """Add the cell whose centroid has the largest inner product with the vector."""
+    if isinstance(centroids, DataFrame):
+        return assign_cells(items, centroids, vec)
     return items.withColumn("cell", best_cells(F.col(vec), centroids, 1)[0])
 
 
+# Probed cells become a literal filter of the scan up to this number, a semi-join beyond.
+MAX_LITERAL_CELLS = 10_000
+
+
 def ivf_search(
-    queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int = 10, nprobe: int = 10, **blocks
+    queries: DataFrame, index: DataFrame, centroids: np.ndarray | DataFrame, k: int = 10, nprobe: int = 10, **blocks
 ) -> DataFrame:
     """Exact ranking within the ``nprobe`` best cells of each query.
 
@@ -82,10 +101,16 @@ def ivf_search(
     a ``label``, only items of the query's label are ranked, all of them for a null one.
     """
     labelled = "label" in queries.columns and "label" in index.columns
-    probes = queries.select("query_id", "vec", *["label"] * labelled).withColumn("cell", explode_once(best_cells(F.col("vec"), centroids, nprobe)))
-    if nprobe < len(centroids):
-        wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]
-        index = index.where(F.col("cell").isin(wanted))
+    asked = queries.select("query_id", "vec", *["label"] * labelled)
+    if isinstance(centroids, DataFrame):
+        asked = checkpoint(asked)
+        probes = checkpoint(asked.join(_probe_table(asked.select("query_id", "vec"), centroids, nprobe), "query_id"))
+    else:
+        probes = asked.withColumn("cell", explode_once(best_cells(F.col("vec"), centroids, nprobe)))
+    if isinstance(centroids, DataFrame) or nprobe < len(centroids):
+        wanted = probes.select("cell").distinct()
+        few = [r["cell"] for r in wanted.limit(MAX_LITERAL_CELLS + 1).collect()]
+        index = index.where(F.col("cell").isin(few)) if len(few) <= MAX_LITERAL_CELLS else index.join(wanted, "cell", "left_semi")
     if labelled:
         probes, index = meet_by_label(probes, index, "cell")
         return rank_hits(block_join(probes, index, TopK(k), group="meet", **blocks), k)

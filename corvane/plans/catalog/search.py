@@ -91,6 +91,12 @@ def centroids(spark, d):
     return long_form(spark.createDataFrame(rows, "cell bigint, vec array<double>"), "cell")
 
 
+def table_cells(spark, d):
+    """The same cells, kept in a table as if there were too many to go to every task."""
+    cells = ivf_train(vectors(spark, d), NLIST, ROUNDS, most_cells=0)
+    return long_form(cells.select(F.col("cell").cast("bigint").alias("cell"), "vec"), "cell")
+
+
 def kmeans_cells(spark, d):
     """Cells of Spark ML's clustering; sizes depend on its random start."""
     cells = ivf_train(vectors(spark, d), NLIST, 10, method="kmeans", seed=1)
@@ -108,8 +114,8 @@ def assigned(spark, d):
     return rows.select("vec_id", F.col("cell").cast("bigint").alias("cell"))
 
 
-def probed(spark, d, **blocks):
-    cells = trained(spark, d)
+def probed(spark, d, most_cells=8_000_000, **blocks):
+    cells = ivf_train(vectors(spark, d), NLIST, ROUNDS, most_cells=most_cells)
     index = S.ivf_assign(_unit_vectors(spark, d), cells)
     return _ranked(S.ivf_search(_queries(spark, d), index, cells, K, NPROBE, **blocks))
 
@@ -224,6 +230,11 @@ QUERIES = {
         f"WITH {SQL_CELLS} SELECT cell, generate_subscripts(v, 1) - 1 AS dim, unnest(list_transform(v, lambda x: {sql_r6('x')})) AS value FROM cells",
     ),
     "ivf_train_kmeans": (kmeans_cells, None),
+    "ivf_train_table": (
+        table_cells,
+        f"WITH {SQL_CELLS} SELECT cell, generate_subscripts(v, 1) - 1 AS dim, unnest(list_transform(v, lambda x: {sql_r6('x')})) AS value FROM cells",
+    ),
+    "ivf_search_table": (lambda spark, d: probed(spark, d, most_cells=0), SQL_PROBED),
     "ivf_assign": (assigned, f"WITH {SQL_CELLS} SELECT vec_id, cell FROM {SQL_ASSIGNED}"),
     "ivf_search": (probed, SQL_PROBED),
     "ivf_search_grid": (lambda spark, d: probed(spark, d, broadcast_cells=0, query_rows=16, item_rows=16), SQL_PROBED),

@@ -32,7 +32,7 @@ def corpus_array(spark, d):
     path = scratch_path(spark, "corpus_array")
     rows = code_records(spark, d).select(F.to_json(F.struct("code", "docstring", "language", "func_name")).alias("r"))
     whole = rows.agg(F.concat(F.lit("[\n  "), F.array_join(F.array_sort(F.collect_list("r")), ",\n  "), F.lit("\n]")).alias("value"))  # a fixture: one file
-    whole.coalesce(1).write.option("lineSep", "").text(path)
+    whole.coalesce(1).write.text(path)
     return C.read_corpus(spark, path, glob="*.txt").withColumn("code", F.md5("code"))
 
 

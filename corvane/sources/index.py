@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corvane.functions import vectors as V
-from corvane.functions.matrix import load_matrix
+from corvane.functions.matrix import to_matrix
 from corvane.operators.clustering import ivf_train
 from corvane.operators.search import attach_metadata, ivf_assign, ivf_search, topk_ann, topk_exact, topk_labelled
-from corvane.runtime import checkpoint
+from corvane.runtime import MAX_BROADCAST_CELLS, checkpoint
 from corvane.sources.manifest import Ingest, Load, Manifest, Versions
 
 INDEX_TYPES = ("Flat", "IVF", "HNSW")
@@ -104,15 +104,16 @@ class VectorIndex:
         manifest = self.versions.latest()
         return self._read(manifest, list(manifest.loads))
 
-    def centroids(self) -> np.ndarray | None:
+    def centroids(self) -> np.ndarray | DataFrame | None:
+        """An array, or a table (cell, vec) if there are too many to go to every task."""
         if not _exists(self.spark, f"{self.path}/centroids"):
             return None
         rows = self.spark.read.schema("cell int, vec array<double>").parquet(f"{self.path}/centroids")
-        weights = rows.select(F.col("cell").alias("i"), F.posexplode("vec").alias("j", "w"))
-        matrix = load_matrix(weights)
-        if matrix is None and not weights.isEmpty():
-            raise ValueError("the centroids are too large to ship whole to every task")
-        return matrix
+        n = rows.count()
+        if n * self.config.embedding_dim > MAX_BROADCAST_CELLS:
+            return rows
+        table = rows.toArrow().sort_by("cell")
+        return to_matrix(table["vec"]) if n else None
 
     def clear(self) -> None:
         """Drop all vectors and metadata, and the training."""
@@ -133,12 +134,14 @@ class VectorIndex:
         if centroids is None:
             unit = checkpoint(unit)  # every training round reads the vectors again
             centroids = ivf_train(unit, self.config.nlist)
-            if not len(centroids):  # nothing to train on: the next add will
-                return unit.withColumn("cell", F.lit(0))
-            table = [(i, [float(v) for v in row]) for i, row in enumerate(centroids)]
-            self.spark.createDataFrame(table, "cell int, vec array<double>").coalesce(1).write.mode("overwrite").parquet(
-                f"{self.path}/centroids"
-            )
+            if not isinstance(centroids, DataFrame):
+                if not len(centroids):  # nothing to train on: the next add will
+                    return unit.withColumn("cell", F.lit(0))
+                rows = [(i, [float(v) for v in row]) for i, row in enumerate(centroids)]
+                table = self.spark.createDataFrame(rows, "cell int, vec array<double>").coalesce(1)
+            else:
+                table = centroids
+            table.write.mode("overwrite").parquet(f"{self.path}/centroids")
         return ivf_assign(unit, centroids)
 
     def _write(self, rows: DataFrame) -> tuple[str, dict[int, int]]:

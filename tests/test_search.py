@@ -1,3 +1,4 @@
+import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,31 @@ def test_empty_validation_report(spark):
     ranks = spark.createDataFrame([], "query_id long, rank long")
     got = {r.metric: r.value for r in E.validation_report(losses, ranks).collect()}
     assert got == {"loss": 3.0, "recall@1": 0.0, "mrr": 0.0, "ndcg": 0.0}
+
+
+def test_cells_in_a_table_like_those_in_an_array(spark, tmp_path, monkeypatch):
+    from corvane.operators.clustering import seed_rows
+    from corvane.sources import index as I
+
+    x = np.random.default_rng(8).normal(size=(150, 4))
+    items = vectors(spark, x, "vec_id")
+    cells = ivf_train(items, 12, 2)
+    table = ivf_train(items, 12, 2, most_cells=0)
+    rows = sorted(table.collect(), key=lambda r: r.cell)
+    assert np.allclose([r.vec for r in rows], cells)
+    near = {r.vec_id: r.cell for r in S.ivf_assign(items, table).collect()}
+    assert near == {r.vec_id: r.cell for r in S.ivf_assign(items, cells).collect()}
+    keys = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(150))
+    for n in (0, 1, 7, 150, 900):
+        assert sorted(r.vec_id for r in seed_rows(items, n).collect()) == sorted(i for _, i in keys[:n])
+    twice = items.unionByName(items)  # ids that repeat: as many rows as asked for
+    assert seed_rows(twice, 7).count() == 7
+    monkeypatch.setattr(I, "MAX_BROADCAST_CELLS", 1)
+    monkeypatch.setattr("corvane.operators.clustering.MAX_BROADCAST_CELLS", 1)
+    index = I.VectorIndex.create(spark, str(tmp_path / "i"), I.IndexConfig(4, "IVF", 12, 12))
+    monkeypatch.setattr(I, "ivf_train", lambda rows, n: ivf_train(rows, n, most_cells=1))
+    index.add(items.withColumnRenamed("vec", "embedding"))
+    index.add(items.limit(5).withColumnRenamed("vec", "embedding"))
+    asked = vectors(spark, x[:6], "query_id")
+    got = {r.query_id: r.vec_id for r in index.search(asked, 1).collect()}
+    assert got == {k: k for k in range(6)} and index.vectors().count() == 155
