@@ -23,9 +23,12 @@ CHUNK, CHUNK_STEP = 64, 48  # filter positions of a chunk (260 bytes), and from
 EMBED, FILTERS = 8, 24
 THRESHOLD = 0.3
 
-# Bounds of the training sample: documents of each label, and bytes of a document that may be in it.
+# Bounds of the training sample: documents of each label, and characters of a document; a longer one gives a passage, drawn by
+# its id's hash, since the network learns from chunks.
 SAMPLE_PER_LABEL = 1_000
-SAMPLE_MAX_BYTES = 60_000
+SAMPLE_CHARS = 60_000
+# Filter positions that are worked out at a time (some 250 bytes each): a text of any length goes through in windows.
+WINDOW_STEPS = 1 << 18
 # A small sample is gone through until about so many texts were drawn.
 MIN_DRAWS = 12_000
 
@@ -59,7 +62,10 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     steps = np.maximum(2, -(-lengths // STEP) + 1)
     first = np.cumsum(steps) - steps
     padded = np.zeros(int(steps.sum()) * STEP, "u1")
-    padded[np.arange(len(data)) + np.repeat(first * STEP - offsets[:-1], lengths)] = data
+    if len(lengths) == 1:
+        padded[: len(data)] = data
+    else:
+        padded[np.arange(len(data)) + np.repeat(first * STEP - offsets[:-1], lengths)] = data
     places = steps - 1  # filter positions
     chunks = np.maximum(1, -(-(places - CHUNK) // CHUNK_STEP) + 1)
     at = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -77,12 +83,21 @@ def respond(net: Network, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide, np.maximum(out, 0, out=out)
 
 
-def features(net: Network, steps: np.ndarray, bounds: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-    """Mean over each text's chunks of the responses max-pooled in the chunk."""
-    _, out = respond(net, steps)
-    pooled = np.maximum.reduceat(out, bounds.ravel(), axis=0)[::2]
-    starts = np.cumsum(chunks) - chunks
-    return np.add.reduceat(pooled, starts, axis=0) / chunks[:, None].astype("f4")
+def features(net: Network, steps: np.ndarray, bounds: np.ndarray, chunks: np.ndarray, window: int = WINDOW_STEPS) -> np.ndarray:
+    """Mean over each text's chunks of the responses max-pooled in the chunk; a window of chunks at a time."""
+    sums = np.zeros((len(chunks), FILTERS), "f4")
+    text = np.repeat(np.arange(len(chunks)), chunks)
+    k = 0
+    while k < len(bounds):
+        last = max(k + 1, int(np.searchsorted(bounds[:, 1], bounds[k, 0] + window, "right")))
+        low, high = bounds[k, 0], bounds[last - 1, 1]
+        _, out = respond(net, steps[low : high + 1])
+        pooled = np.maximum.reduceat(out, (bounds[k:last] - low).ravel(), axis=0)[::2]
+        own = text[k:last]
+        begins = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[begins]] += np.add.reduceat(pooled, begins, axis=0)
+        k = last
+    return sums / chunks[:, None].astype("f4")
 
 
 def logits(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -149,21 +164,25 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7, e
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str) -> tuple[list[bytes], np.ndarray, float]:
-    """At most SAMPLE_PER_LABEL documents of each label, drawn by a hash of the id, and the share of label 1.
+def training_sample(
+    docs: DataFrame, labels: DataFrame, usable: Column, label_col: str, per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS
+) -> tuple[list[bytes], np.ndarray, float]:
+    """At most ``per_label`` documents of each label, drawn by a hash of the id, and the share of label 1.
 
-    Ids are drawn from the labels alone; texts come by a broadcast of those few ids.
+    Ids are drawn from the labels alone; texts come by a broadcast of those few ids.  Of a text of more than ``chars``
+    characters a passage of that length is taken.  An id with both labels counts as label 1.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.where(usable).groupBy("id").agg(F.max("label").alias("label"))
-    draw = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_LABEL)
+    draw = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_label)
     chosen = draw(0).unionByName(draw(1)).toArrow()  # bounded
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(zip(chosen.column("id").to_pylist(), chosen.column("label").to_pylist())), "id bigint, label int")
-    rows = (
-        id_text(docs).join(F.broadcast(ids), "id").where(F.octet_length("text") <= SAMPLE_MAX_BYTES).dropDuplicates(["id"]).select("id", "label", "text").toArrow().sort_by("id")
-    )
+    over = F.length("text") - chars
+    passage = F.when(over > 0, F.substring("text", (F.pmod(F.xxhash64("id"), F.greatest(over, F.lit(1))) + 1).cast("int"), F.lit(chars))).otherwise(F.col("text"))
+    found = id_text(docs).join(F.broadcast(ids), "id").select("id", "label", passage.alias("text"))
+    rows = found.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "label", "text").toArrow().sort_by("id")
     values = large_binary(rows.column("text")).to_pylist() if rows.num_rows else []
     share = (n.get(1, 0) + 1) / (n.get(0, 0) + n.get(1, 0) + 2)
     return values, rows.column("label").to_numpy().astype("f4"), share

@@ -399,3 +399,22 @@ def test_chat_marks_in_turns_stay_inside(spark):
         if r.mask_start is not None:
             own = r.rendered[r.mask_start - r.start : r.mask_stop - r.start]
             assert r.rendered == f"<|assistant|>\n{own}<|end|>\n"
+
+
+def test_quality_windows_and_long_labelled_documents(spark):
+    rng = np.random.default_rng(3)
+    net = quality.Network.start(5)
+    texts = [rng.integers(0, 256, size=n).astype("u1") for n in (0, 1, 3, 300, 5000, 259, 40_000, 7)]
+    data, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = quality.features(net, *quality.layout(data, offsets))
+    for window in (1, 64, 1000):
+        assert np.allclose(quality.features(net, *quality.layout(data, offsets), window=window), whole, atol=1e-4)
+    alone = quality.features(net, *quality.layout(texts[6], np.array([0, len(texts[6])])))
+    assert np.allclose(alone[0], whole[6], atol=1e-4)
+    docs = spark.createDataFrame([(k, ("good words here " if k % 2 else "xx yy zz ") * 40) for k in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0)], "doc_id bigint, quality int")
+    sample, label, share = quality.training_sample(docs, labels, F.lit(True), "quality", chars=100)
+    assert len(sample) == 40 and all(len(t) == 100 for t in sample) and label.sum() == 20  # all of them longer than a passage
+    assert all(t.decode() in r.text for t, r in zip(sample, docs.orderBy("doc_id").collect()))
+    few, label, _ = quality.training_sample(docs, labels, F.lit(True), "quality", per_label=5)
+    assert (len(few), label.sum()) == (10, 5)
