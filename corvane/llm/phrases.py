@@ -1,7 +1,7 @@
 """Benchmark decontamination over a stored positional inverted index; DataFrame functions only.
 
 ``build_index`` writes postings (term, document, position) as segments: every part covers its own documents and deals its
-postings by a hash of the term into buckets, which are folders.  Nothing is shuffled or sorted, and the postings of
+postings by a hash of the term into buckets, which are folders.  Nothing is shuffled, and the postings of
 a frequent term lie in as many files as there are parts.  How often each term occurs is kept beside them.  A
 look-up reads the buckets of the terms asked for.  A phrase is looked up from its rarest terms on: the list of the
 rarest, shifted by the term's offset, gives possible starts; the shifted list of the second rarest is intersected with
@@ -52,7 +52,7 @@ class Index:
 
 
 def _write_buckets(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """``rows`` into a folder for each ``bucket``, with a writer open for each, so that nothing is sorted first."""
+    """``rows`` into a folder for each ``bucket``, with a writer open for each."""
     before = spark.conf.get(_WRITERS, None)
     spark.conf.set(_WRITERS, str(BUCKETS + 1))
     try:
