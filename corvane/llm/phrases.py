@@ -24,9 +24,11 @@ WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = -(1 << 62)
 # Folders of the postings by hash of the term; each part of the documents has a file in every one, all open at a time.
-BUCKETS = 24
+BUCKETS = 16
 _DOCUMENTS = -1  # the folder of the documents themselves
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+# Bytes that each open file may hold back: small, since a task has one for every bucket.
+_BUFFERS = {"parquet.block.size": 4 << 20, "parquet.page.size": 128 << 10, "parquet.dictionary.page.size": 256 << 10}
 
 
 def words(text: Column) -> Column:
@@ -56,7 +58,10 @@ def _write_buckets(spark: SparkSession, rows: DataFrame, path: str) -> None:
     before = spark.conf.get(_WRITERS, None)
     spark.conf.set(_WRITERS, str(BUCKETS + 1))
     try:
-        rows.write.partitionBy("bucket").parquet(path)
+        writer = rows.write.partitionBy("bucket")
+        for name, size in _BUFFERS.items():
+            writer = writer.option(name, size)
+        writer.parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_WRITERS)
