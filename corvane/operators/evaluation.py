@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corvane.functions import vectors as V
 from corvane.operators.blocks import BetterCount, block_join
 from corvane.operators.positions import running
+from corvane.runtime import shuffled
 
 RECALL_K, NDCG_K = (1, 5, 10, 20), 10
 
@@ -21,11 +22,11 @@ def rank_of_match(queries: DataFrame, codes: DataFrame, group: str | None = None
     extra = [] if group is None else [group]
     q, x = queries.select("query_id", "vec", *extra), codes.select("vec_id", "vec", *extra)
     own = x.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("match"))
-    marked = q.join(own, "query_id").withColumn("own", V.cosine(F.col("vec"), F.col("match"))).drop("match")
+    marked = q.join(shuffled(own), "query_id").withColumn("own", V.cosine(F.col("vec"), F.col("match"))).drop("match")
     parts = block_join(marked, x, BetterCount(), group=group, own="own", **blocks)
     ranks = parts.groupBy("grp", "query_id").agg((F.sum("better") + 1).alias("rank"))
     ranks = ranks.drop("grp") if group is None else ranks.withColumnRenamed("grp", group)
-    missing = q.join(own.select("query_id"), "query_id", "left_anti").select(*[c for c in ranks.columns if c != "rank"])
+    missing = q.join(shuffled(own.select("query_id")), "query_id", "left_anti").select(*[c for c in ranks.columns if c != "rank"])
     return ranks.unionByName(missing.withColumn("rank", F.lit(None).cast("bigint")))
 
 

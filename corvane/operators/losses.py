@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corvane.functions import vectors as V
 from corvane.operators.blocks import LogSumExp, block_join
 from corvane.operators.positions import with_positions
+from corvane.runtime import shuffled
 
 MARGIN, HARD_WEIGHT, TEMPERATURE = 0.5, 0.3, 0.07
 
@@ -28,11 +29,11 @@ def triplet_loss_hard(
 
     pairs(anchor_id, anchor, positive), negatives(anchor_id, negative).
     """
-    far = negatives.join(pairs.select("anchor_id", "anchor"), "anchor_id").select(
+    far = negatives.join(shuffled(pairs.select("anchor_id", "anchor")), "anchor_id").select(
         "anchor_id", V.l2_distance(F.col("anchor"), F.col("negative")).alias("d")
     )
     stats = far.groupBy("anchor_id").agg(F.min("d").alias("near"), F.avg("d").alias("mean"))
-    both = stats.join(
+    both = shuffled(stats).join(
         pairs.select("anchor_id", V.pairwise_distance(F.col("anchor"), F.col("positive")).alias("p")), "anchor_id"
     )
 
@@ -47,16 +48,16 @@ def infonce(pairs: DataFrame, negatives: DataFrame, temperature: float = TEMPERA
 
     pairs(query_id, query, positive), negatives(query_id, negative).
     """
-    scored = negatives.join(pairs.select("query_id", "query"), "query_id").select(
+    scored = negatives.join(shuffled(pairs.select("query_id", "query")), "query_id").select(
         "query_id", (V.cosine(F.col("query"), F.col("negative")) / temperature).alias("l")
     )
     # Two partial aggregations over narrow rows; the maximum keeps the exponentials in range.
     own = pairs.select("query_id", (V.cosine(F.col("query"), F.col("positive")) / temperature).alias("own"))
     top = scored.groupBy("query_id").agg(F.max("l").alias("top"))
     # greatest() skips the null of a query without negatives.
-    peaks = own.join(top, "query_id", "left").withColumn("peak", F.greatest("own", "top"))
+    peaks = own.join(shuffled(top), "query_id", "left").withColumn("peak", F.greatest("own", "top"))
     mass = (
-        peaks.join(scored, "query_id", "left")
+        peaks.join(shuffled(scored), "query_id", "left")
         .groupBy("query_id", "own", "peak")
         .agg(F.coalesce(F.sum(F.exp(F.col("l") - F.col("peak"))), F.lit(0.0)).alias("m"))
     )
@@ -90,10 +91,10 @@ def infonce_in_batch(
         right = pairs.select("batch_id", "id", V.cosine(F.col("query"), F.col("positive")).alias("s"))
     elif target == "first":
         first = pairs.groupBy("batch_id").agg(F.min_by("positive", "id").alias("first"))
-        right = pairs.join(first, "batch_id").select("batch_id", "id", V.cosine(F.col("query"), F.col("first")).alias("s"))
+        right = pairs.join(shuffled(first), "batch_id").select("batch_id", "id", V.cosine(F.col("query"), F.col("first")).alias("s"))
     else:
         raise ValueError(f"unknown target {target!r}")
-    joined = total.withColumnsRenamed({"grp": "batch_id", "query_id": "id"}).join(right, ["batch_id", "id"])
+    joined = total.withColumnsRenamed({"grp": "batch_id", "query_id": "id"}).join(shuffled(right), ["batch_id", "id"])
     return joined.groupBy("batch_id").agg(F.avg(F.col("lse") - F.col("s") / temperature).alias("loss"))
 
 
@@ -121,8 +122,8 @@ def rolled_negatives(rows: DataFrame) -> DataFrame:
     placed = with_positions(rows.select("batch_id", "id"), "batch_id", "id")
     ends = placed.groupBy("batch_id").agg(F.min("position").alias("lo"), F.max("position").alias("hi"))
     wanted = F.when(F.col("position") == F.col("lo"), F.col("hi")).otherwise(F.col("position") - 1)
-    left = placed.join(ends, "batch_id").select("batch_id", "id", wanted.alias("position"))
-    return left.join(placed.select("position", F.col("id").alias("negative_id")), "position").drop("position")
+    left = placed.join(shuffled(ends), "batch_id").select("batch_id", "id", wanted.alias("position"))
+    return left.join(shuffled(placed.select("position", F.col("id").alias("negative_id"))), "position").drop("position")
 
 
 def epoch_loss(losses: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from corvane.plans.catalog.fixtures import (
 )
 from corvane.plans.catalog.text import sql_remove_comments, sql_whitespace
 from corvane.plans.retrieval import embed_code, search
-from corvane.runtime import scratch_path
+from corvane.runtime import scratch_path, shuffled
 from corvane.sources.index import IndexConfig, VectorIndex
 
 K, NLIST, NPROBE, ROUNDS, TABLES, BITS, DIM = 10, 20, 4, 2, 4, 6, 64
@@ -193,7 +193,7 @@ def code_index(spark, d, index_type="Flat") -> VectorIndex:
         spark, scratch_path(spark, "index"), config, "code string, docstring string, language string, func_name string"
     )
     records = code_records(spark, d)
-    index.add(records.join(embed_code(records, DIM), "doc_id").withColumnsRenamed({"doc_id": "vec_id", "vec": "embedding"}))
+    index.add(records.join(shuffled(embed_code(records, DIM)), "doc_id").withColumnsRenamed({"doc_id": "vec_id", "vec": "embedding"}))
     return index
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions.hashing import md5_int, md5_key
 from corvane.operators.positions import with_positions
-from corvane.runtime import broadcast_checked
+from corvane.runtime import broadcast_checked, shuffled
 from corvane.sources.json_ranges import read_json_records
 
 RECORD_SCHEMA = "code string, docstring string, language string, func_name string"
@@ -37,8 +37,8 @@ def sample_corpus(pool: DataFrame, n: int, key: str = "doc_id", seed=0) -> DataF
     draws = pool.sparkSession.range(n).select(
         F.col("id").alias("sample_id"), (md5_int(md5_key(seed, F.col("id"))) % size).alias("position")
     )
-    chosen = draws.join(broadcast_checked(placed), "position").drop("position")
-    return chosen.join(broadcast_checked(pool), key)
+    chosen = shuffled(draws).join(broadcast_checked(placed), "position").drop("position")
+    return shuffled(chosen).join(broadcast_checked(pool), key)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
