@@ -60,13 +60,14 @@ _OWN = ("words", "link_density", "stops", "capitals", "kind", "articles", "besid
 
 
 def named(attributes: str) -> int:
-    """2 if a class, id or role is the name of a part beside the text, 1 if it has such a word in it, else 0."""
+    """2 if a class, id or role is the name of a part beside the text or all its words are, 1 if it has such a word in it, else 0."""
     out = 0
     for m in _HINT.finditer(attributes):
         for token in m[1].strip("\"'").split():
-            if BESIDE_WORDS.fullmatch(token):
+            known = [bool(BESIDE_WORDS.fullmatch(w)) for w in _PART.split(token)]
+            if BESIDE_WORDS.fullmatch(token) or all(known):
                 return 2
-            if any(BESIDE_WORDS.fullmatch(w) for w in _PART.split(token)):
+            if any(known):
                 out = 1
     return out
 

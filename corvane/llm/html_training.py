@@ -142,6 +142,20 @@ def _text(k: int, n: int) -> str:
     return "".join(out)
 
 
+# Little text, so that a part beside it holds most of the words of the page.
+_BRIEF = [
+    '<article><p data-main>{0}</p><div class="comments"><p>{1}</p></div></article>',
+    '<article><p data-main>{0}</p><div class="comments"><p>{1}</p></div><aside>Read on</aside></article>',
+    '<article><p data-main>{0}</p></article><div id="comments"><p>{1}</p></div>',
+    '<article><p data-main>{0}</p></article><p class="cookie-banner">{1}</p>',
+]
+_REMARKS = ["So true, thank you for it", "A neighbour writes that it was quite different in those days", "This site sets cookies", "We store cookies to count our readers"]
+
+
+def _brief_pages(first: int) -> list[str]:
+    return [page.format(_SHORT[(first + k) % len(_SHORT)], _REMARKS[(first + j + k) % len(_REMARKS)]) for j, page in enumerate(_BRIEF) for k in range(len(_REMARKS))]
+
+
 def training_pages(first: int = 0) -> list[str]:
     """Labelled pages: every layout with parts and texts in turn, counted from ``first``."""
     out = []
@@ -164,4 +178,4 @@ def training_pages(first: int = 0) -> list[str]:
                     links=links[k % len(links)].format(link("Older pages of this site"), link("Home")),
                 )
             )
-    return out
+    return out + _brief_pages(first)
