@@ -7,7 +7,8 @@
 3. In a bucket the segments form shards, and each shard has its own transform.  The transforms are merged by
    refining their interleave one symbol at a time: stepping every row to the suffix one symbol longer, in the order so
    far, stably by that symbol, gives the order by one symbol more, and where two neighbours part is their common
-   prefix.  After 50 steps the blocks that never parted are the repeated intervals; no suffix was sorted again.
+   prefix.  Only rows that reach 50 symbols are stepped, and those alone in their block leave.  After 50 steps the
+   blocks that never parted are the repeated intervals; no suffix was sorted again.
 4. The least id of an interval goes back to the slices, which compare it with their documents' ids.
 """
 
@@ -29,10 +30,13 @@ GRAM = 20  # bytes of an anchor
 WINDOW = LENGTH - GRAM + 1
 SLICE = 4 << 20
 ANCHORS_PER_BUCKET = 3_000_000
-SEGMENT_BYTES_PER_BUCKET = 2 << 20
+# Slices and buckets both grow with the data, and a bucket gets a row from nearly every slice: buckets are as large as memory allows.
+SEGMENT_BYTES_PER_BUCKET = 4 << 20
 # A bucket beyond this has an anchor with very many contexts; its strings are dealt one by one, by their own hash.
 HEAVY_BYTES = 64 << 20
 SHARD_SEGMENTS = 8_192
+# After so many steps of a merge each, rows that are alone in their block leave it.
+LONE_STEPS = 5
 _FP = 5  # bytes kept of an anchor while looking for repeated ones
 _NO_ID = (1 << 63) - 1
 
@@ -245,15 +249,23 @@ def shard_transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     key = np.zeros(n, "u8")
     for k in range(7):
         key = (key << np.uint64(9)) | np.where(place + k <= stop, padded[k : k + n], np.uint64(0))
-    reach = 7
-    while True:
-        order = np.argsort(key)
-        rank = np.empty(n, "i8")
-        rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
-        if reach >= LENGTH or rank[order[-1]] == n - 1:
-            break
-        beyond = np.minimum(place + reach, n - 1)
-        key = (rank.astype("u8") << np.uint64(32)) | np.where(place + reach <= stop, rank[beyond] + 1, 0).astype("u8")
+    order = np.argsort(key)
+    key = key[order]
+    head = np.append(True, key[1:] != key[:-1])
+    rank = np.empty(n, "i8")  # where the suffix's group of equals begins
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    tied, reach = np.flatnonzero(~(head & np.append(head[1:], True))), 7
+    # Only suffixes that are not told apart yet are ordered again, within the places of their group.
+    while len(tied) and reach < LENGTH:
+        own = order[tied]
+        beyond = np.minimum(own + reach, n - 1)
+        key = (rank[own].astype("u8") << np.uint64(32)) | np.where(own + reach <= stop[own], rank[beyond] + 1, 0).astype("u8")
+        again = np.argsort(key)
+        key, own = key[again], own[again]
+        order[tied] = own
+        head = np.append(True, key[1:] != key[:-1])
+        rank[own] = np.maximum.accumulate(np.where(head, tied, 0))
+        tied = tied[~(head & np.append(head[1:], True))]
         reach *= 2
     row = np.empty(n, "i4")
     row[order] = np.arange(n, dtype="i4")
@@ -267,39 +279,45 @@ def repeated_intervals(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray) ->
 
     Strings in order of segments and places.
     """
+    strings = sizes - LENGTH + 1
+    base_of = np.cumsum(strings) - strings
+    out = np.repeat(ids, strings)  # right for what no other segment has
     ends = np.cumsum(sizes)
-    last, starts, step, place, base = [], [], [], [], 0
-    owner, offset = [], []
+    last, step, owner, offset, base = [], [], [], [], 0
     for a in range(0, len(sizes), SHARD_SEGMENTS):
         own = sizes[a : a + SHARD_SEGMENTS]
         raw = data[ends[a] - sizes[a] : ends[a + len(own) - 1]]
         symbols = np.zeros(len(raw) + len(own), "u2")
         text_of = np.repeat(np.arange(len(own)), own)
         symbols[np.arange(len(raw)) + text_of] = raw.astype("u2") + 1
-        bwt, first, left, order = shard_transform(symbols)
+        bwt, _, left, order = shard_transform(symbols)
         last.append(bwt)
-        starts.append(first)
-        step.append(left + base)
-        segment = np.repeat(np.arange(len(own)), own + 1)
-        begin = np.cumsum(own + 1) - (own + 1)
-        owner.append(a + segment[order])
-        offset.append(order - begin[segment[order]])
+        step.append(left + np.int32(base))
+        segment = np.repeat(np.arange(len(own), dtype="i4"), own + 1)
+        begin = (np.cumsum(own + 1) - (own + 1)).astype("i4")
+        owner.append(np.int32(a) + segment[order])
+        offset.append((order - begin[segment[order]]).astype("u1"))
         base += len(symbols)
-    last, starts, step, owner, offset = (np.concatenate(x) for x in (last, starts, step, owner, offset))
-    # The interleave: all rows, at first told apart by nothing, in the order of their shards.
-    rows, block = np.arange(base, dtype="i4"), np.zeros(base, "i4")
-    for _ in range(LENGTH):
-        live = ~starts[rows]  # a row at the start of its segment has no longer suffix
-        rows, block = rows[live], block[live]
+    last, step, owner, offset = (np.concatenate(x) for x in (last, step, owner, offset))
+    # The interleave: rows that have LENGTH symbols to their left, at first told apart by nothing, in the order of their shards.
+    # Others run out of symbols before they are strings, and part no two rows.
+    rows = np.flatnonzero(offset >= LENGTH).astype("i4")
+    block = np.zeros(len(rows), "i4")
+    for k in range(1, LENGTH + 1):
         symbol = last[rows]
         order = np.argsort(symbol, kind="stable")
         symbol, block, rows = symbol[order], block[order], step[rows[order]]
-        block = np.cumsum(np.append(False, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])), dtype="i4")
-    begin = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        new = np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))
+        if k % LONE_STEPS == 0:
+            # A row alone in its block stays so: its string has the id of its own segment.
+            shared = ~(new & np.append(new[1:], True))
+            rows, new = rows[shared], new[shared]
+            if not len(rows):
+                return out
+        block = np.cumsum(new, dtype="i4")
+    begin = np.flatnonzero(new)
     low = np.repeat(np.minimum.reduceat(ids[owner[rows]], begin), np.diff(np.append(begin, len(rows))))
-    strings = sizes - LENGTH + 1
-    out = np.empty(strings.sum(), "i8")
-    out[(np.cumsum(strings) - strings)[owner[rows]] + offset[rows]] = low
+    out[base_of[owner[rows]] + offset[rows]] = low
     return out
 
 

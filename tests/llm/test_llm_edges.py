@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -211,6 +212,32 @@ def test_shared_passages(table):
     assert got[9][0].n_removed == len(LONG) + 1 and bytes(got[9][0].kept) == b"end"
 
 
+def test_merge_steps_only_rows_that_may_repeat(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 200, 6_000).astype("u1")
+    segments = {bytes(base[k : k + n]) for k, n in zip(rng.integers(0, 5_900, 300), rng.integers(50, 80, 300))}
+    segments |= {bytes(rng.integers(0, 256, 60).astype("u1")) for _ in range(300)}
+    segments = sorted(segments)
+    sizes, ids = np.array([len(s) for s in segments]), rng.integers(-9, 1_000, len(segments))
+    stepped, argsort = [], np.argsort
+
+    def counted(a, *args, kind=None, **more):
+        stepped.append(len(a) if kind == "stable" else 0)
+        return argsort(a, *args, kind=kind, **more)
+
+    monkeypatch.setattr(suffix, "SHARD_SEGMENTS", 100)
+    monkeypatch.setattr(suffix.np, "argsort", counted)
+    low = suffix.repeated_intervals(np.frombuffer(b"".join(segments), "u1"), sizes, ids)
+    monkeypatch.undo()
+    strings = [(s[k : k + 50], i) for s, i in zip(segments, ids) for k in range(len(s) - 49)]
+    least = {}
+    for s, i in strings:
+        least[s] = min(i, least.get(s, i))
+    assert low.tolist() == [least[s] for s, _ in strings]
+    alone = len(least) - sum(c > 1 for c in Counter(s for s, _ in strings).values())
+    assert sum(stepped) <= suffix.LENGTH * (len(strings) - alone) + 2 * suffix.LONE_STEPS * alone
+
+
 def test_language_without_letters(spark, table):
     got = by_id(runs(spark)["language"](table))
     assert {r.lang_pred for r in got[3] + got[4]} == {"und"} and got[1][0].lang_pred in ("de", "en")
