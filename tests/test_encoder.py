@@ -81,6 +81,25 @@ def test_outline_in_a_row_has_the_edges_of_the_tables(spark):
     assert batch.x[at[key[0]] + key[1]].tolist() == [unknown, unknown]
 
 
+def test_types_are_seen_in_one_outline_after_the_spread(spark, tmp_path, capfd):
+    code = "def f():\n    if a:\n        return 1\n\n    x = 2\n    return x"
+    rows = [(7, code, "python"), (3, "x = 1\nreturn", "java"), (3, "(\nfor i", "java"), (None, "while a", "java"), (9, None, "java"), (1, "class A", "cobol"), (2, "", "python")]
+    records = spark.createDataFrame(rows, "doc_id bigint, code string, language string")
+    got = [r.type for r in first_seen_types(records).orderBy("type_id").collect()]
+    nodes = outline_nodes(records)
+    assert got == [r.type for r in G.node_type_vocab(nodes).orderBy("type_id").collect()] and len(got) == 8
+    records.write.parquet(str(tmp_path / "r"))
+    seen = []
+    real, G.node_type_vocab = G.node_type_vocab, seen.append
+    try:
+        first_seen_types(spark.read.parquet(str(tmp_path / "r")).repartition(3))
+    finally:
+        G.node_type_vocab = real
+    seen[0].explain()
+    plan = capfd.readouterr().out
+    assert plan.count("split(code") == 1 and "split(" not in plan[plan.index("REPARTITION_BY_NUM") :]
+
+
 def test_merged_statistics():
     rng = np.random.default_rng(1)
     parts = [rng.normal(3, 2, size=(n, 5)) for n in (1, 7, 30)]

@@ -1,12 +1,16 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions import vectors as V
+from corvane.functions import matrix, vectors as V
 from corvane.functions.matrix import linear, linear_join, load_matrix
 from corvane.operators import encode as N
 from corvane.operators import gnn as P
 from corvane.operators import graph as G
+from corvane.operators.tokens import embed_text
 
 
 def frame(spark, rows, cols="a array<double>, b array<double>"):
@@ -120,3 +124,18 @@ def test_product_by_blocks(spark):
     assert "posexplode" not in plan.lower() and "Join" not in plan
     assert linear_join(df.where("false"), "k", "x", table, "y").count() == 0
     assert [r.y for r in linear_join(df.limit(1), "k", "x", table.where("false"), "y").collect()] == [[]]
+
+
+def test_words_of_a_text_in_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "TEXT_SLICE", 40)
+    texts = [None, "", " ", "one", "One two_2\tONE", "été naïve 12é34 😀x", "__ a" * 50, "\x00a\x00", "İI K", "a" * 100, "ends "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = df.select("id", F.lower("text").alias("low"), embed_text(F.col("text"), 16).alias("v")).collect()
+    for row in got:
+        want = np.zeros(16)
+        for w in re.findall("[a-z0-9_]+", row.low or ""):
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:8], 16) % 16] += 1.0 if h[8] < "8" else -1.0
+        assert np.allclose(row.v, want / (np.linalg.norm(want) or 1.0), atol=1e-12), row.id
+    plan = df.select(embed_text(F.col("text"), 16))._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan  # no array of words leaves the text
