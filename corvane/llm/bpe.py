@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import byte_slices, code_points, id_text
+from corvane.llm.common import byte_slices, code_points, give_back, id_text
 
 # The vocabulary's pattern, and the suffixes it splits off after an apostrophe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -328,7 +328,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                     names=names,
                 )
         tokenizer.forget()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return id_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, token_ids array<int>, decoded binary, ids_sha256 string, decoded_sha256 string"

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +398,18 @@ def test_slices_cover_everything():
     assert sum(n for n, _ in parts) == 7 and b"".join(d for _, d in parts) == b"a" * 10 + b"b" * 50 + b"c" + b"d" * 9
 
 
+def test_a_batch_gives_back_what_it_took():
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", file.read())[1]) >> 10
+
+    parts = [np.ones(8_000) for _ in range(4_000)]  # 256 MB in pieces that the allocator keeps
+    before, last = held(), parts[-1]
+    del parts
+    assert len(list(byte_slices(pa.RecordBatch.from_pydict({"text": ["a", None]})))) == 1
+    assert held() < before - 150 and last.sum() == 8_000
+
+
 def test_exact_dedup_ids_at_the_ends(spark):
     low, high = -(1 << 63), (1 << 63) - 1
     rows = [(low, "a b"), (high, "ab"), (high, "c"), (None, "c"), (None, "d d"), (low, "dd"), (None, "e"), (None, "e "), (0, "f"), (low, "f"), (high, "f")]
