@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import byte_slices, code_points, give_back, id_text
+from corvane.llm.common import SMALL_SLICE_BYTES, by_slices, code_points, give_back, id_text
 
 # The vocabulary's pattern, and the suffixes it splits off after an apostrophe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,7 +50,7 @@ def classes() -> np.ndarray:
     """Letter, number, white space or other, by code point."""
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.r_[:0xD800, 0xE000:0x110000].astype("<u4").tobytes().decode("utf-32-le")
     out = np.zeros(0x110000, "u1")
     shift = lambda i: i if i < 0xD800 else i + 0x800
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
@@ -309,25 +309,26 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """
     names = ["doc_id", "n_tokens", "token_ids", "decoded", "ids_sha256", "decoded_sha256"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         tokenizer = _tokenizer(ranks_path)
-        for batch in batches:
-            for part, data, offsets in byte_slices(batch):
-                ids, at = tokenizer.encode(data, offsets)
-                decoded = tokenizer.decode(ids, at)
-                raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * at).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(np.diff(at), pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype("i4"))),
-                        pa.array(decoded, pa.binary()),
-                        pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]),
-                        pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
-                    ],
-                    names=names,
-                )
-        tokenizer.forget()
+        ids, at = tokenizer.encode(data, offsets)
+        decoded = tokenizer.decode(ids, at)
+        raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * at).tolist()
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                pa.array(np.diff(at), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype("i4"))),
+                pa.array(decoded, pa.binary()),
+                pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]),
+                pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
+            ],
+            names=names,
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_slices(encoded, batches, SMALL_SLICE_BYTES)
+        _tokenizer(ranks_path).forget()
         give_back()
 
     return id_text(docs, id_col, text_col).mapInArrow(

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corvane.llm.common import broadcast_small, byte_slices, stored
+from corvane.llm.common import SMALL_SLICE_BYTES, broadcast_small, by_slices, stored
 from corvane.runtime import spread_small
 
 SHINGLE = 3
@@ -161,21 +161,22 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = _rows(docs, id_col, text_col, row.alias("row")).select("row", "id", "text")
 
+    def sign(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        sets = shingle_sets(data, offsets)
+        sig = signatures(sets)
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                part.column(1),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array([s.tobytes() for s in sig], pa.binary()),
+            ],
+            names=["row", "id", "n_shingles", "class", "sig"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in byte_slices(batch):
-                sets = shingle_sets(data, offsets)
-                sig = signatures(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sig], pa.binary()),
-                    ],
-                    names=["row", "id", "n_shingles", "class", "sig"],
-                )
+        yield from by_slices(sign, batches, SMALL_SLICE_BYTES)
 
     return stored(spread_small(rows).mapInArrow(run, "row bigint, id bigint, n_shingles bigint, class binary, sig binary"), "signed")
 
@@ -336,11 +337,12 @@ def verified_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     members = stored(groups.join(sizes, "component").select("node", "id", "class", "component", block, "n_blocks"), "members")
     rows = docs.join(broadcast_small(members.select("id").distinct()), "id", "left_semi").select("id", "text")
 
+    def sets_of(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        sets = [s.tobytes() for s in shingle_sets(data, offsets)]
+        return pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["class", "set"])
+
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in byte_slices(batch):
-                sets = [s.tobytes() for s in shingle_sets(data, offsets)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["class", "set"])
+        yield from by_slices(sets_of, batches, SMALL_SLICE_BYTES)
 
     rows = rows.mapInArrow(with_sets, "class binary, set binary")
     rows = rows.join(broadcast_small(members.drop("id")), "class")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corvane.llm.common import byte_slices, id_text, large_binary
+from corvane.llm.common import SMALL_SLICE_BYTES, by_slices, byte_slices, give_back, id_text, large_binary
 from corvane.runtime import spread_small
 
 STEP = 4  # bytes from one filter position to the next; a filter spans two steps
@@ -194,29 +194,33 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     Null and empty texts score as a text of no bytes; repeated rows give repeated results; texts of any
     length are read whole.
     """
-    arrays = net.arrays()
+    own = Network(*net.arrays())
+
+    def scored(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(logits(own, data, offsets)))], names=["doc_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(*arrays)
-        for batch in batches:
-            for part, data, offsets in byte_slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(logits(own, data, offsets)))], names=["doc_id", "score"])
+        yield from by_slices(scored, batches, SMALL_SLICE_BYTES)
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
 
 
 def filter_documents(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores ``threshold`` or more; nothing is shuffled."""
-    arrays = net.arrays()
+    own = Network(*net.arrays())
+
+    def good(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
+        one = pa.RecordBatch.from_arrays([texts], names=["text"])
+        scores = [sigmoid(logits(own, data, offsets)) for _, data, offsets in byte_slices(one, most=SMALL_SLICE_BYTES)]
+        if scores:
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(*arrays)
+        batch = None
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).fill_null("")
-            one = pa.RecordBatch.from_arrays([texts], names=["text"])
-            scores = [sigmoid(logits(own, data, offsets)) for _, data, offsets in byte_slices(one)]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+            yield from good(batch)
+        del batch
+        give_back()
 
     return spread_small(docs).mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corvane.llm import bpe, chat, exact_dedup, html_blocks, language, minhash, phrases, pii, quality, suffix
 from corvane.llm.chat import rotate
-from corvane.llm.common import byte_slices, keep_rows
+from corvane.llm.common import SMALL_SLICE_BYTES, by_slices, byte_slices, keep_rows
 from corvane.llm.queries import ranks_path
 
 LONG = " ".join(f"word{k % 977} number{k % 31}" for k in range(40_000))
@@ -410,6 +411,58 @@ def test_a_batch_gives_back_what_it_took():
     assert held() < before - 150 and last.sum() == 8_000
 
 
+def test_operators_of_the_pipeline_take_small_slices(monkeypatch):
+    sizes = {}
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    docs = Docs()
+    docs.schema = None
+    for module, name in ((bpe, "id_text"), (quality, "id_text"), (quality, "spread_small")):
+        monkeypatch.setattr(module, name, lambda *a: docs)
+    net = quality.Network.start(1)
+    texts = ["word and other " * 20_000, *["some words of a text " * 50] * 1_000, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t or "" for t in texts])], names=["id", "text"])
+
+    def watched(name, module, what, run):
+        real = getattr(module, what)
+        monkeypatch.setattr(module, what, lambda *a: (sizes.setdefault(name, []).append(len(a[-2])), real(*a))[1])
+        return sum(b.num_rows for b in run(iter([batch])))
+
+    assert watched("encode", bpe, "code_points", bpe.encode_documents(None, ranks_path())) == len(texts)
+    assert watched("score", quality, "logits", quality.score_documents(None, net)) == len(texts)
+    assert watched("filter", quality, "logits", quality.filter_documents(docs, net, 0.0)) == len(texts)
+    for taken in sizes.values():
+        assert {n for n in taken if n > SMALL_SLICE_BYTES} == {len(texts[0])}  # one text is never cut
+
+
+def test_slices_let_go_of_the_last_batch():
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", file.read())[1]) >> 10
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"text": [None]})
+        yield pa.RecordBatch.from_arrays([pa.array(["a" * (1 << 20)] * 200)], names=["text"])
+
+    before = held()
+    rows = [b.num_rows for b in by_slices(lambda part, data, offsets: pa.RecordBatch.from_pydict({"n": offsets[1:]}), batches())]
+    assert sum(rows) == 201 and list(by_slices(None, iter([]))) == []
+    assert held() < before + 50
+
+
+def test_classes_without_an_object_for_each_code_point():
+    bpe.classes.cache_clear()
+    tracemalloc.start()
+    kinds = bpe.classes()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int(kinds[ord(c)]) for c in "a\u00e91\u0660 \u2028-"] == [bpe.LETTER] * 2 + [bpe.NUMBER] * 2 + [bpe.SPACE] * 2 + [bpe.OTHER]
+    assert kinds[0xD800] == bpe.OTHER and len(kinds) == 0x110000 and most < 40 << 20
+
+
 def test_exact_dedup_ids_at_the_ends(spark):
     low, high = -(1 << 63), (1 << 63) - 1
     rows = [(low, "a b"), (high, "ab"), (high, "c"), (None, "c"), (None, "d d"), (low, "dd"), (None, "e"), (None, "e "), (0, "f"), (low, "f"), (high, "f")]
