@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corvane.llm.common import SMALL_SLICE_BYTES, broadcast_small, by_slices, stored
+from corvane.llm.common import SMALL_SLICE_BYTES, broadcast_small, by_slices, give_back, stored
 from corvane.runtime import spread_small
 
 SHINGLE = 3
@@ -205,6 +205,8 @@ def hamming_edges(nodes: DataFrame) -> DataFrame:
                     [pa.array(part), pa.array(np.repeat(batch.column(0).to_numpy(), SPAN)), pa.array([s for row in small for s in [row.tobytes()] * SPAN], pa.binary())],
                     names=["key", "node", "sig"],
                 )
+        batch = sig = keys = small = None
+        give_back()
 
     def near(nodes: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
         order = np.argsort(nodes)
@@ -252,6 +254,9 @@ def hamming_edges(nodes: DataFrame) -> DataFrame:
             held = [batch.slice(last)]
         if held:
             yield from emit(pa.Table.from_batches(held))
+        batch = key = None
+        held.clear()
+        give_back()
 
     rows = nodes.select("node", "sig").mapInArrow(keyed, "key bigint, node bigint, sig binary")
     rows = rows.repartition(F.col("key")).sortWithinPartitions("key")
