@@ -155,3 +155,24 @@ def test_loads_do_not_matter(spark, encoder, tmp_path):
             index_code(index, encoder, records.where(F.col("doc_id") % loads == k), ingest=f"{k}")
         found.append({r.vec_id: (r.embedding, r.func_name) for r in index.vectors().collect()})
     assert found[0] == found[1] and len(found[0]) == 60
+
+
+def test_an_outline_that_is_there_is_not_made_again(spark, monkeypatch):
+    from corvane.operators import outline as O
+    from corvane.plans import retrieval
+
+    records = code_records(spark, SF_DIR).select("doc_id", "code", "language")
+    vocab = first_seen_types(records)
+    weights = encoder_weights(vocab)
+    plain = CodeEncoder.fit(records, weights, DIM, vocab, 9)
+    packed = checkpoint(with_outline(records).select("doc_id", "_types", "_parents", "_depths", "_children"))
+
+    def again(*args):
+        raise AssertionError("parsed again")
+
+    monkeypatch.setattr(O, "with_outline", again)
+    monkeypatch.setattr(retrieval, "with_outline", again)
+    assert sorted(first_seen_types(packed).collect()) == sorted(vocab.collect())
+    fitted = CodeEncoder.fit(packed, weights, DIM, vocab, 9)
+    for a, b in zip(plain.statistics, fitted.statistics):
+        assert np.allclose(a, b, atol=1e-9)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import blocks as B
 from corvane.operators import cells as C
+from corvane.operators import evaluation as E
 from corvane.operators import graph as G
 from corvane.operators import search as S
 from corvane.plans.catalog import storage
@@ -146,3 +147,76 @@ def test_stacked_graphs_are_not_joined_by_way_of_the_driver(spark):
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin [doc_id" not in plan and "SortMergeJoin [doc_id" in plan
         assert part.count() == 40
+
+
+def counted(q, q_ids, own, x, x_ids):
+    fold = B.BetterCount()
+    state = fold.start(len(q))
+    B._fold_groups(fold, state, (np.zeros(len(q), "i8"), q_ids, q, own), (np.zeros(len(x), "i8"), x_ids, x, np.zeros(len(x))), 10**9)
+    assert state[1].all()
+    return state[0]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "noise", "copies", "one", "wide"])
+def test_better_items_are_counted_in_leaves(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2700, 40 if kind == "wide" else 6))
+    if kind == "clusters":
+        x = rng.normal(size=(20, 6))[rng.integers(0, 20, size=2700)] + 0.01 * x
+    if kind == "copies":
+        x[300:] = x[rng.integers(0, 5, size=2400)]
+    if kind == "one":
+        x[:] = x[0]
+    x[5] = x[2000] = 0.0
+    x = B.unit_rows(x)
+    x_ids = rng.permutation(2700)
+    x_ids[:60] = x_ids[60:120]  # repeated
+    q, q_ids = B.unit_rows(x[::3] + 0.3 * rng.normal(size=x[::3].shape)), x_ids[::3].copy()
+    q[::9] = x[::27]  # queries that are items, and some without a direction
+    q[::50] = 0.0
+    own = (q * x[::3]).sum(1)
+    own[1::70], own[2::70] = 5.0, -5.0  # all items are behind, or ahead
+    got = counted(q, q_ids, own, x, x_ids)
+    scores, mark = np.round(q @ x.T, 9) + 0.0, np.round(own, 9)[:, None]
+    ahead = (scores > mark) | ((scores == mark) & (x_ids[None] < q_ids[:, None]))
+    assert (got == (ahead & (x_ids[None] != q_ids[:, None])).sum(1)).all()
+
+
+def test_odd_items_and_queries_are_counted_as_before(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 5))
+    x[3], x[700, 2], x[900] = np.nan, np.inf, 1e17
+    q, own = x[:400].copy(), rng.normal(size=400)
+    own[7], own[8], q[9] = np.nan, 1e18, np.inf
+    ids = np.arange(2500)
+    with np.errstate(all="ignore"):
+        got = counted(q, ids[:400], own, x, ids)
+        monkeypatch.setattr(B, "MANY_ITEMS", 10**9)
+        assert (got == counted(q, ids[:400], own, x, ids)).all()
+
+
+def test_ranks_take_few_products(monkeypatch):
+    rng = np.random.default_rng(10)
+    x = B.unit_rows(rng.normal(size=(30, 8))[rng.integers(0, 30, size=6000)] + 0.02 * rng.normal(size=(6000, 8)))
+    q = B.unit_rows(rng.normal(size=(500, 8)))
+    taken, product, fold = [], np.matmul, B.BetterCount.fold
+    monkeypatch.setattr(B.np, "matmul", lambda a, b, **how: taken.append(len(a) * b.shape[1]) or product(a, b, **how))
+    monkeypatch.setattr(B.BetterCount, "fold", lambda self, state, at, q, q_ids, own, x, x_ids: taken.append((at.stop - at.start) * len(x)) or fold(self, state, at, q, q_ids, own, x, x_ids))
+    got = counted(q, np.arange(500), (q * x[:500]).sum(1), x, np.arange(6000))
+    assert sum(taken) < 0.5 * 500 * 6000
+    scores = np.round(q @ x.T, 9)
+    mark = np.round((q * x[:500]).sum(1), 9)[:, None]
+    assert (got == (((scores > mark) | ((scores == mark) & (np.arange(6000) < np.arange(500)[:, None]))) & (np.arange(6000) != np.arange(500)[:, None])).sum(1)).all()
+
+
+def test_ranks_of_many_codes_in_tasks_and_in_a_grid(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2400, 6))
+    q = x + rng.normal(size=x.shape)
+    q[::7] = 0.0
+    queries, codes = rows(spark, q, "query_id"), rows(spark, x, "vec_id").coalesce(1)
+    s = np.round(B.unit_rows(q) @ B.unit_rows(x).T, 9) + 0.0
+    i = np.arange(2400)
+    want = 1 + ((s > s[i, i][:, None]) | ((s == s[i, i][:, None]) & (i < i[:, None]))).sum(1)
+    for blocks in ({}, {"broadcast_cells": 0}):
+        assert {r.query_id: r["rank"] for r in E.rank_of_match(queries, codes, **blocks).collect()} == dict(enumerate(want))
